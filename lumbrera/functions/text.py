@@ -30,14 +30,16 @@ TRIM_CHARS = (
 LIST_ITEM = rf"^(?:[-•▪◦*·–]|\d{{1,2}}[.)]|[a-zA-Z][)]){WHITESPACE}+"
 DIGIT_WORD = rf"(?<!{WORD_CHAR})[\p{{Nd}}²³¹⁰⁴-⁹₀-₉]+(?!{WORD_CHAR})"
 
-_CLOSERS = "[\"'»”’)\\]]*"
+_CLOSER = "[\"'»”’)\\]]"
+_CLOSERS = _CLOSER + "*"
 _OPENERS = "[(\\[¿¡\"'«]"
 _BREAK = "\x01"
+# The look-behind for abbreviations and initials comes last, so it runs once per candidate end.
 _SENTENCE_END = (
-    rf"(?<![.!?])(?:(?:[!?…]|\.\.)[.!?]*"
-    rf"|(?<!(?:^|{WHITESPACE}){_OPENERS}{{0,8}}(?:(?iu:{'|'.join(cfg.ABBREVIATIONS)})|\p{{Lu}}){LINE_SPACE}{{0,4}})"
-    rf"\.(?:[!?][.!?]*)?)"
-    rf"{_CLOSERS}(?=\n|{LINE_SPACE}|\z)(?!{LINE_SPACE}*\p{{IsLowercase}})"
+    rf"(?<![.!?])(?:(?:[!?…]|\.\.)[.!?]*|\.(?:[!?][.!?]*)?){_CLOSERS}"
+    rf"(?=\n|{LINE_SPACE}|\z)(?!{LINE_SPACE}*\p{{IsLowercase}})"
+    rf"(?<!(?:^|{WHITESPACE}){_OPENERS}{{0,8}}(?:(?iu:{'|'.join(cfg.ABBREVIATIONS)})|\p{{Lu}}){LINE_SPACE}{{0,4}}"
+    rf"\.(?:[!?][.!?]{{0,8}})?{_CLOSER}{{0,8}})"
 )
 _LONE_LIST_MARKER = (
     rf"(^|\n|{_BREAK})({LINE_SPACE}*(?:\d{{1,2}}|[a-zA-Z]){LINE_SPACE}*\.(?:[!?][.!?]*)?{_CLOSERS}){_BREAK}"

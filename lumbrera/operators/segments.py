@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbrera import config as cfg
@@ -23,15 +23,17 @@ def sentences(paras: DataFrame) -> DataFrame:
     ).select("doc_id", "para", (F.col("pos") + 1).alias("pos"), "text")
 
 
-def _distinct_fragments(text: Column, patterns: tuple[str, ...]) -> Column:
-    """First occurrence of every fragment, compared without case, in pattern then text order."""
-    found = F.transform(
+def _all_fragments(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Every match of every pattern, stripped, in pattern then text order."""
+    return F.transform(
         F.concat(*[F.regexp_extract_all(text, F.lit("(?iuU)" + p), F.lit(0)) for p in patterns]), T.strip
     )
+
+
+def _first_distinct(found: str, n: int) -> Column:
+    """The first n fragments that differ when case is ignored, each as first written."""
     keys = F.transform(found, F.lower)
-    return F.when(F.size(found) == 0, found).otherwise(
-        F.filter(found, lambda f, i: F.array_position(keys, F.lower(f)) == i + 1)
-    )
+    return F.slice(F.filter(found, lambda f, i: F.array_position(keys, F.lower(f)) == i + 1), 1, n)
 
 
 def profile(materials: DataFrame) -> DataFrame:
@@ -41,23 +43,24 @@ def profile(materials: DataFrame) -> DataFrame:
     array<struct<pos,text,words,actions>>, actions being the action verbs in order.
     """
     text = F.col("raw_text")
+    # Each heavy expression is a column of its own stage: the optimiser keeps stages apart when a
+    # column is read more than once, so no regex runs twice.
     staged = materials.withColumns({
-        "paragraph_texts": T.lines(text),
-        "sentence_words": F.transform(T.split_sentences(text), lambda s: F.struct(s.alias("text"), T.words(s).alias("words"))),
-        "visual_refs": F.slice(_distinct_fragments(text, cfg.VISUAL_REFERENCE_PATTERNS), 1, cfg.REPORTED_PER_RULE),
-        "color_refs": F.slice(_distinct_fragments(text, cfg.COLOR_ONLY_PATTERNS), 1, cfg.REPORTED_PER_RULE),
+        "_lines": T.lines(text),
+        "_tokens": F.transform(T.split_sentences(text), lambda s: F.struct(s.alias("text"), T.words(s).alias("words"))),
+        "_visual": _all_fragments(text, cfg.VISUAL_REFERENCE_PATTERNS),
+        "_color": _all_fragments(text, cfg.COLOR_ONLY_PATTERNS),
         "word_count": T.count_words(text),
         "number_words": F.regexp_count(text, F.lit(T.DIGIT_WORD)),
         "syllables": T.syllable_total(text),
-        "has_text": T.strip(text) != "",
+        "has_text": text.rlike(T.NOT_WHITESPACE),
     })
     shaped = staged.withColumns({
         "paragraphs": F.transform(
-            "paragraph_texts",
-            lambda p, i: F.struct((i + 1).alias("pos"), p.alias("text"), T.count_words(p).alias("words")),
+            "_lines", lambda p, i: F.struct((i + 1).alias("pos"), p.alias("text"), T.count_words(p).alias("words"))
         ),
         "sentences": F.transform(
-            F.filter("sentence_words", lambda s: F.size(s["words"]) > 0),
+            F.filter("_tokens", lambda s: F.size(s["words"]) > 0),
             lambda s, i: F.struct(
                 (i + 1).alias("pos"),
                 s["text"].alias("text"),
@@ -65,15 +68,16 @@ def profile(materials: DataFrame) -> DataFrame:
                 F.filter(F.transform(s["words"], F.lower), T.is_action_verb).alias("actions"),
             ),
         ),
-        "color_refs": F.filter(
-            "color_refs", lambda c: ~F.array_contains(F.transform("visual_refs", F.lower), F.lower(c))
-        ),
+        "visual_refs": _first_distinct("_visual", cfg.REPORTED_PER_RULE),
+        "color_refs": _first_distinct("_color", cfg.REPORTED_PER_RULE),
         "plain_words": F.col("word_count") - F.col("number_words"),
     })
     scanned = (F.col("source_type") == "pdf") & scanned_flag(F.col("word_count"), F.col("image_count"), F.col("page_count"))
     ratio = F.col("syllables") / F.col("plain_words")
     pace = F.col("plain_words") / F.size("sentences")
-    return shaped.drop("paragraph_texts", "sentence_words", "number_words").withColumns({
+    seen = F.transform("visual_refs", F.lower)
+    return shaped.drop("_lines", "_tokens", "_visual", "_color", "number_words").withColumns({
+        "color_refs": F.filter("color_refs", lambda c: ~F.array_contains(seen, F.lower(c))),
         "is_scanned": scanned,
         "readability": F.when(
             (F.col("plain_words") >= cfg.MIN_WORDS_FOR_READABILITY) & (F.size("sentences") > 0),
@@ -117,8 +121,6 @@ def image_context(blocks: DataFrame, limit: int = cfg.CONTEXT_WORDS) -> DataFram
     ``blocks``: doc_id, pos, kind ('text' or 'image'), text. Both windows run over growing frames
     (the second one in reverse order), so cost stays linear in the blocks of a document.
     """
-    from pyspark.sql import Window
-
     text = F.when(F.col("kind") == "text", F.col("text"))
     forward = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     backward = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)

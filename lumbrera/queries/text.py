@@ -95,7 +95,7 @@ def _norm(expr: str) -> str:
 SELECT doc_id, quote_id, concat_ws(chr(10) || '[...]' || chr(10), right(prev_text, 600), left(next_text, 600)) AS context FROM (
   SELECT q.doc_id, q.pos AS quote_id, p.pos AS para, p.prev_text, p.next_text,
     row_number() OVER (PARTITION BY q.doc_id, q.pos ORDER BY p.pos) AS rn
-  FROM (SELECT doc_id, pos, {_norm("regexp_replace(original_text, '[.]{3}$', '')")} AS part FROM ai_findings) q
+  FROM (SELECT doc_id, pos, list_filter(list_transform(string_split_regex(original_text, '[.]{{3}}|…'), lambda x: {_norm('x')}), lambda x: x <> '')[1] AS part FROM ai_findings) q
   JOIN (SELECT doc_id, pos, {_norm('text')} AS norm, lag(text) OVER w AS prev_text, lead(text) OVER w AS next_text FROM paragraphs
         WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) p ON p.doc_id = q.doc_id AND contains(p.norm, q.part) AND q.part <> ''
 ) WHERE rn = 1""")
