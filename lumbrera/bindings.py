@@ -178,6 +178,22 @@ SELECT doc_id, 'estructura', CASE doc_id % 2 WHEN 0 THEN 'correcta' ELSE 'para_r
 FROM documents WHERE doc_id % 7 <> 0
 UNION ALL
 SELECT doc_id, 'accesibilidad_visual', 'correcta', 'Sin imágenes.' FROM documents WHERE doc_id % 7 <> 0""",
+    "analyses": """
+SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'docx' ELSE 'pptx' END AS source_type,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id % 700) AS created_at,
+  TIMESTAMP '2024-01-02 00:00:00' + INTERVAL '1' MINUTE * doc_id AS expires_at,
+  CASE WHEN doc_id % 13 = 0 THEN '{"estimated_score": 50, "barriers": [' ELSE
+    '{"estimated_score": ' || CAST(40 + (doc_id * 37) % 61 AS STRING) || ', "barriers": [{"category": "comprension", "severity": "'
+    || CASE doc_id % 2 WHEN 0 THEN 'barrera_detectada' ELSE 'para_revisar' END || '"}, {"category": "'
+    || CASE doc_id % 3 WHEN 0 THEN 'estructura' WHEN 1 THEN 'accesibilidad_visual' ELSE 'otra' END
+    || '", "severity": "para_revisar"}]}' END AS diagnostic_json
+FROM documents""",
+    "transformations": """
+SELECT event_id AS id, CASE user_id % 5 WHEN 0 THEN 'no_images' WHEN 1 THEN 'mind_map' WHEN 2 THEN 'infographic' WHEN 3 THEN 'audio' ELSE 'otro' END AS format,
+  CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ready' END AS status,
+  CASE event_id % 4 WHEN 0 THEN 'aceptada' WHEN 1 THEN 'editada' WHEN 2 THEN 'descartada' ELSE 'pendiente' END AS review_status,
+  ts + INTERVAL '1' DAY * (user_id % 60) AS expires_at
+FROM events WHERE event_id % 14 = 12""",
     "images": """
 SELECT p_partkey % 40 AS doc_id, p_partkey AS image_id, CAST(1 + p_partkey % 6 AS INT) AS page_number,
   CAST(p_size * 9 AS DOUBLE) AS width_pt, CAST(p_partkey % 37 * 11 AS DOUBLE) AS height_pt,

@@ -6,7 +6,7 @@ import importlib
 
 from lumbrera.queries import registry
 
-MODULES = ("text",)
+MODULES = ("text", "metrics")
 
 
 def load() -> dict[str, registry.Query]:
