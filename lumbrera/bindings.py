@@ -194,6 +194,10 @@ SELECT event_id AS id, CASE user_id % 5 WHEN 0 THEN 'no_images' WHEN 1 THEN 'min
   CASE event_id % 4 WHEN 0 THEN 'aceptada' WHEN 1 THEN 'editada' WHEN 2 THEN 'descartada' ELSE 'pendiente' END AS review_status,
   ts + INTERVAL '1' DAY * (user_id % 60) AS expires_at
 FROM events WHERE event_id % 14 = 12""",
+    "service_checks": """
+SELECT event_id AS check_id, 'prov' || CAST(user_id % 5 AS STRING) AS service, ts AS at_time,
+  CASE WHEN user_id % 5 = 4 THEN 'unconfigured' WHEN event_type = 'error' THEN 'down' WHEN event_type = 'click' THEN 'degraded' ELSE 'ok' END AS state
+FROM events""",
     "images": """
 SELECT p_partkey % 40 AS doc_id, p_partkey AS image_id, CAST(1 + p_partkey % 6 AS INT) AS page_number,
   CAST(p_size * 9 AS DOUBLE) AS width_pt, CAST(p_partkey % 37 * 11 AS DOUBLE) AS height_pt,

@@ -6,7 +6,7 @@ import importlib
 
 from lumbrera.queries import registry
 
-MODULES = ("text", "metrics")
+MODULES = ("text", "metrics", "lifecycle", "qa")
 
 
 def load() -> dict[str, registry.Query]:
