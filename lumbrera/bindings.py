@@ -52,8 +52,13 @@ SELECT l_orderkey AS doc_id, {_LINE_NUMBER} AS frag_id, CAST(1 + l_linenumber %
     WHEN 4 THEN '#CCCCCC' ELSE NULL END AS color,
   '#FFFFFF' AS background, l_partkey % 5 = 0 AS bold, l_returnflag = 'R' AS italic, l_linestatus = 'O' AS underline,
   l_linenumber % 5 = 0 AS link, l_linenumber <> 7 AS visible,
-  CASE l_partkey % 4 WHEN 0 THEN 'Arial' WHEN 1 THEN 'ABCDEF+BrushScriptMT-Italic' WHEN 2 THEN 'Verdana' ELSE NULL END AS font
+  CASE l_partkey % 4 WHEN 0 THEN 'Arial' WHEN 1 THEN 'ABCDEF+BrushScriptMT-Italic' WHEN 2 THEN 'Verdana' ELSE NULL END AS font,
+  l_partkey % 7 = 0 AS caps
 FROM lineitem""",
+    "paragraph_formats": """
+SELECT l_orderkey AS doc_id, CAST(1 + l_linenumber % 3 AS INT) AS para_id, max(l_suppkey) % 3 = 0 AS justified,
+  CASE max(l_partkey) % 4 WHEN 0 THEN CAST(1.0 AS DOUBLE) WHEN 1 THEN CAST(1.15 AS DOUBLE) WHEN 2 THEN CAST(1.5 AS DOUBLE) END AS line_spacing
+FROM lineitem GROUP BY l_orderkey, CAST(1 + l_linenumber % 3 AS INT)""",
     "ai_usage_events": """
 SELECT event_id, ts AS created_at, user_id % 12 AS connection_id, 'prov' || CAST(user_id % 5 AS STRING) AS provider,
   'model' || CAST(user_id % 3 AS STRING) AS model,
