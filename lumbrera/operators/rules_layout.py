@@ -38,10 +38,8 @@ def _measured(fragments: DataFrame) -> DataFrame:
     })
     ratio = (F.greatest("l_fg", "l_bg") + 0.05) / (F.least("l_fg", "l_bg") + 0.05)
     required = F.when(F.col("large") | F.col("size").isNull(), cfg.LARGE_MIN_RATIO).otherwise(cfg.NORMAL_MIN_RATIO)
-    return base.drop("l_fg", "l_bg").withColumn("ratio", F.when(F.col("fg").isNotNull() & F.col("bg").isNotNull(), ratio)).withColumn(
-        "fails_contrast", F.coalesce(F.col("ratio") < required, F.lit(False))
-    )
-
+    rated = base.withColumn("ratio", F.when(F.col("fg").isNotNull() & F.col("bg").isNotNull(), ratio)).drop("l_fg", "l_bg")
+    return rated.withColumn("fails_contrast", F.coalesce(F.col("ratio") < required, F.lit(False)))
 
 
 def _key(**parts: Column) -> Column:

@@ -9,6 +9,7 @@ from lumbrera.bindings import entity, table
 from lumbrera.functions import color as C
 from lumbrera.functions import text as T
 from lumbrera.operators import rules_text, segments
+from lumbrera.queries.oracle_rules import DECORATIVE, LINEAR, luminance, rgb, simulated
 from lumbrera.queries.oracle_views import NOT_WS, WORD, WS, collapse, excerpt, is_action, syllables, trim, wc
 from lumbrera.queries.registry import query
 
@@ -144,21 +145,9 @@ def action_verbs(spark, sf):
         "doc_id", F.size("v").alias("n"), F.array_join("v", "|").alias("verbs"))
 
 
-_LIN = "CASE WHEN {c} / 255.0::DOUBLE <= 0.04045::DOUBLE THEN {c} / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
-
-
-def _rgb(col: str, at: int) -> str:
-    return f"CAST('0x' || substring({col}, {at}, 2) AS INT)"
-
-
-def _lum(col: str) -> str:
-    parts = [f"{w}::DOUBLE * ({_LIN.format(c=_rgb(col, at))})" for w, at in ((0.2126, 2), (0.7152, 4), (0.0722, 6))]
-    return "(" + " + ".join(parts) + ")"
-
-
 @query("t17_contrast_ratio", f"""
 SELECT color, background, n, round_even((greatest(la, lb) + 0.05) / (least(la, lb) + 0.05), 6) AS ratio FROM (
-  SELECT color, background, n, {_lum('color')} AS la, {_lum('background')} AS lb FROM (
+  SELECT color, background, n, {luminance('color')} AS la, {luminance('background')} AS lb FROM (
     SELECT color, background, count(*) AS n FROM fragments WHERE color IS NOT NULL GROUP BY color, background))""")
 def contrast_ratio(spark, sf):
     pairs = entity(spark, sf, "fragments").filter("color is not null").groupBy("color", "background").agg(F.count("*").alias("n"))
@@ -167,15 +156,9 @@ def contrast_ratio(spark, sf):
 
 
 def _cvd_sql() -> str:
-    srgb = "255.0::DOUBLE * (CASE WHEN {v} <= 0.0031308 THEN 12.92::DOUBLE * {v} ELSE 1.055::DOUBLE * pow({v}, 1.0::DOUBLE / 2.4::DOUBLE) - 0.055::DOUBLE END)"
-    parts = []
-    for kind, rows in cfg.CVD_MATRICES.items():
-        for name, row in zip("rgb", rows):
-            mix = " + ".join(f"({w})::DOUBLE * l{c}" for w, c in zip(row, "rgb"))
-            v = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {mix}))"
-            parts.append(f"round_even({srgb.format(v='(' + v + ')')}, 4) AS {kind}_{name}")
-    lin = ", ".join(f"({_LIN.format(c=_rgb('color', at))}) AS l{c}" for c, at in (("r", 2), ("g", 4), ("b", 6)))
-    return f"SELECT color, n, {', '.join(parts)} FROM (SELECT color, n, {lin} FROM (SELECT color, count(*) AS n FROM fragments WHERE color IS NOT NULL GROUP BY color))"
+    seen = ", ".join(f"round_even({simulated(kind, c)}, 4) AS {kind}_{c}" for kind in cfg.CVD_MATRICES for c in "rgb")
+    lin = ", ".join(f"({LINEAR.format(c=rgb('color', at))}) AS l{c}" for c, at in (("r", 2), ("g", 4), ("b", 6)))
+    return f"SELECT color, n, {seen} FROM (SELECT color, n, {lin} FROM (SELECT color, count(*) AS n FROM fragments WHERE color IS NOT NULL GROUP BY color))"
 
 
 @query("t18_simulate_cvd", _cvd_sql())
@@ -188,13 +171,7 @@ def simulate_cvd(spark, sf):
         F.bround(F.col(f"{kind}.{c}"), 4).alias(f"{kind}_{c}") for kind in cfg.CVD_MATRICES for c in "rgb"])
 
 
-_FAMILY = "regexp_replace(lower(regexp_replace(regexp_replace(font, '^[A-Z]{6}[+]', ''), '[-,].*$', '')), '[^a-z0-9]', '', 'g')"
-
-
-@query("t19_is_decorative_font", f"""
-SELECT font, n, coalesce(regexp_matches({_FAMILY}, '^(?:{'|'.join(cfg.DECORATIVE_FONTS)})') OR regexp_matches({_FAMILY}, '{'|'.join(cfg.DECORATIVE_KEYWORDS)}'), false)
-  AND NOT coalesce(starts_with({_FAMILY}, 'comicsans'), false) AS decorative
-FROM (SELECT font, count(*) AS n FROM fragments GROUP BY font)""")
+@query("t19_is_decorative_font", f"SELECT font, n, {DECORATIVE} AS decorative FROM (SELECT font, count(*) AS n FROM fragments GROUP BY font)")
 def is_decorative_font(spark, sf):
     fonts = entity(spark, sf, "fragments").groupBy("font").agg(F.count("*").alias("n"))
     return fonts.select("font", "n", C.is_decorative_font(F.col("font")).alias("decorative"))
@@ -257,12 +234,16 @@ def r_readability(spark, sf):
     return segments.profile(entity(spark, sf, "materials")).select("doc_id", "readability")
 
 
-@query("r05_visual_references")
+@query("r05_visual_references", """
+SELECT doc_id, pos, 'accesibilidad_visual' AS category, 'para_revisar' AS severity,
+  'Referencia basada únicamente en la posición o aspecto visual' AS issue, frag AS original_text, frag AS anchor FROM visual_refs""")
 def r_visual(spark, sf):
     return _findings(spark, sf, "visual_references")
 
 
-@query("r06_color_only_references")
+@query("r06_color_only_references", """
+SELECT doc_id, pos, 'accesibilidad_visual' AS category, 'para_revisar' AS severity,
+  'Información transmitida solo mediante color (WCAG 1.4.1)' AS issue, frag AS original_text, frag AS anchor FROM color_refs""")
 def r_color(spark, sf):
     return _findings(spark, sf, "color_only_references")
 
