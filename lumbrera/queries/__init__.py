@@ -6,7 +6,7 @@ import importlib
 
 from lumbrera.queries import registry
 
-MODULES = ("text", "rules", "metrics", "lifecycle", "qa")
+MODULES = ("review", "text", "rules", "metrics", "lifecycle", "qa")
 
 
 def load() -> dict[str, registry.Query]:
