@@ -135,6 +135,18 @@ def mask(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("dni", "cuil"), digits).when(kind == "nombre_rotulado", name).otherwise(F.lit("***"))
 
 
+def _careful(pattern: str, replacement: str):
+    """Rewrites a piece that starts with a match, unless the match already holds a hidden value."""
+
+    def piece(text: Column, i: Column) -> Column:
+        match = F.substring_index(text, _CLOSE, 1)
+        after = F.right(text, F.length(text) - F.length(match) - 1)
+        hidden = F.when(F.contains(match, F.lit(HIDDEN)), match).otherwise(F.regexp_replace(match, pattern, replacement))
+        return F.when(i == 0, text).otherwise(F.concat(hidden, after))
+
+    return piece
+
+
 def redact(df: DataFrame, column: str) -> DataFrame:
     """Adds redacted and hidden: the text without secrets and how many were hidden.
 
@@ -148,13 +160,7 @@ def redact(df: DataFrame, column: str) -> DataFrame:
         fresh = F.size(F.filter(found, lambda m: ~F.contains(m, F.lit(HIDDEN))))
         pieces = F.split(F.regexp_replace(text, pattern, _OPEN + "$0" + _CLOSE), _OPEN)
 
-        def careful(piece: Column, i: Column, pattern=pattern, replacement=replacement) -> Column:
-            match = F.substring_index(piece, _CLOSE, 1)
-            after = F.right(piece, F.length(piece) - F.length(match) - 1)
-            hidden = F.when(F.contains(match, F.lit(HIDDEN)), match).otherwise(F.regexp_replace(match, pattern, replacement))
-            return F.when(i == 0, piece).otherwise(F.concat(hidden, after))
-
-        redone = F.when(F.contains(text, F.lit(HIDDEN)), F.array_join(F.transform(pieces, careful), "")).otherwise(
+        redone = F.when(F.contains(text, F.lit(HIDDEN)), F.array_join(F.transform(pieces, _careful(pattern, replacement)), "")).otherwise(
             F.regexp_replace(text, pattern, replacement))
         df = df.withColumns({"hidden": F.col("hidden") + fresh, "redacted": redone})
     return df

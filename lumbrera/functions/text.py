@@ -146,20 +146,27 @@ def plain_word_count(col: Column) -> Column:
     return count_words(col) - F.regexp_count(col, F.lit(DIGIT_WORD))
 
 
-# Every accepted form is known up front (verb, and verb of four letters or more plus one enclitic
-# pronoun), so membership is one hash lookup per token.
-ACTION_FORMS = sorted(
-    set(cfg.ACTION_VERBS) | {v + e for v in cfg.ACTION_VERBS if len(v) >= 4 for e in cfg.ENCLITICS}
+def _alternatives(words: list[str]) -> str:
+    """One pattern for a word list with shared beginnings factored out, so a token is read once."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        heads.setdefault(word[:1], []).append(word[1:])
+    optional = "" in heads
+    parts = [head + (_alternatives(tails) if tails != [""] else "") for head, tails in heads.items() if head]
+    body = parts[0] if len(parts) == 1 and not optional else "(?:" + "|".join(parts) + ")"
+    return body + "?" if optional and parts else body
+
+
+# A verb, or a verb of four letters or more followed by one enclitic pronoun.
+ACTION_WORD = (
+    rf"(?<!{WORD_CHAR})(?:{_alternatives([v for v in cfg.ACTION_VERBS if len(v) >= 4])}(?:{'|'.join(cfg.ENCLITICS)})?"
+    rf"|{_alternatives([v for v in cfg.ACTION_VERBS if len(v) < 4])})(?!{WORD_CHAR})"
 )
 
 
-def is_action_verb(token: Column) -> Column:
-    return token.isin(ACTION_FORMS)
-
-
 def action_verbs(col: Column) -> Column:
-    """Action verbs among the words of a text, in order, with repetitions."""
-    return F.filter(words(F.lower(col)), is_action_verb)
+    """Action verbs among the words of a text, in order, with repetitions, in lower case."""
+    return F.regexp_extract_all(F.lower(col), F.lit(ACTION_WORD), F.lit(0))
 
 
 # --- quotes ------------------------------------------------------------------------------------

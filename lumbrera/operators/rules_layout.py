@@ -10,6 +10,9 @@ for the few passages that are reported, and of those only the first fragments th
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from lumbrera import config as cfg
 from lumbrera.functions import color as C
 from lumbrera.functions import text as T
 from lumbrera.operators.ordered import top_per_key
+from lumbrera.session import cut
 
 PASSAGE = ["doc_id", "para_id", "rule"]
 SMALL, CONTRAST, PLAIN = "letra_chica_pasajes", "contraste_insuficiente", "parrafo"
@@ -114,96 +118,125 @@ def small_body(fragments: DataFrame) -> DataFrame:
     return body_font_size(fragments).filter(F.col("body_pt") < cfg.MIN_BODY_PT)
 
 
-def _small(found: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Passages in very small type, except where the whole body already is."""
-    long_enough = found.filter((F.col("rule") == SMALL) & (F.col("words") >= cfg.MIN_SMALL_PASSAGE_WORDS))
-    return long_enough.join(small_body(fragments).select("doc_id"), "doc_id", "left_anti")
+@dataclass(frozen=True)
+class Layout:
+    """What the layout rules share: fragment flags (lazy), marked paragraphs, and facts per document.
+
+    ``marked``: doc_id, para_id, rule, words, page_number, detail, ratio, key, one row per paragraph
+    and rule met. ``bodies``: doc_id, body_pt, body_font, decorative_body.
+    """
+
+    flags: DataFrame
+    marked: DataFrame
+    bodies: DataFrame
+    pairs: DataFrame
 
 
-def _contrast(found: DataFrame) -> DataFrame:
-    return found.filter((F.col("rule") == CONTRAST) & (F.col("words") >= cfg.MIN_LOW_CONTRAST_WORDS)).withColumn(
-        "ratio", F.bround("key.ratio", 2))
+def _spacing(value: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", ""), r"\.", ",")
 
 
-def _typography(found: DataFrame, formats: DataFrame) -> DataFrame:
-    """Paragraphs each typography rule marks, with the detail the rule reports."""
+def _marked(found: DataFrame, formats: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Paragraphs that meet a rule. A plain paragraph can meet two: justified and tightly spaced."""
     w, rule = F.col("words"), F.col("rule")
-    long_enough = (
-        ((rule == "cursiva") & (w >= cfg.MIN_ITALIC_WORDS)) | ((rule == "subrayado") & (w >= cfg.MIN_UNDERLINE_WORDS))
-        | ((rule == "fuente_decorativa") & (w >= cfg.MIN_DECORATIVE_WORDS))
+    small_body = F.coalesce(F.col("body_pt") < cfg.MIN_BODY_PT, F.lit(False))
+    fits = (
+        ((rule == SMALL) & (w >= cfg.MIN_SMALL_PASSAGE_WORDS) & ~small_body)
+        | ((rule == CONTRAST) & (w >= cfg.MIN_LOW_CONTRAST_WORDS)) | ((rule == "cursiva") & (w >= cfg.MIN_ITALIC_WORDS))
+        | ((rule == "subrayado") & (w >= cfg.MIN_UNDERLINE_WORDS)) | ((rule == "fuente_decorativa") & (w >= cfg.MIN_DECORATIVE_WORDS))
         | ((rule == "mayusculas") & (w >= cfg.MIN_CAPS_WORDS) & (w / F.col("counted") >= cfg.MIN_CAPS_RATIO))
     )
-    marked = found.filter(long_enough).select(*PASSAGE, "words", "page_number", F.col("key.face").alias("detail"))
-    body = found.filter((rule == PLAIN) & (w >= cfg.MIN_LAYOUT_WORDS)).join(formats, ["doc_id", "para_id"])
-    spacing = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", "line_spacing"), r"\.?0+$", ""), r"\.", ",")
-    layout = F.array_compact(F.array(
-        F.when(F.col("justified"), F.struct(F.lit("justificado").alias("rule"), F.lit(None).cast("string").alias("detail"))),
-        F.when(F.col("line_spacing") < cfg.MIN_LINE_SPACING - 1e-6, F.struct(F.lit("interlineado").alias("rule"), spacing.alias("detail"))),
+    long_plain = (rule == PLAIN) & (w >= cfg.MIN_LAYOUT_WORDS)
+
+    def met(condition: Column, name: Column, detail: Column) -> Column:
+        return F.when(F.coalesce(condition, F.lit(False)), F.struct(name.alias("rule"), detail.cast("string").alias("detail")))
+
+    detail = F.when(rule == SMALL, F.col("key.pt").cast("string")).when(rule == CONTRAST, F.format_string("%.2f", "ratio")).otherwise(F.col("key.face"))
+    rules = F.array_compact(F.array(
+        met(fits, rule, detail),
+        met(long_plain & F.col("justified"), F.lit("justificado"), F.lit(None)),
+        met(long_plain & (F.col("line_spacing") < cfg.MIN_LINE_SPACING - 1e-6), F.lit("interlineado"), _spacing("line_spacing")),
     ))
-    lines = body.drop("rule").select("doc_id", "para_id", "words", "page_number", F.inline(layout))
-    return marked.unionByName(lines.select(*marked.columns))
+    joined = found.withColumn("ratio", F.bround("key.ratio", 2)).join(formats, ["doc_id", "para_id"], "left").join(bodies, "doc_id", "left")
+    return joined.withColumn("met", rules).filter(F.size("met") > 0).select(
+        "doc_id", "para_id", "words", "page_number", "ratio", "key", F.inline("met"))
+
+
+def _bodies(fragments: DataFrame) -> DataFrame:
+    return body_font_size(fragments).join(body_font(fragments), "doc_id", "full_outer")
+
+
+def read_layout(fragments: DataFrame, formats: DataFrame) -> Layout:
+    """Marked paragraphs and document facts, summed once and cut from the fragments' plan."""
+    flags = flagged(fragments)
+    bodies = cut(_bodies(fragments))
+    return Layout(flags, cut(_marked(passages(flags), formats, bodies)), bodies, cut(colorblind_pairs(fragments)))
 
 
 def passages_of(fragments: DataFrame, formats: DataFrame, rule: str) -> DataFrame:
     """Paragraphs marked by one rule: doc_id, para_id, words, page_number, detail."""
-    found = passages(flagged(fragments))
-    if rule == SMALL:
-        return _small(found, fragments).select("doc_id", "para_id", "words", "page_number", F.col("key.pt").cast("string").alias("detail"))
-    if rule == CONTRAST:
-        return _contrast(found).select("doc_id", "para_id", "words", "page_number", F.format_string("%.2f", "ratio").alias("detail"))
-    return _typography(found, formats).filter(F.col("rule") == rule).drop("rule")
+    found = _marked(passages(flagged(fragments)), formats, _bodies(fragments))
+    return found.filter(F.col("rule") == rule).select("doc_id", "para_id", "words", "page_number", "detail")
 
 
-def _reported(marked: DataFrame, order: list, k: int = cfg.REPORTED_PER_RULE) -> DataFrame:
-    return top_per_key(marked, ["doc_id", "rule"], order, k, "pos")
+def _total(marked: DataFrame, rule: str) -> DataFrame:
+    return marked.filter(F.col("rule") == rule).groupBy("doc_id").agg(F.count("*").alias("total"))
 
 
-def small_passages(fragments: DataFrame) -> DataFrame:
+def small_passages(layout: Layout) -> DataFrame:
     """First three small passages of each document with the document's total."""
-    flags = flagged(fragments)
-    marked = _small(passages(flags), fragments)
-    totals = marked.groupBy("doc_id").agg(F.count("*").alias("total"))
-    return with_quotes(flags, _reported(marked, ["para_id"])).join(totals, "doc_id").select(
+    marked = layout.marked.filter(F.col("rule") == SMALL)
+    first = top_per_key(marked, ["doc_id"], ["para_id"], cfg.REPORTED_PER_RULE, "pos")
+    return with_quotes(layout.flags, first).join(_total(marked, SMALL), "doc_id").select(
         "doc_id", "para_id", "pos", "page_number", "words", F.col("key.pt").alias("font_size"), "example", "total")
 
 
-def low_contrast_passages(fragments: DataFrame) -> DataFrame:
-    """Worst three of the first twenty low-contrast passages, with totals and how many of them are severe."""
-    flags = flagged(fragments)
-    marked = _contrast(passages(flags))
-    totals = marked.groupBy("doc_id").agg(F.count("*").alias("total"))
+def contrast_totals(layout: Layout) -> DataFrame:
+    """total, kept (the first twenty) and how many of those are severe, per document."""
+    marked = layout.marked.filter(F.col("rule") == CONTRAST)
     stored = top_per_key(marked, ["doc_id"], ["para_id"], cfg.STORED_PASSAGES, "stored")
     severe = stored.groupBy("doc_id").agg(
-        F.count("*").alias("kept"), F.count_if(F.col("ratio") < cfg.LARGE_MIN_RATIO).alias("severe"))
-    worst = _reported(stored, ["ratio", "para_id"])
-    return with_quotes(flags, worst).join(totals, "doc_id").join(severe, "doc_id").select(
+        F.count("*").alias("kept"), F.count_if(F.col("ratio") < cfg.LARGE_MIN_RATIO).alias("severe"), F.min("ratio").alias("worst"))
+    return _total(marked, CONTRAST).join(severe, "doc_id")
+
+
+def low_contrast_passages(layout: Layout) -> DataFrame:
+    """Worst three of the first twenty low-contrast passages, with the document's totals."""
+    marked = layout.marked.filter(F.col("rule") == CONTRAST)
+    stored = top_per_key(marked, ["doc_id"], ["para_id"], cfg.STORED_PASSAGES, "stored")
+    worst = top_per_key(stored, ["doc_id"], ["ratio", "para_id"], cfg.REPORTED_PER_RULE, "pos")
+    return with_quotes(layout.flags, worst).join(contrast_totals(layout), "doc_id").select(
         "doc_id", "para_id", "pos", "page_number", "words", C.format_hex(F.col("key.fg")).alias("text_color"),
         C.format_hex(F.col("key.bg")).alias("background_color"), "ratio", F.col("key.large").alias("is_large"), "example",
         "total", "kept", "severe")
 
 
-def typography_issues(fragments: DataFrame, formats: DataFrame) -> DataFrame:
-    """Per document and rule: passages, words, first example, first ten pages, commonest detail, severity, rule order."""
-    flags = flagged(fragments)
-    marked = _typography(passages(flags), formats)
+def typography_rules(layout: Layout) -> DataFrame:
+    """Per document and typography rule: passages, words, first paragraph, commonest detail, severity, rule order."""
+    marked = layout.marked.filter(F.col("rule").isin(*cfg.TYPOGRAPHY_RULES))
+    by_detail = marked.groupBy("doc_id", "rule", "detail").agg(
+        F.count("*").alias("n"), F.sum("words").alias("w"), F.min("para_id").alias("seen"))
+    sums = by_detail.groupBy("doc_id", "rule").agg(
+        F.sum("n").alias("passages"), F.sum("w").alias("words"), F.min("seen").alias("para_id"),
+        F.min_by("detail", F.struct(F.col("detail").isNull(), -F.col("w"), "seen")).alias("detail"))
     order = F.array_position(F.array(*[F.lit(r) for r in cfg.TYPOGRAPHY_RULES]), F.col("rule")).cast("int")
-    sums = marked.groupBy("doc_id", "rule").agg(F.count("*").alias("passages"), F.sum("words").alias("words"), F.min("para_id").alias("para_id"))
+    main = (F.col("rule") == "fuente_decorativa") & F.col("decorative_body") & (F.col("body_font") == F.col("detail"))
+    return sums.join(layout.bodies, "doc_id", "left").select(
+        "doc_id", "rule", "passages", "words", "para_id", "detail", F.coalesce(main, F.lit(False)).alias("severe"), order.alias("issue_order"))
+
+
+def typography_issues(layout: Layout) -> DataFrame:
+    """:func:`typography_rules` with the first example and the first ten pages of each rule."""
+    issues = typography_rules(layout)
+    marked = layout.marked.filter(F.col("rule").isin(*cfg.TYPOGRAPHY_RULES))
     pages = top_per_key(
         marked.groupBy("doc_id", "rule", "page_number").agg(F.min("para_id").alias("seen")), ["doc_id", "rule"], ["seen", "page_number"], cfg.STORED_PAGES
     ).groupBy("doc_id", "rule").agg(F.array_sort(F.collect_list("page_number")).alias("pages"))
-    details = marked.filter("detail is not null").groupBy("doc_id", "rule", "detail").agg(F.sum("words").alias("n"), F.min("para_id").alias("seen"))
-    modal = details.groupBy("doc_id", "rule").agg(F.min_by("detail", F.struct(-F.col("n"), "seen")).alias("detail"))
     # Layout rules quote the whole paragraph, so their example comes from the plain flags.
     source = F.when(F.col("rule").isin("justificado", "interlineado"), PLAIN).otherwise(F.col("rule"))
-    asked = sums.select("doc_id", "para_id", F.col("rule").alias("issue"), source.alias("rule"))
-    examples = _quotes(flags, asked)
-    quoted = asked.join(examples, PASSAGE, "left").select("doc_id", F.col("issue").alias("rule"), F.coalesce("example", F.lit("")).alias("example"))
-    joined = (
-        sums.drop("para_id").join(pages, ["doc_id", "rule"]).join(modal, ["doc_id", "rule"], "left")
-        .join(quoted, ["doc_id", "rule"]).join(body_font(fragments), "doc_id", "left")
-    )
-    severe = F.coalesce((F.col("rule") == "fuente_decorativa") & F.col("decorative_body") & (F.col("body_font") == F.col("detail")), F.lit(False))
-    return joined.withColumns({"severe": severe, "issue_order": order}).drop("body_font", "decorative_body")
+    asked = issues.select("doc_id", "para_id", F.col("rule").alias("issue"), source.alias("rule"))
+    quoted = asked.join(_quotes(layout.flags, asked), PASSAGE, "left").select("doc_id", F.col("issue").alias("rule"), F.coalesce("example", F.lit("")).alias("example"))
+    return issues.drop("para_id").join(pages, ["doc_id", "rule"]).join(quoted, ["doc_id", "rule"])
 
 
 def colorblind_pairs(fragments: DataFrame) -> DataFrame:
@@ -273,89 +306,77 @@ _TITLES = {  # Fixed values: what each typography rule is called in a finding.
 }
 
 
-def layout_findings(fragments: DataFrame, formats: DataFrame, documents: DataFrame) -> DataFrame:
+def layout_findings(layout: Layout, documents: DataFrame) -> DataFrame:
     """Layout findings of files, in the shape of the text findings.
 
-    ``documents``: doc_id and source_type of the documents the rules apply to (files with text,
-    not scanned). It filters the fragments before anything is summed.
+    ``documents``: doc_id and source_type of the documents the layout was read for.
     """
-    kept = fragments.join(documents.select("doc_id"), "doc_id", "left_semi")
-    kinds = documents.select("doc_id", "source_type")
     visual, review, severe = F.lit("accesibilidad_visual"), F.lit("para_revisar"), F.lit("barrera_detectada")
 
     def shape(df: DataFrame, order: int, rule, pos, severity: Column, issue: Column, quote: Column) -> DataFrame:
-        return df.join(kinds, "doc_id").select(
+        return df.join(documents.select("doc_id", "source_type"), "doc_id").select(
             "doc_id", F.lit(order).alias("rule_order"), (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule"), pos.cast("int").alias("pos"),
             visual.alias("category"), severity.alias("severity"), issue.alias("issue"), quote.alias("original_text"), F.lit(None).cast("string").alias("anchor"))
 
-    body = small_body(kept)
+    body = layout.bodies.filter(F.col("body_pt") < cfg.MIN_BODY_PT)
     parts = [
         shape(body, 11, "letra_chica_cuerpo", F.lit(1), severe,
               F.concat(F.lit("Letra demasiado chica en el cuerpo del texto ("), pt(F.col("body_pt")), F.lit(" pt)")),
               F.concat(F.lit("[Cuerpo del texto de el documento: "), pt(F.col("body_pt")), F.lit(" pt]"))),
-        shape(small_passages(kept), 12, SMALL, F.col("pos"), review,
+        shape(small_passages(layout), 12, SMALL, F.col("pos"), review,
               F.concat(F.lit("Pasaje con letra muy chica ("), pt(F.col("font_size")), F.lit(" pt)"), _place(F.col("page_number"))), F.col("example")),
-        shape(low_contrast_passages(kept), 13, CONTRAST, F.col("pos"), F.when(F.col("ratio") < cfg.LARGE_MIN_RATIO, severe).otherwise(review),
+        shape(low_contrast_passages(layout), 13, CONTRAST, F.col("pos"), F.when(F.col("ratio") < cfg.LARGE_MIN_RATIO, severe).otherwise(review),
               F.concat(F.lit("Contraste insuficiente entre el texto y el fondo ("), _ratio(F.col("ratio")), F.lit(")"), _place(F.col("page_number"))), F.col("example")),
-        shape(typography_issues(kept, formats), 14, F.concat(F.lit("tipografia_"), F.col("rule")), F.col("issue_order"), F.when(F.col("severe"), severe).otherwise(review),
+        shape(typography_issues(layout), 14, F.concat(F.lit("tipografia_"), F.col("rule")), F.col("issue_order"), F.when(F.col("severe"), severe).otherwise(review),
               F.concat(
                   F.when(F.col("severe"), F.concat(F.lit("La fuente principal del texto es decorativa o manuscrita ("), "detail", F.lit(")")))
                   .when(F.col("rule") == "fuente_decorativa", F.concat(F.lit("Pasajes en una fuente decorativa o manuscrita ("), "detail", F.lit(")")))
                   .otherwise(F.try_element_at(F.create_map(*[F.lit(x) for kv in _TITLES.items() for x in kv]), F.col("rule"))),
                   _places(F.col("pages"))), F.col("example")),
-        shape(colorblind_pairs(kept).filter(F.col("pos") <= cfg.REPORTED_PER_RULE), 15, "colores_daltonismo", F.col("pos"), review,
+        shape(layout.pairs.filter(F.col("pos") <= cfg.REPORTED_PER_RULE), 15, "colores_daltonismo", F.col("pos"), review,
               F.concat(F.lit("Combinación de colores problemática para daltonismo ("), "color_a", F.lit(" y "), "color_b", F.lit(")"), _place(F.col("page_number"))),
               F.col("sample_a")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def layout_penalties(fragments: DataFrame, formats: DataFrame) -> DataFrame:
+def layout_penalties(layout: Layout) -> DataFrame:
     """Penalty rows of the layout rules: doc_id, ord, rule, category, count, points, severe."""
-    def shape(df: DataFrame, order, rule: Column, count: Column, points: Column, severe: Column) -> DataFrame:
-        return df.select("doc_id", (order if isinstance(order, Column) else F.lit(order)).cast("int").alias("ord"), rule.alias("rule"),
-                         F.lit("accesibilidad_visual").alias("category"), count.cast("int").alias("count"), points.cast("int").alias("points"), severe.alias("severe"))
-
-    found = passages(flagged(fragments))
-    no, yes = F.lit(False), F.lit(True)
-    small = _small(found, fragments).groupBy("doc_id").agg(F.count("*").alias("n"))
-    stored = top_per_key(_contrast(found), ["doc_id"], ["para_id"], cfg.STORED_PASSAGES, "stored").groupBy("doc_id").agg(
-        F.count("*").alias("kept"), F.count_if(F.col("ratio") < cfg.LARGE_MIN_RATIO).alias("severe"))
-    contrast = _contrast(found).groupBy("doc_id").agg(F.count("*").alias("n")).join(stored, "doc_id")
-    contrast_points = cfg.SEVERE_CONTRAST_POINTS * F.col("severe") + cfg.LOW_CONTRAST_POINTS * (F.col("n") - F.col("severe"))
-    pairs = colorblind_pairs(fragments).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return (
-        shape(small_body(fragments), 20, F.lit("letra_chica_cuerpo"), F.lit(1), F.lit(cfg.SMALL_BODY_POINTS), yes)
-        .unionByName(shape(small, 21, F.lit(SMALL), F.col("n"), F.least(F.lit(cfg.MAX_SMALL_PASSAGE_PENALTY), F.col("n") * cfg.SMALL_PASSAGE_POINTS), no))
-        .unionByName(shape(contrast, 22, F.lit(CONTRAST), F.col("n"), F.least(F.lit(cfg.MAX_CONTRAST_PENALTY), contrast_points), F.col("severe") > 0))
-        .unionByName(typography_penalties(fragments, formats))
-        .unionByName(shape(pairs, 40, F.lit("colores_daltonismo"), F.col("n"), F.least(F.lit(cfg.MAX_COLOR_PAIR_PENALTY), F.col("n") * cfg.COLOR_PAIR_POINTS), no))
-    )
-
-
-def typography_penalties(fragments: DataFrame, formats: DataFrame) -> DataFrame:
+    def shape(df: DataFrame, order: int, rule: str, count: Column, points: Column, severe: Column) -> DataFrame:
+        return df.select("doc_id", F.lit(order).alias("ord"), F.lit(rule).alias("rule"), F.lit("accesibilidad_visual").alias("category"),
+                         count.cast("int").alias("count"), points.cast("int").alias("points"), severe.alias("severe"))
+
+    n, no = F.col("total"), F.lit(False)
+    contrast = cfg.SEVERE_CONTRAST_POINTS * F.col("severe") + cfg.LOW_CONTRAST_POINTS * (n - F.col("severe"))
+    pairs = layout.pairs.groupBy("doc_id").agg(F.count("*").alias("total"))
+    return reduce(DataFrame.unionByName, [
+        shape(layout.bodies.filter(F.col("body_pt") < cfg.MIN_BODY_PT), 20, "letra_chica_cuerpo", F.lit(1), F.lit(cfg.SMALL_BODY_POINTS), F.lit(True)),
+        shape(_total(layout.marked, SMALL), 21, SMALL, n, F.least(F.lit(cfg.MAX_SMALL_PASSAGE_PENALTY), n * cfg.SMALL_PASSAGE_POINTS), no),
+        shape(contrast_totals(layout), 22, CONTRAST, n, F.least(F.lit(cfg.MAX_CONTRAST_PENALTY), contrast), F.col("severe") > 0),
+        typography_penalties(layout),
+        shape(pairs, 40, "colores_daltonismo", n, F.least(F.lit(cfg.MAX_COLOR_PAIR_PENALTY), n * cfg.COLOR_PAIR_POINTS), no),
+    ])
+
+
+def typography_penalties(layout: Layout) -> DataFrame:
     """Points per typography rule in rule order until the shared cap is used up; rows of zero points are left out.
 
     A document has at most six such rows, so the running sum is over a bounded window.
     """
-    w = Window.partitionBy("doc_id").orderBy("issue_order")
+    w = Window.partitionBy("doc_id").orderBy("issue_order").rowsBetween(Window.unboundedPreceding, -1)
     full = F.when(F.col("severe"), cfg.DECORATIVE_BODY_POINTS).otherwise(cfg.TYPOGRAPHY_POINTS)
-    issues = typography_issues(fragments, formats).withColumn("full", full)
-    before = F.coalesce(F.sum("full").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    points = F.greatest(F.lit(0), F.least(F.col("full"), cfg.MAX_TYPOGRAPHY_PENALTY - F.col("before")))
-    return issues.withColumn("before", before).withColumn("points", points).filter("points > 0").select(
+    before = F.coalesce(F.sum("full").over(w), F.lit(0))
+    points = F.greatest(F.lit(0), F.least(F.col("full"), cfg.MAX_TYPOGRAPHY_PENALTY - before))
+    return typography_rules(layout).withColumn("full", full).withColumn("points", points).filter("points > 0").select(
         "doc_id", (F.lit(30) + F.col("issue_order")).cast("int").alias("ord"), F.concat(F.lit("tipografia_"), "rule").alias("rule"),
         F.lit("accesibilidad_visual").alias("category"), F.col("passages").cast("int").alias("count"), F.col("points").cast("int").alias("points"), "severe")
 
 
-def layout_facts(fragments: DataFrame, formats: DataFrame) -> DataFrame:
+def layout_facts(layout: Layout) -> DataFrame:
     """Layout columns of the metric row: body size, small passages, low-contrast passages, typography rules met."""
-    found = passages(flagged(fragments))
-    small = _small(found, fragments).groupBy("doc_id").agg(F.count("*").cast("int").alias("small_text_passages"))
-    contrast = _contrast(found).groupBy("doc_id").agg(F.count("*").cast("int").alias("low_contrast_passages"))
-    rules = _typography(found, formats).groupBy("doc_id").agg(F.count_distinct("rule").cast("int").alias("typography_issues"))
-    joined = body_font_size(fragments).join(small, "doc_id", "full_outer").join(contrast, "doc_id", "full_outer").join(rules, "doc_id", "full_outer")
-    return joined.na.fill(0, ["small_text_passages", "low_contrast_passages", "typography_issues"])
+    rule = F.col("rule")
+    counts = layout.marked.groupBy("doc_id").agg(
+        F.count_if(rule == SMALL).cast("int").alias("small_text_passages"), F.count_if(rule == CONTRAST).cast("int").alias("low_contrast_passages"),
+        F.count_distinct(F.when(rule.isin(*cfg.TYPOGRAPHY_RULES), rule)).cast("int").alias("typography_issues"))
+    return layout.bodies.select("doc_id", "body_pt").join(counts, "doc_id", "full_outer").na.fill(
+        0, ["small_text_passages", "low_contrast_passages", "typography_issues"])

@@ -47,7 +47,7 @@ def profile(materials: DataFrame) -> DataFrame:
     # column is read more than once, so no regex runs twice.
     staged = materials.withColumns({
         "_lines": T.lines(text),
-        "_tokens": F.transform(T.split_sentences(text), lambda s: F.struct(s.alias("text"), T.words(s).alias("words"))),
+        "_sentences": F.transform(T.split_sentences(text), lambda s: F.struct(s.alias("text"), T.count_words(s).alias("words"))),
         "_visual": _all_fragments(text, cfg.VISUAL_REFERENCE_PATTERNS),
         "_color": _all_fragments(text, cfg.COLOR_ONLY_PATTERNS),
         "word_count": T.count_words(text),
@@ -60,12 +60,9 @@ def profile(materials: DataFrame) -> DataFrame:
             "_lines", lambda p, i: F.struct((i + 1).alias("pos"), p.alias("text"), T.count_words(p).alias("words"))
         ),
         "sentences": F.transform(
-            F.filter("_tokens", lambda s: F.size(s["words"]) > 0),
+            F.filter("_sentences", lambda s: s["words"] > 0),
             lambda s, i: F.struct(
-                (i + 1).alias("pos"),
-                s["text"].alias("text"),
-                F.size(s["words"]).alias("words"),
-                F.filter(F.transform(s["words"], F.lower), T.is_action_verb).alias("actions"),
+                (i + 1).alias("pos"), s["text"].alias("text"), s["words"].alias("words"), T.action_verbs(s["text"]).alias("actions")
             ),
         ),
         "visual_refs": _first_distinct("_visual", cfg.REPORTED_PER_RULE),
@@ -76,7 +73,7 @@ def profile(materials: DataFrame) -> DataFrame:
     ratio = F.col("syllables") / F.col("plain_words")
     pace = F.col("plain_words") / F.size("sentences")
     seen = F.transform("visual_refs", F.lower)
-    return shaped.drop("_lines", "_tokens", "_visual", "_color", "number_words").withColumns({
+    return shaped.drop("_lines", "_sentences", "_visual", "_color", "number_words").withColumns({
         "color_refs": F.filter("color_refs", lambda c: ~F.array_contains(seen, F.lower(c))),
         "is_scanned": scanned,
         "readability": F.when(

@@ -13,7 +13,7 @@ from lumbrera.queries import rules as rule_queries
 from lumbrera.queries.metrics import counts_sql, iso, iso_sql
 from lumbrera.queries.oracle_views import NOT_WS, WORD, collapse, trim, wc
 from lumbrera.queries.registry import query
-from lumbrera.session import checkpoint_dir
+from lumbrera.session import checkpoint_dir, cut
 from lumbrera.sources import materials as M
 from lumbrera.sources import tables
 
@@ -164,7 +164,7 @@ def unverified_counts(spark, sf):
 
 
 def _rule_findings(spark, sf):
-    return diagnosis.all_findings(rule_queries.inputs(spark, sf))
+    return cut(diagnosis.all_findings(rule_queries.inputs(spark, sf)))
 
 
 @query("f03_suppress_covered")
@@ -367,8 +367,7 @@ def barrier_resolution(spark, sf):
 
 
 def _before(spark, sf):
-    inputs = rule_queries.inputs(spark, sf)
-    return diagnosis.scores(inputs, entity(spark, sf, "ai_scores")), diagnosis.all_penalties(inputs)
+    return diagnosis.scores_and_penalties(rule_queries.inputs(spark, sf), entity(spark, sf, "ai_scores"))
 
 
 @query("c10_score_after")

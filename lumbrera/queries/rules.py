@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from lumbrera import config as cfg
 from lumbrera.bindings import entity
+from lumbrera.functions import text as T
 from lumbrera.operators import rules_layout, rules_text, scoring
 from lumbrera.plans import diagnosis
 from lumbrera.queries import oracle_rules  # noqa: F401  (registers views)
 from lumbrera.queries.registry import query
+from lumbrera.session import cut
 
 
 def frags(spark, sf):
@@ -20,6 +22,10 @@ def formats(spark, sf):
     return entity(spark, sf, "paragraph_formats")
 
 
+def layout(spark, sf) -> rules_layout.Layout:
+    return rules_layout.read_layout(frags(spark, sf), formats(spark, sf))
+
+
 def inputs(spark, sf) -> diagnosis.Inputs:
     return diagnosis.Inputs(*[entity(spark, sf, n) for n in ("materials", "headings", "fragments", "paragraph_formats")])
 
@@ -38,14 +44,14 @@ def small_body(spark, sf):
 SELECT s.doc_id, s.para_id, CAST(pos AS INT) AS pos, s.page_number, s.words, CAST(key AS DOUBLE) AS font_size, q.example, total FROM small_rows s
 JOIN frag_quotes q ON q.doc_id = s.doc_id AND q.para_id = s.para_id AND q.rule = s.rule WHERE pos <= 3""")
 def small_passages(spark, sf):
-    return rules_layout.small_passages(frags(spark, sf))
+    return rules_layout.small_passages(layout(spark, sf))
 
 
 @query("r14_low_contrast_passages", """
 SELECT s.doc_id, s.para_id, CAST(pos AS INT) AS pos, s.page_number, s.words, color AS text_color, background AS background_color, ratio, large AS is_large, q.example, total, kept, severe
 FROM contrast_worst s JOIN frag_quotes q ON q.doc_id = s.doc_id AND q.para_id = s.para_id AND q.rule = s.rule WHERE pos <= 3""")
 def low_contrast_passages(spark, sf):
-    return rules_layout.low_contrast_passages(frags(spark, sf))
+    return rules_layout.low_contrast_passages(layout(spark, sf))
 
 
 def _typography(name: str, rule: str) -> None:
@@ -66,7 +72,7 @@ for _name, _rule in (
 @query("r21_typography_issues", """
 SELECT doc_id, rule, passages, words, example, list_aggregate(list_transform(pages, lambda x: CAST(x AS STRING)), 'string_agg', ',') AS pages, detail, severe, issue_order FROM typo_issues""")
 def typography_issues(spark, sf):
-    found = rules_layout.typography_issues(frags(spark, sf), formats(spark, sf))
+    found = rules_layout.typography_issues(layout(spark, sf))
     return found.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ",")).select(
         "doc_id", "rule", "passages", "words", "example", "pages", "detail", "severe", "issue_order")
 
@@ -90,7 +96,7 @@ FROM facts f LEFT JOIN layout_docs d USING (doc_id) LEFT JOIN body_sizes b USING
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM contrast_rows GROUP BY 1) c USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM typo_issues GROUP BY 1) t USING (doc_id)""")
 def rule_metrics(spark, sf):
     judged = scoring.counted(rules_text.assess(entity(spark, sf, "materials"), entity(spark, sf, "headings")))
-    return scoring.rule_metrics(judged, rules_layout.layout_facts(frags(spark, sf), formats(spark, sf)))
+    return scoring.rule_metrics(judged, rules_layout.layout_facts(layout(spark, sf)))
 
 
 def _counted(spark, sf):
@@ -109,12 +115,12 @@ def structure_penalties(spark, sf):
 
 @query("c04_legibility_penalties", "SELECT * FROM layout_penalties")
 def legibility_penalties(spark, sf):
-    return rules_layout.layout_penalties(frags(spark, sf), formats(spark, sf))
+    return rules_layout.layout_penalties(layout(spark, sf))
 
 
 @query("c05_typography_penalties", "SELECT * FROM typography_penalties")
 def typography_penalties(spark, sf):
-    return rules_layout.typography_penalties(frags(spark, sf), formats(spark, sf))
+    return rules_layout.typography_penalties(layout(spark, sf))
 
 
 def _scores(spark, sf):
@@ -147,12 +153,12 @@ SELECT s.doc_id, s.final_score, CAST(least(s.final_score // 10, 9) AS INT) AS bi
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, pos) AS rn FROM doc_sentences WHERE words > {cfg.LONG_SENTENCE_WORDS}) WHERE rn <= 3) l ON l.doc_id = s.doc_id""")
 def score_and_longest_sentences(spark, sf):
     """Flagship: the score of every document with its three longest sentences."""
-    judged = diagnosis.judged(inputs(spark, sf))
-    scored = _scores(spark, sf).select("doc_id", "final_score")
+    given = inputs(spark, sf)
+    judged = cut(diagnosis.judged(given).select("doc_id", "has_text", "is_scanned", "penalties", "findings"))
+    points = rules_layout.layout_penalties(diagnosis.layout(given))
+    scored = scoring.scores(judged, points, entity(spark, sf, "ai_scores")).select("doc_id", "final_score")
     longest = judged.select("doc_id", F.inline(F.filter("findings", lambda f: f["rule"] == "oraciones_extensas"))).select(
         "doc_id", "pos", F.col("anchor").alias("text"))
-    from lumbrera.functions import text as T
-
     return scored.join(longest, "doc_id", "left").select(
         "doc_id", "final_score", F.least(F.floor(F.col("final_score") / 10), F.lit(9)).cast("int").alias("bin"), "pos",
         T.count_words(F.col("text")).alias("words"), "text")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "lumbrera", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,3 +36,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a shared intermediate result to the checkpoint folder and go on from there.
+
+    Used where several branches read the same aggregate: they neither repeat it nor depend on
+    executors that computed it, and the plan of each branch starts small.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
