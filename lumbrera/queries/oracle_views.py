@@ -135,4 +135,7 @@ SELECT s.doc_id, island, coalesce(head, first_heading) AS head, words FROM (
   FROM section_islands GROUP BY doc_id, island) s
 JOIN (SELECT doc_id, text AS first_heading FROM headings WHERE pos = 1) f ON f.doc_id = s.doc_id
 WHERE words > {cfg.LONG_SECTION_WORDS}""",
+    "run_sets": """
+SELECT *, row_number() OVER (PARTITION BY sample, mode ORDER BY a, t, u) AS k FROM (
+  SELECT user_id % 20 AS sample, 'v' || (event_id % 2) AS mode, event_id % 5 AS a, event_type AS t, user_id % 3 AS u, count(*) AS n FROM events GROUP BY 1, 2, 3, 4, 5)""",
 }
