@@ -6,7 +6,7 @@ import importlib
 
 from lumbrera.queries import registry
 
-MODULES = ("review", "text", "rules", "metrics", "lifecycle", "qa", "formats")
+MODULES = ("review", "text", "rules", "metrics", "lifecycle", "qa", "formats", "streams")
 
 
 def load() -> dict[str, registry.Query]:

@@ -65,8 +65,9 @@ def cap_sections(spark, sf):
 
 def _lines(spark, sf):
     """Printed lines with type, from line items: sizes and weights vary, most text is body."""
-    return table(spark, sf, "lineitem").filter("l_orderkey is not null").select(
-        F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("line_no"),
+    order = F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber").cast("long") * 1_000_000_000_000 + order).alias("line_no"),
         (1 + F.col("l_linenumber") % 3).cast("int").alias("page_number"),
         F.concat(F.repeat(F.lit("palabra "), (1 + F.col("l_suppkey") % 14).cast("int")), F.lit("l"), F.col("l_linenumber").cast("string")).alias("text"),
         F.when(F.col("l_partkey") % 3 == 0, 14.0).when(F.col("l_partkey") % 7 == 0, 18.2).otherwise(10.0).alias("size"),
@@ -75,9 +76,7 @@ def _lines(spark, sf):
 
 @query("r23_infer_headings")
 def infer_headings(spark, sf):
-    lines = _lines(spark, sf)
-    numbered = lines.withColumn("line_no", F.col("line_no.l_linenumber") * F.lit(1_000_000_000) + F.col("line_no.l_partkey") * 1000 + F.col("line_no.l_suppkey") % 1000)
-    return formats.infer_headings(numbered)
+    return formats.infer_headings(_lines(spark, sf))
 
 
 @query("e01_summarize_runs", """
