@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-import itertools
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,32 +110,32 @@ def proposal_spans(proposals: DataFrame, materials: DataFrame) -> DataFrame:
     return placed.drop("spans", "turn").withColumns({"start": F.col("span.start"), "end": F.col("span.end")}).drop("span")
 
 
-_VERDICT = "doc_id long, proposal_id long, selected boolean, lost_to long"
+_SPAN = "struct<start:int,end:int,proposal_id:bigint>"
+_VERDICT = "struct<proposal_id:bigint,selected:boolean,lost_to:bigint>"
+
+
+def _greedy(spans: Column) -> Column:
+    """Verdicts of one island: spans in priority order, each accepted unless it touches one already accepted."""
+    start = F.struct(F.array().cast(f"array<{_SPAN}>").alias("taken"), F.array().cast(f"array<{_VERDICT}>").alias("verdicts"))
 
+    def step(acc: Column, s: Column) -> Column:
+        clash = F.try_element_at(F.filter(acc["taken"], lambda t: F.greatest(t["start"], s["start"]) < F.least(t["end"], s["end"])), F.lit(1))
+        winner = clash["proposal_id"]
+        mine = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["proposal_id"].alias("proposal_id"))
+        verdict = F.struct(s["proposal_id"].alias("proposal_id"), winner.isNull().alias("selected"), winner.alias("lost_to"))
+        return F.struct(
+            F.when(winner.isNull(), F.concat(acc["taken"], F.array(mine))).otherwise(acc["taken"]).alias("taken"),
+            F.concat(acc["verdicts"], F.array(verdict)).alias("verdicts"))
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Accept the spans of one island in priority order unless they touch one already accepted."""
-    taken: list[tuple[int, int, int, int]] = []  # start, end, order of acceptance, proposal
-    verdicts = []
-    ranked = pdf.sort_values(["edited", "decided_at", "proposal_id"], ascending=False)
-    for row in ranked.itertuples():
-        near = bisect.bisect_left(taken, (row.start,))
-        first = near - 1 if near and taken[near - 1][1] > row.start else near
-        clashes = list(itertools.takewhile(lambda t: t[0] < row.end, taken[first:]))
-        winner = min(clashes, key=lambda t: t[2])[3] if clashes else None
-        verdicts.append((row.doc_id, row.proposal_id, winner is None, winner))
-        if winner is None:
-            bisect.insort(taken, (row.start, row.end, len(taken), row.proposal_id))
-    out = pd.DataFrame(verdicts, columns=["doc_id", "proposal_id", "selected", "lost_to"])
-    return out.astype({"lost_to": "Int64"})
+    return F.aggregate(spans, start, step, lambda acc: acc["verdicts"])
 
 
 def select_replacements(spans: DataFrame) -> DataFrame:
     """Which placed proposals apply: edited before accepted, then the latest decision, then the id.
 
     ``spans``: doc_id, proposal_id, status, decided_at, start, end. Equal spans are settled by one
-    window; a span that touches no other is accepted as it is. Only islands of overlapping, distinct
-    spans, where order matters, go to Python, one island per group, and they carry offsets only.
+    aggregate; a span that touches no other is accepted as it is. Only islands of overlapping, distinct
+    spans, where order matters, are gathered, one island per row, and they carry offsets only.
     """
     placed = spans.filter(F.col("start").isNotNull()).select(
         "doc_id", "proposal_id", (F.col("status") == "editada").cast("int").alias("edited"), "decided_at", "start", "end"
@@ -155,7 +151,8 @@ def select_replacements(spans: DataFrame) -> DataFrame:
     sized = islands.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "island")))
     alone = sized.filter("size = 1").select(
         "doc_id", "proposal_id", F.lit(True).alias("selected"), F.lit(None).cast("long").alias("lost_to"))
-    contested = sized.filter("size > 1").groupBy("doc_id", "island").applyInPandas(_greedy, schema=_VERDICT)
+    ranked = F.reverse(F.array_sort(F.collect_list(F.struct("edited", "decided_at", "proposal_id", "start", "end"))))
+    contested = sized.filter("size > 1").groupBy("doc_id", "island").agg(ranked.alias("spans")).select("doc_id", F.inline(_greedy(F.col("spans"))))
     verdicts = alone.unionByName(contested)
     settled = champions.join(verdicts, ["doc_id", "proposal_id"]).select(
         "doc_id", "start", "end", F.col("proposal_id").alias("champion"), "selected", "lost_to")
