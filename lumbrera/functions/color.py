@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from lumbrera import config as cfg
 
 
+def rgb_number(col: Column) -> Column:
+    """'#CCCCCC' or 'CCCCCC' as one number; NULL for anything else."""
+    return F.when(col.rlike("^#?[0-9A-Fa-f]{6}$"), F.conv(F.right(col, F.lit(6)), 16, 10).cast("int"))
+
+
+def unpack(number: Column) -> Column:
+    """Number of a colour to struct(r, g, b)."""
+    return F.struct(
+        F.shiftright(number, 16).alias("r"), F.shiftright(number, 8).bitwiseAND(255).alias("g"), number.bitwiseAND(255).alias("b"))
+
+
 def parse_hex(col: Column) -> Column:
-    """'#CCCCCC' or 'CCCCCC' to struct(r, g, b); NULL for anything else."""
-    digits = F.regexp_replace(col, "^#+", "")
+    """Hex colour to struct(r, g, b); NULL when it is not one."""
+    number = rgb_number(col)
+    return F.when(number.isNotNull(), unpack(number))
 
-    def channel(position: int) -> Column:
-        return F.conv(F.substring(digits, position, 2), 16, 10).cast("int")
 
-    return F.when(
-        digits.rlike("^[0-9A-Fa-f]{6}$"),
-        F.struct(channel(1).alias("r"), channel(3).alias("g"), channel(5).alias("b")),
-    )
+def number_hex(number: Column) -> Column:
+    return F.format_string("#%06X", number)
 
 
 def format_hex(rgb: Column) -> Column:

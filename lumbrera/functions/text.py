@@ -275,10 +275,12 @@ def file_format(filename: Column) -> Column:
     return F.when(F.contains(filename, F.lit(".")), F.lower(F.element_at(F.split(filename, r"\."), -1)))
 
 
+_NOT_LETTER = r"[^\p{L}\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+_TWO_LETTERS = rf"{_NOT_LETTER}*+\p{{L}}{_NOT_LETTER}*+\p{{L}}{NOT_WHITESPACE}*+"
+_ALL_CAPS = rf"(?<!{NOT_WHITESPACE})(?:{_NOT_LETTER}*+\p{{Lu}}){{2,}}+{_NOT_LETTER}*+(?!{NOT_WHITESPACE})"
+
+
 def caps_counts(col: Column) -> Column:
     """struct(caps, counted): all-capital words and evaluable words (two letters or more)."""
-    letters = F.filter(
-        F.transform(spaced_words(col), lambda w: F.regexp_replace(w, r"\P{L}+", "")), lambda w: F.length(w) >= 2
-    )
-    capital = F.filter(letters, lambda w: w.rlike(r"^\p{Lu}+$"))
-    return F.struct(F.size(capital).alias("caps"), F.size(letters).alias("counted"))
+    return F.struct(
+        F.regexp_count(col, F.lit(_ALL_CAPS)).alias("caps"), F.regexp_count(col, F.lit(_TWO_LETTERS)).alias("counted"))

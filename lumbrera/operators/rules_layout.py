@@ -32,13 +32,13 @@ def _measured(fragments: DataFrame) -> DataFrame:
         "chars": F.length("text"),
         "words": T.count_spaced_words(F.col("text")),
         "pt": F.bround("size", 1),
-        "fg": C.parse_hex(F.col("color")),
-        "bg": C.parse_hex(F.col("background")),
+        "fg": C.rgb_number(F.col("color")),
+        "bg": C.rgb_number(F.col("background")),
         "face": C.font_label(F.col("font")),
         "caps_of": T.caps_counts(F.when(F.coalesce("caps", F.lit(False)), F.upper("text")).otherwise(F.col("text"))),
     })
     base = base.withColumns({
-        "l_fg": C.luminance(F.col("fg")), "l_bg": C.luminance(F.col("bg")), "large": C.is_large(F.col("size"), F.col("bold")),
+        "l_fg": C.luminance(C.unpack(F.col("fg"))), "l_bg": C.luminance(C.unpack(F.col("bg"))), "large": C.is_large(F.col("size"), F.col("bold")),
     })
     ratio = (F.greatest("l_fg", "l_bg") + 0.05) / (F.least("l_fg", "l_bg") + 0.05)
     required = F.when(F.col("large") | F.col("size").isNull(), cfg.LARGE_MIN_RATIO).otherwise(cfg.NORMAL_MIN_RATIO)
@@ -47,7 +47,7 @@ def _measured(fragments: DataFrame) -> DataFrame:
 
 
 def _key(**parts: Column) -> Column:
-    kinds = {"face": "string", "pt": "double", "fg": "struct<r:int,g:int,b:int>", "bg": "struct<r:int,g:int,b:int>", "large": "boolean", "ratio": "double"}
+    kinds = {"face": "string", "pt": "double", "fg": "int", "bg": "int", "large": "boolean", "ratio": "double"}
     return F.struct(*[parts.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
 
 
@@ -206,8 +206,8 @@ def low_contrast_passages(layout: Layout) -> DataFrame:
     stored = top_per_key(marked, ["doc_id"], ["para_id"], cfg.STORED_PASSAGES, "stored")
     worst = top_per_key(stored, ["doc_id"], ["ratio", "para_id"], cfg.REPORTED_PER_RULE, "pos")
     return with_quotes(layout.flags, worst).join(contrast_totals(layout), "doc_id").select(
-        "doc_id", "para_id", "pos", "page_number", "words", C.format_hex(F.col("key.fg")).alias("text_color"),
-        C.format_hex(F.col("key.bg")).alias("background_color"), "ratio", F.col("key.large").alias("is_large"), "example",
+        "doc_id", "para_id", "pos", "page_number", "words", C.number_hex(F.col("key.fg")).alias("text_color"),
+        C.number_hex(F.col("key.bg")).alias("background_color"), "ratio", F.col("key.large").alias("is_large"), "example",
         "total", "kept", "severe")
 
 
@@ -245,15 +245,14 @@ def colorblind_pairs(fragments: DataFrame) -> DataFrame:
     Candidates are the twelve most used chromatic colours, so pairing happens inside one bounded
     array per document rather than by joining a document's fragments with themselves.
     """
-    used = _measured(fragments).filter(F.col("fg").isNotNull()).filter(C.chroma(F.col("fg")) >= cfg.MIN_CHROMA)
-    sample = F.when(F.length("text") <= 80, F.col("text")).otherwise(F.concat(F.left("text", F.lit(77)), F.lit("...")))
-    colors = used.groupBy("doc_id", "fg").agg(
-        F.sum("chars").alias("chars"), F.min("frag_id").alias("first"),
-        F.min_by(F.struct("page_number", sample.alias("sample")), "frag_id").alias("at"))
-    top = top_per_key(colors.filter(F.col("chars") >= cfg.MIN_COLOR_CHARS), ["doc_id"], [F.desc("chars"), "first"], cfg.CHROMATIC_CANDIDATES)
+    used = fragments.withColumn("text", T.strip(F.col("text"))).filter("text <> '' and color is not null")
+    sums = used.groupBy("doc_id", F.upper("color").alias("hex")).agg(F.sum(F.length("text")).alias("chars"), F.min("frag_id").alias("first"))
+    colors = sums.withColumn("fg", C.unpack(C.rgb_number(F.col("hex")))).filter(
+        (F.col("chars") >= cfg.MIN_COLOR_CHARS) & (C.chroma(F.col("fg")) >= cfg.MIN_CHROMA))
+    top = top_per_key(colors, ["doc_id"], [F.desc("chars"), "first"], cfg.CHROMATIC_CANDIDATES)
     for kind in cfg.CVD_MATRICES:
         top = top.withColumn(kind, C.simulate(F.col("fg"), kind))
-    listed = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "fg", "at", *cfg.CVD_MATRICES))).alias("cs"))
+    listed = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hex", "fg", "first", *cfg.CVD_MATRICES))).alias("cs"))
 
     def pair(a: Column, b: Column) -> Column:
         return F.struct(a["rank"].alias("i"), b["rank"].alias("j"), a.alias("a"), b.alias("b"), C.distance(a["fg"], b["fg"]).alias("seen"),
@@ -265,10 +264,20 @@ def colorblind_pairs(fragments: DataFrame) -> DataFrame:
         F.when((F.col(k) < cfg.MAX_SIMULATED_DISTANCE) & (F.col(k) / F.col("seen") < cfg.MAX_SIMULATED_RATIO), F.lit(k)) for k in cfg.CVD_MATRICES
     ]))
     collapsing = exploded.withColumn("deficiencies", kinds).filter(F.size("deficiencies") > 0)
-    return top_per_key(collapsing, ["doc_id"], ["i", "j"], cfg.MAX_COLOR_PAIRS, "pos").select(
-        "doc_id", "pos", C.format_hex(F.col("a.fg")).alias("color_a"), C.format_hex(F.col("b.fg")).alias("color_b"),
-        F.array_join("deficiencies", ",").alias("deficiencies"), F.col("a.at.sample").alias("sample_a"),
-        F.col("b.at.sample").alias("sample_b"), F.col("a.at.page_number").alias("page_number"))
+    reported = top_per_key(collapsing, ["doc_id"], ["i", "j"], cfg.MAX_COLOR_PAIRS, "pos").select(
+        "doc_id", "pos", F.col("a.hex").alias("fg_a"), F.col("b.hex").alias("fg_b"), F.col("a.first").alias("first_a"), F.col("b.first").alias("first_b"), "deficiencies")
+    # The first text in each colour is looked up for the reported pairs only.
+    sample = F.when(F.length("text") <= 80, F.col("text")).otherwise(F.concat(F.left("text", F.lit(77)), F.lit("...")))
+    texts = used.select("doc_id", F.upper("color").alias("fg"), "frag_id", "page_number", sample.alias("sample"))
+
+    for side in ("a", "b"):
+        keys = ["doc_id", f"fg_{side}", f"first_{side}"]
+        found = texts.withColumnsRenamed({"fg": f"fg_{side}", "frag_id": f"first_{side}"}).join(reported.select(*keys).distinct(), keys, "left_semi")
+        reported = reported.join(found.groupBy(*keys).agg(
+            F.min("sample").alias(f"sample_{side}"), F.min("page_number").alias(f"page_{side}")), keys)
+    return reported.select(
+        "doc_id", "pos", F.concat(F.lit("#"), F.right("fg_a", F.lit(6))).alias("color_a"), F.concat(F.lit("#"), F.right("fg_b", F.lit(6))).alias("color_b"),
+        F.array_join("deficiencies", ",").alias("deficiencies"), "sample_a", "sample_b", F.col("page_a").alias("page_number"))
 
 
 # --- findings, facts and penalties ---------------------------------------------------------------------
