@@ -45,11 +45,25 @@ def evidence_usage(evidence: DataFrame) -> DataFrame:
     return filled.rollup("kind").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+def _open_published(bugs: DataFrame) -> DataFrame:
+    return bugs.filter(F.col("issue_number").isNotNull() & F.col("status").isin(*cfg.OPEN_BUG_STATES)).select("bug_id", "issue_number", "case_id")
+
+
 def closure_proposals(bugs: DataFrame, results: DataFrame) -> DataFrame:
-    """Published open bugs whose case passed in a session."""
-    open_bugs = bugs.filter(F.col("issue_number").isNotNull() & F.col("status").isin(*cfg.OPEN_BUG_STATES))
-    passed = results.filter(F.col("status") == "paso").select("session_id", "case_id")
-    return open_bugs.select("bug_id", "issue_number", "case_id").join(passed, "case_id")
+    """Published open bugs whose case passed: in how many sessions, and the latest of them.
+
+    Passes are counted per case before the join, so a case with many bugs and many sessions is not
+    multiplied out.
+    """
+    passed = results.filter(F.col("status") == "paso").groupBy("case_id").agg(
+        F.count("*").alias("sessions"), F.max("session_id").alias("latest_session"))
+    return _open_published(bugs).join(passed, "case_id")
+
+
+def closure_proposals_of(bugs: DataFrame, results: DataFrame, session_id: int) -> DataFrame:
+    """Published open bugs whose case passed in one session."""
+    passed = results.filter((F.col("session_id") == session_id) & (F.col("status") == "paso")).select("case_id")
+    return _open_published(bugs).join(passed, "case_id", "left_semi")
 
 
 def execution_table(results: DataFrame, bugs: DataFrame, evidence: DataFrame, cases: DataFrame) -> DataFrame:

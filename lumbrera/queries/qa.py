@@ -51,13 +51,22 @@ def evidence_usage(spark, sf):
     return qa.evidence_usage(entity(spark, sf, "qa_evidence"))
 
 
+_OPEN = f"(SELECT bug_id, issue_number, case_id FROM qa_bugs WHERE issue_number IS NOT NULL AND status IN ({quoted(cfg.OPEN_BUG_STATES)}))"
+
+
 @query("q06_closure_proposals", f"""
-SELECT b.bug_id, b.issue_number, b.case_id, r.session_id FROM qa_bugs b JOIN qa_results r ON r.case_id = b.case_id AND r.status = 'paso'
-WHERE b.issue_number IS NOT NULL AND b.status IN ({quoted(cfg.OPEN_BUG_STATES)})""")
+SELECT b.bug_id, b.issue_number, b.case_id, r.sessions, r.latest_session FROM {_OPEN} b
+JOIN (SELECT case_id, count(*) AS sessions, max(session_id) AS latest_session FROM qa_results WHERE status = 'paso' GROUP BY 1) r USING (case_id)""")
 def closure_proposals(spark, sf):
     return qa.closure_proposals(entity(spark, sf, "qa_bugs"), entity(spark, sf, "qa_results"))
 
 
+@query("q06_closure_proposals_of_session", f"""
+SELECT b.bug_id, b.issue_number, b.case_id FROM {_OPEN} b WHERE case_id IN (SELECT case_id FROM qa_results WHERE status = 'paso' AND session_id = 3)""")
+def closure_proposals_of_session(spark, sf):
+    return qa.closure_proposals_of(entity(spark, sf, "qa_bugs"), entity(spark, sf, "qa_results"), 3)
+
+
 @query("q07_execution_table", """
 SELECT r.session_id, r.case_id, c.title, r.status, b.issue_number, coalesce(e.evidence, '') AS evidence FROM qa_results r JOIN qa_cases c USING (case_id)
 LEFT JOIN (SELECT case_id, arg_max(issue_number, bug_id) AS issue_number FROM qa_bugs WHERE issue_number IS NOT NULL GROUP BY 1) b USING (case_id)
