@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbrera.llm import decontamination, quality_rules, sharding
+from lumbrera.llm import decontamination, jaccard_join, quality_rules, sharding
 from lumbrera.llm.shared import table, utf8_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+@query("op9_multi_order_jaccard_join")
+def multi_order_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_groups(table(spark, sf_dir, "documents"), percent=85, width=4)
+    return found.select("doc_id", "n_shingles", "component_id", "n_members")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
