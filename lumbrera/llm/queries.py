@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbrera.llm import decontamination, jaccard_join, quality_rules, sharding
+from lumbrera.llm import decontamination, jaccard_join, quality_rules, sharding, surrogates
 from lumbrera.llm.shared import table, utf8_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+SURROGATE_KEY = "production-key-from-the-caller"
+
+
+@query("op1_surrogates")
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op2_benchmark_decontamination", r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
