@@ -41,6 +41,7 @@ from lumbrera.llm.components import connected
 from lumbrera.llm.shared import written
 
 BLOCK = 1500  # nodes of one side of a verification block
+BROADCAST_ROWS = 500_000
 EXTRA = 10  # the first order looks at n // EXTRA tokens beyond the prefix
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -127,10 +128,15 @@ def _key(node: Column) -> Column:
 
 def _survivors(sets: DataFrame, percent: int) -> DataFrame:
     """Keys of nodes whose first tokens are shared often enough for a partner to exist."""
-    rows = sets.where("n > 0").select(_key(F.col("node")).alias("key"), "n", F.explode("tokens").alias("t")).distinct()
+    full = sets.where("n > 0")
+    # Copies of a set would make all its tokens look shared: one row speaks for each.
+    owners = full.groupBy("node").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("c")).where("c > 1").select("node", F.col("rid").alias("owner"))
+    silent = written(full.join(owners, "node").where("rid <> owner").select("rid"), "copies")
+    rows = full.join(silent, "rid", "left_anti").select(_key(F.col("node")).alias("key"), F.explode("tokens").alias("t"))
     shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t")
+    found = rows.join(shared, "t").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     least = f"((n * {percent} + 99) div 100) div {EXTRA} + 1"  # of the smallest partner that the size allows
-    return rows.join(shared, "t").groupBy("key", "n").agg(F.count(F.lit(1)).alias("m")).where(f"m >= {least}").select("key").distinct()
+    return found.join(full.select(_key(F.col("node")).alias("key"), "n").distinct(), "key").where(f"m >= {least}").select("key").distinct()
 
 
 def _indexed(nodes: DataFrame, percent: int) -> DataFrame:
@@ -224,13 +230,15 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
 def similar_groups(docs: DataFrame, percent: int = 85, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) of every document; ``percent`` of Jaccard similarity links two."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    hashed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     schema = "text_hash bigint, node string, n bigint, tokens array<bigint>"
-    sets = written(hashed.mapInArrow(_sets(width, percent, False), f"doc_id {id_type}, {schema}"), "sets")
+    sets = written(hashed.mapInArrow(_sets(width, percent, False), f"rid bigint, doc_id {id_type}, {schema}"), "sets")
 
     kept = _survivors(sets, percent)
     distinct = sets.where("n > 0").withColumn("key", _key(F.col("node"))).join(kept, "key", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     read = written(distinct.select("text_hash").distinct(), "read")
+    if read.count() <= BROADCAST_ROWS:
+        read = F.broadcast(read)  # 8 bytes a row; more than that is joined by shuffling
     again = hashed.select("text_hash", "text").join(read, "text_hash", "left_semi").dropDuplicates(["text_hash"])
     nodes = written(again.mapInArrow(_sets(width, percent, True), schema).drop("text_hash").dropDuplicates(["node"]), "nodes")
 
