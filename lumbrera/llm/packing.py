@@ -1,7 +1,7 @@
 """Shortest-pack-first histogram packing of token pieces into sequences of a fixed length.
 
-1. A document is its ids with the end id. Full sequences are cut off its front; what remains is a
-   multiple of ``unit`` ids and a rest below ``unit``, so that many short pieces exist to fill gaps.
+1. A document is its ids with the end id. Full sequences are cut off its front. What remains is one
+   piece, or with a ``unit`` below ``size`` a multiple of ``unit`` and a rest, which leaves even less padding.
 2. The histogram of piece lengths has at most ``size`` rows, whatever the corpus, and is all that the
    driver sees. Lengths are placed longest first; the pieces of a length go, many at a time, to the
    emptiest packs that have room, and each step changes counts of packing patterns, not packs.

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbrera.llm import decontamination, jaccard_join, quality_rules, sharding, surrogates
-from lumbrera.llm.shared import table, utf8_bytes
+from lumbrera.llm import decontamination, jaccard_join, packing, quality_rules, sharding, surrogates, token_files
+from lumbrera.llm.shared import scratch, table, utf8_bytes, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +106,25 @@ def multi_order_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_members")
 
 
+@F.pandas_udf("bigint")
+def ids_crc32(ids: pd.Series) -> pd.Series:
+    """CRC-32 of 16-bit ids written as little-endian unsigned 32-bit numbers."""
+    return ids.map(lambda raw: zlib.crc32(np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
+
+
+@query("op4_token_files")
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_histogram_packing")
+def histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = written(packing.cut_into_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1), "pieces")
+    return packing.pack(pieces.drop("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
