@@ -10,6 +10,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumbrera.llm import decontamination, jaccard_join, packing, quality_rules, sharding, surrogates, token_files
 from lumbrera.llm.shared import scratch, table, utf8_bytes, written
@@ -106,7 +107,7 @@ def multi_order_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_members")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def ids_crc32(ids: pd.Series) -> pd.Series:
     """CRC-32 of 16-bit ids written as little-endian unsigned 32-bit numbers."""
     return ids.map(lambda raw: zlib.crc32(np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
