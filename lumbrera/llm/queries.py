@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumbrera.llm import decontamination, jaccard_join, packing, quality_rules, sharding, surrogates, token_files
+from lumbrera.llm import decontamination, jaccard_join, packing, quality_rules, sharding, surrogates, token_files, warc
 from lumbrera.llm.shared import scratch, table, utf8_bytes, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,18 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
 
 
+@query("op5_warc_segments")
+def warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    found = warc.read(spark, path)
+    # What a response says of itself is what its reassembled payload is.
+    full = F.when(F.col("type") == "revisit", F.col("payload_bytes")).otherwise(F.octet_length("payload")).cast("long")
+    return found.select(
+        "page_id", full.alias("payload_bytes"), F.coalesce("found_digest", F.when(F.col("type") == "revisit", F.col("payload_digest"))).alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to")
+
+
 @query("op10_histogram_packing")
 def histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = written(packing.cut_into_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1), "pieces")
