@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumbrera.llm import decontamination, jaccard_join, packing, quality_rules, sharding, surrogates, token_files, warc
+from lumbrera.llm import decontamination, jaccard_join, line_blocks, packing, quality_rules, sharding, surrogates, token_files, warc
 from lumbrera.llm.shared import scratch, table, utf8_bytes, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,11 @@ def warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"), "refers_to")
 
 
+@query("op6_line_blocks")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query("op10_histogram_packing")
 def histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = written(packing.cut_into_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1), "pieces")
