@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumbrera.llm import decontamination, jaccard_join, line_blocks, packing, quality_rules, sharding, surrogates, token_files, warc
+from lumbrera.llm import decontamination, jaccard_join, line_blocks, packing, pairwise_quality, quality_rules, sharding, surrogates, token_files, warc
 from lumbrera.llm.shared import scratch, table, utf8_bytes, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +137,15 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query("op8_pairwise_quality")
+def pairwise_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(5)) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pairwise_quality.score(docs, pairwise_quality.train(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op10_histogram_packing")
 def histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = written(packing.cut_into_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1), "pieces")
