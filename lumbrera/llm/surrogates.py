@@ -182,9 +182,10 @@ def as_written(kind: Column, written_: Column, new: Column) -> Column:
 
 def attempts(parts: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the distinct ``parts`` (kind, canon) such that all surrogates differ from each other and from every real part."""
+    spread = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each costs much
     now = written(parts.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "parts")
     while True:
-        drawn = written(now.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "drawn")
+        drawn = written(now.repartition(spread, "kind", "canon").withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "drawn")
         first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         real = drawn.select("kind", F.col("new").alias("canon")).join(now.select("kind", "canon"), ["kind", "canon"], "left_semi").select("kind", F.col("canon").alias("new")).distinct()
         again = drawn.join(first, ["kind", "new"], "left").join(real.withColumn("real", F.lit(True)), ["kind", "new"], "left")
