@@ -26,17 +26,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return around.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row["n"], row["x"] or 0
+def _only_stars(edges: DataFrame) -> bool:
+    """Every node points at one root, and no root points on: the components are found."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    seen = ends.groupBy("v").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return seen.where("out > 1 OR (out > 0 AND into > 0)").isEmpty()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): the root is the least node of its component."""
-    now = written(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
-    before, state = None, _state(now)
-    while state != before and state[0]:
-        now = written(_small_star(_large_star(now).distinct()), "edges")
-        before, state = state, _state(now)
+    now = written(_small_star(edges.where(F.col("a") != F.col("b")).select("a", "b")), "edges")
+    while not _only_stars(now):
+        now = written(_small_star(_large_star(now)), "edges")
     found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()

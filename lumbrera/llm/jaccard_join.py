@@ -10,8 +10,9 @@ has to pass all of them before it is verified.
    computable number of tokens that another set has too. Nodes without them have no partner. This
    looks at a quarter of the tokens of the corpus; nearly all documents end here.
 3. The rest is indexed under two more orders: rarest token first, and tokens that no other set has
-   first, then by another hash. Nodes that share prefix tokens hang together; a linked pair hangs
-   together under every order, so the orders' partitions are intersected. No pair is written down.
+   first, then by another hash. Under the second order, nodes that share prefix tokens hang together
+   in parts. The third is intersected with it: a node stays only if, inside its part, it shares a
+   prefix token of the third order too. No pair is written down.
 4. Verification. In each part of the intersection every node is compared with one hub, the node
    with the fewest tokens of its own, which is what an edited copy is an edit of. Nodes that link are
    one component and need no comparison with each other. The others are compared with all nodes of
@@ -152,12 +153,14 @@ def _indexed(nodes: DataFrame, percent: int) -> DataFrame:
     return listed.select("node", "n", "own", first["t"].alias("first"), second["t"].alias("second"))
 
 
-def _parts(indexed: DataFrame, order: str) -> DataFrame:
-    """(node, part): nodes that hang together by shared prefix tokens of one order."""
-    rows = indexed.select("node", F.explode(order).alias("t"))
+def _parts(indexed: DataFrame) -> DataFrame:
+    """(node, part, n, own) of nodes that hang together by the first order and share a token inside their part by the second."""
+    rows = indexed.select("node", F.explode("first").alias("t"))
     least = rows.groupBy("t").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "b")
-    roots = connected(rows.join(least, "t").select(F.col("node").alias("a"), "b"))
-    return roots.select("node", F.col("root").alias(f"{order}_part"))
+    roots = connected(rows.join(least, "t").select(F.col("node").alias("a"), "b")).withColumnRenamed("root", "part")
+    inside = indexed.join(roots, "node").select("node", "part", "n", "own", F.explode("second").alias("t"))
+    shared = inside.groupBy("part", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("part", "t")
+    return inside.join(shared, ["part", "t"], "left_semi").select("node", "part", "n", "own").distinct()
 
 
 def _similar(a: Column, b: Column, percent: int) -> Column:
@@ -204,8 +207,7 @@ def _verified_block(percent: int):
 def links(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): verified links between distinct sets that connect every component; pairs inside one need not all be listed."""
     indexed = written(_indexed(nodes, percent), "indexed")
-    parts = indexed.select("node", "n", "own").join(_parts(indexed, "first"), "node").join(_parts(indexed, "second"), "node")
-    parts = written(parts, "parts").withColumn("part", F.concat_ws("+", "first_part", "second_part"))
+    parts = written(_parts(indexed), "parts")
     hubs = parts.groupBy("part").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node")).alias("h"), F.count(F.lit(1)).alias("members"))
     hubs = hubs.where("members > 1").select("part", F.col("h.node").alias("hub"), "members")
     member = parts.join(hubs, "part").select("part", "members", "node", "n", "hub")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumbrera.llm.shared import written
+from lumbrera.llm.shared import unused, written
 
 SALTS = 64
 
@@ -140,10 +140,10 @@ def rank_ranges(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[
     return {length: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for length, rows in ranges.items()}
 
 
-def _placed(ranges: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+def _placed(ranges: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], rank: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, ranks = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            lengths, ranks = batch.column("length").to_numpy(), batch.column(rank).to_numpy()
             sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
@@ -151,7 +151,7 @@ def _placed(ranges: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
                 i = np.searchsorted(first, ranks[at], "right") - 1
                 sequence[at] = of[i] + ranks[at] - first[i]
                 offset[at] = off[i]
-            kept = [i for i, n in enumerate(batch.schema.names) if n != "_rank"]
+            kept = [i for i, n in enumerate(batch.schema.names) if n != rank]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in kept), pa.array(sequence), pa.array(offset)], names=[*(batch.schema.names[i] for i in kept), "sequence_id", "offset"])
 
@@ -160,18 +160,20 @@ def _placed(ranges: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
 
 def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
     """``pieces`` (any columns with ``length`` and ``start``) with ``sequence_id`` and ``offset``."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    counts = written(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "histogram")  # at most size x SALTS rows
+    salt, before_, row, rank = unused(pieces, "_salt", "_before", "_row", "_rank")
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    salted = pieces.select(*kept).withColumn(salt, F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    counts = written(salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")), "histogram")  # at most size x SALTS rows
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
     ranges = rank_ranges(packing_patterns(histogram, size))
-    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("length", "_salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    order = [c for c in pieces.columns if c in ("doc_id", "start", "ids_crc32")]
-    inside = Window.partitionBy("length", "_salt").orderBy(*order)
-    ranked = salted.withColumn("_row", F.row_number().over(inside)).join(before, ["length", "_salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(_placed(ranges), f"{kinds}, sequence_id bigint, offset bigint")
+    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", salt, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before_))
+    order = [c for c in kept if c in ("doc_id", "start", "ids_crc32")]
+    inside = Window.partitionBy("length", salt).orderBy(*order)
+    ranked = salted.withColumn(row, F.row_number().over(inside)).join(before, ["length", salt])
+    ranked = ranked.select(*kept, (F.col(before_) + F.col(row) - 1).alias(rank))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*kept).schema.fields)
+    return ranked.mapInArrow(_placed(ranges, rank), f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def sequences(packed: DataFrame, size: int = 2048, pad: int = 0) -> DataFrame:

@@ -120,10 +120,12 @@ def adaptive_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     limits = written(chosen.groupBy("_lang", "_source").agg(
         F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("_fences")), "fences")  # four entries a group
 
-    judged = measured.join(limits, (F.coalesce(F.col(lang), F.lit("")) == F.col("_lang")) & (F.coalesce(F.col(source), F.lit("")) == F.col("_source")), "left")
-    fence = lambda m: F.col("_fences")[m]
+    of_lang, of_source, held = unused(measured, "_lang", "_source", "_fences")
+    limits = limits.toDF(of_lang, of_source, held)
+    judged = measured.join(limits, (F.coalesce(F.col(lang), F.lit("")) == F.col(of_lang)) & (F.coalesce(F.col(source), F.lit("")) == F.col(of_source)), "left")
+    fence = lambda m: F.col(held)[m]
     inside = [F.coalesce(F.col(m) <= fence(m)["high"], F.lit(True)) & F.coalesce(F.col(m) >= fence(m)["low"], F.lit(True)) for m in FENCES]
     verdict = ~F.col("base_failed")
     for ok in inside:
         verdict = verdict & ok
-    return judged.withColumn("kept", verdict).drop("_lang", "_source", "_fences")
+    return judged.withColumn("kept", verdict).drop(of_lang, of_source, held)

@@ -1,0 +1,213 @@
+"""Quality rules, decontamination, sharding and surrogates against plain versions and on edge cases."""
+
+import collections
+import re
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from lumbrera.llm import decontamination, quality_rules, sharding, surrogates
+from lumbrera.llm.queries import oracle_sql, queries
+
+from .cases import DOCS, documents, with_clashes
+
+NATIVE = ("op1_surrogates", "op2_benchmark_decontamination", "op3_sampled_splitters", "op7_adaptive_quality_rules")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), DOCS)
+
+
+@pytest.mark.parametrize("name", ["op2_benchmark_decontamination", "op7_adaptive_quality_rules"])
+def test_query_matches_its_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    cur = con.execute(oracle_sql()[name])
+    columns = sorted(d[0] for d in cur.description)
+    order = [[d[0] for d in cur.description].index(c) for c in columns]
+    want = collections.Counter(tuple(r[i] for i in order) for r in cur.fetchall())
+    assert collections.Counter(tuple(r) for r in queries()[name](spark, sf).select(*columns).collect()) == want
+
+
+@pytest.mark.parametrize("name", NATIVE)
+def test_native_queries_run_no_python(spark, sf, name):
+    plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- quality rules ---
+
+def measured_by_hand(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {p for i in range(len(w) - 2) if seen[tuple(w[i:i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_measures(spark, docs):
+    extra = spark.createDataFrame([(900, "a b c a b c a b c d\n\na b\n \nq\nq\nq\n## | <x>", "en", "s", 1), (901, "a a a a", "en", "s", 1)], DOCS)
+    for r in quality_rules.measure(docs.unionByName(extra)).collect():
+        assert tuple(r[c] for c in quality_rules.BASE) == measured_by_hand(r["text"])
+
+
+def test_fences_follow_the_group(spark):
+    plain = [(i, f"{'word ' * 3}{' '.join(f'w{i}x{j}' for j in range(80))}", "en", "clean", 1) for i in range(300)]
+    marked = [(1000 + i, " ".join(f"w{i}x{j}#" for j in range(80)), "en", "code", 1) for i in range(300)]
+    odd = [(5000, " ".join(f"v{j}###" for j in range(80)), "en", "clean", 1), (5001, " ".join(f"v{j}#" for j in range(80)), "en", "code", 1), (5002, "short", "en", "code", 1)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.adaptive_filter(spark.createDataFrame(plain + marked + odd, DOCS)).collect()}
+    assert not got[5000] and got[5001] and not got[5002]
+    assert all(got[i] for i in range(300)) and all(got[1000 + i] for i in range(300))
+
+
+def test_sketches_merge_and_bound_their_error(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("v"))
+    for r in rows.sample(0.01, seed=3).select("v", quality_rules.rounded(F.col("v")).alias("b")).collect():
+        assert r["b"] <= r["v"] and (r["v"] - r["b"]) * 32 <= r["v"]
+    assert rows.select(quality_rules.rounded(F.col("v"))).distinct().count() <= 64 + 32 * 17
+
+
+def test_quality_rules_on_edge_cases(spark, docs):
+    out = quality_rules.adaptive_filter(with_clashes(docs))
+    rows = out.collect()
+    assert len(rows) == docs.count() and all(r["_fences"] == "own _fences" and r["kept"] in (True, False) for r in rows)
+    assert not any(r["kept"] for r in rows if r["text"] in (None, "", "same row"))
+    assert quality_rules.adaptive_filter(docs.limit(0)).count() == 0
+
+
+# --- decontamination ---
+
+def hits_by_hand(docs, items, size):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for i, t, *_ in docs:
+        w, hit, found = cut(t), set(), set()
+        for item, text in items:
+            v = cut(text)
+            n = min(len(v), size)
+            for s in range(len(v) - n + 1) if n else ():
+                for at in range(len(w) - n + 1):
+                    if w[at:at + n] == v[s:s + n]:
+                        hit |= set(range(at, at + n))
+                        found.add(str(item))
+        out.append((i, len(w), len(hit), tuple(sorted(found))))
+    return collections.Counter(out)
+
+
+def test_decontamination_matches_brute_force(spark):
+    long = [r for r in documents() if len(r[1] or "") < 3000]
+    words = documents()[5][1].split()
+    items = [(1, " ".join(words[10:30])), (2, " ".join(words[20:25])), (10, " ".join(words[20:25])), (3, "one"), (4, None), (5, ""), (6, "absent word"), (7, "a a a a a a a a a a a a"), (8, "one two THREE")]
+    planted = [(700, "a " * 30, "en", "s", 1), (701, "X " + " ".join(words[12:26]).upper() + ", end", "en", "s", 1), (702, " ".join(words[12:26]) + " and " + " ".join(words[12:26]), "en", "s", 1)]
+    rows = long + planted
+    index = decontamination.build_index(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id int, text string"), size=10)
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontamination.report(index).collect())
+    assert got == hits_by_hand(rows, items, 10)
+
+
+def test_proximity_finds_what_a_changed_word_hides(spark):
+    words = [f"w{i}" for i in range(12)]
+    moved = words[:5] + ["new", "word"] + words[5:]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(moved), "en", "s", 1), (3, " ".join(words[:2] + ["z"] * 40 + words[2:]), "en", "s", 1)], DOCS)
+    index = decontamination.build_index(docs, spark.createDataFrame([(1, " ".join(words))], "item_id int, text string"), size=12)
+    exact = {r["key"].split(":")[1] for r in decontamination.phrase_matches(index).collect()}
+    near = {r["key"].split(":")[1]: r["distance"] for r in decontamination.proximity_matches(index, 3).collect()}
+    assert exact == {"1"} and set(near) <= {"2"} and all(1 <= d <= 3 for d in near.values())
+    with pytest.raises(ValueError):
+        decontamination.proximity_matches(index, 0)
+
+
+def test_decontamination_of_nothing(spark, docs):
+    items = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
+    assert decontamination.report(decontamination.build_index(docs.limit(0), items)).count() == 0
+    none = decontamination.report(decontamination.build_index(with_clashes(docs), items.limit(0))).collect()
+    assert len(none) == docs.count() and not any(r["n_hit"] for r in none)
+
+
+# --- sharding ---
+
+def test_shards_are_even_gapless_and_whole(spark, sf):
+    rows = queries()["op3_sampled_splitters"](spark, sf).collect()
+    source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(rows) == len(source)
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        raw = (source[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(sizes) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean, largest = sum(sizes.values()) / 40, max(r["size"] for r in rows)
+    assert all(abs(sizes[k] - mean) <= largest for k in range(40))
+
+
+def test_one_hot_text_is_spread_and_equal_texts_lie_together(spark):
+    rows = [(i, "hot", 10) for i in range(3000)] + [(i, f"t{i // 4}", 10) for i in range(3000, 6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, size bigint")
+    got = sharding.shard(df, F.col("text"), F.col("doc_id"), F.col("size"), 10).collect()
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert len(got) == 6000 and max(sizes.values()) - min(sizes.values()) <= 2
+    places = collections.defaultdict(set)
+    for r in got:
+        places[r["text"]].add(r["shard"])
+    assert sum(len(p) > 1 for t, p in places.items() if t != "hot") <= 10
+
+
+def test_sharding_on_edge_cases(spark, docs):
+    sized = with_clashes(docs).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
+    got = sharding.shard(sized, F.col("text"), F.col("doc_id"), F.col("size"), 4).collect()
+    assert len(got) == docs.count() and got[0]["_range"] == "own _range"
+    assert {(r["shard"], r["slot"]) for r in got} == {(k, i) for k, n in collections.Counter(r["shard"] for r in got).items() for i in range(n)}
+    assert sharding.shard(sized.limit(0), F.col("text"), F.col("doc_id"), F.col("size"), 4).count() == 0
+
+
+# --- surrogates ---
+
+def replaced(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r["text"] for r in surrogates.pseudonymize(df, key).orderBy("doc_id").collect()]
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10
+
+
+def test_surrogates_keep_kind_format_and_reference(spark):
+    mail, phone, card, ip, secret, name = replaced(spark, [
+        "Bob.Smith7@Mail.example.com, bob.smith7@mail.example.com", "+1 (017) 555-7713 or +10175557713", "4111 1111 1111 1111 4111111111111111", "from 97.51.17.173.",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" 04dbebab91ab85687d33eeaaf9ac699e1188f962', "Mr. John Smith, Mrs Ann SMITH, Г-жа Анна Петрова"])
+    a, b = mail.split(", ")
+    assert a.lower() == b and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{4}\d@[A-Z][a-z]{3}\.[a-z]{7}\.com", a) and "smith" not in b
+    assert (m := re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}) or (\+\d{11})", phone)) and re.sub(r"[^+\d]", "", m[1]) == m[2] != "+10175557713"
+    assert (m := re.fullmatch(r"(\d{4} \d{4} \d{4} \d{4}) (\d{16})", card)) and m[1].replace(" ", "") == m[2] and luhn(m[2]) == 0 and m[2] != "4" + "1" * 15
+    assert (m := re.fullmatch(r"from (\d+)\.(\d+)\.(\d+)\.(\d+)\.", ip)) and all(1 <= int(x) <= 254 for x in m.groups()) and "97.51.17.173" not in ip
+    assert (m := re.fullmatch(r'token = "([0-9a-f]{40})" ([0-9a-f]{40})', secret)) and m[1] == m[2] and not m[1].startswith("04db")
+    assert (m := re.fullmatch(r"Mr\. (\w+) (\w+), Mrs (\w+) (\w+), Г-жа (\w+) (\w+)", name)) and m[2].lower() == m[4].lower() and m[4].isupper()
+    assert m[1].lower()[:-2] in surrogates.GIVEN["m", 0] and m[3].lower()[:-2] in surrogates.GIVEN["f", 0] and m[5].lower()[:-2] in surrogates.GIVEN["f", 1]
+    assert re.fullmatch("[А-Яа-я]+", m[6]) and m[6] != "Петрова"
+
+
+def test_surrogates_depend_on_the_key_and_stay_distinct(spark):
+    texts = [f"10.0.{i // 250}.{i % 250 + 1}" for i in range(1500)]
+    one, other = replaced(spark, texts), replaced(spark, texts, "other key")
+    assert len(set(one)) == len(texts) and not set(one) & set(texts) and one != other and one == replaced(spark, texts)
+
+
+def test_collisions_are_moved_on(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, canon, attempt, key: F.pmod(F.hash(canon, attempt), F.lit(40)).cast("string"))
+    parts = spark.createDataFrame([("x", f"v{i}") for i in range(12)] + [("x", "7"), ("x", "8")], "kind string, canon string")
+    got = surrogates.attempts(parts, "k").withColumn("new", surrogates.surrogate("x", F.col("canon"), F.col("attempt"), "k")).collect()
+    assert len({r["new"] for r in got}) == 14 and not {"7", "8"} & {r["new"] for r in got}
+
+
+def test_surrogates_leave_everything_else_alone(spark, docs):
+    out = surrogates.pseudonymize(with_clashes(docs), "k")
+    before = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    rows = out.collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in rows if not r["n_entities"]) == before  # nothing in these texts is personal data
+    assert rows[0]["values"] == "own values" and len(out.columns) == len(set(out.columns))
+    assert surrogates.pseudonymize(docs.limit(0), "k").count() == 0
