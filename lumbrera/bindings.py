@@ -222,10 +222,7 @@ SELECT user_id AS sample, 'v' || CAST(event_id % 2 AS STRING) AS mode, event_id
 
 # Spark forms that keep the ordering columns instead of numbering a whole document in one task.
 _SPARK_SQL = {"decision_log": SQL["decision_log"].replace(_LINE_NUMBER, f"struct({_LINE_ORDER})")}
-# One number, so that aggregates over it stay hash aggregates. Fragments that share line, part and
-# supplier carry the same text.
-_SPARK_SQL["fragments"] = SQL["fragments"].replace(
-    _LINE_NUMBER, "CAST(l_linenumber AS BIGINT) * 10000000000000000 + l_partkey * 10000000 + l_suppkey")
+_SPARK_SQL["fragments"] = SQL["fragments"].replace(_LINE_NUMBER, f"struct({_LINE_ORDER})")
 _SPARK_SQL["file_shares"] = SQL["file_shares"].replace(
     f"l_orderkey * 100 + {_LINE_NUMBER} AS share_id", f"struct(l_orderkey, {_LINE_ORDER}) AS share_id"
 )
@@ -237,36 +234,20 @@ def references(sql: str, names) -> list[str]:
     return [n for n in names if n in words]
 
 
-# Tables and entities whose rows cost far more to judge than to move.
-_HEAVY = ("documents", "pages", "fragments")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files hold fewer splits than there are cores.
-
-    Text rules are bound by regex work, and one large row group would keep it on one core. A table
-    of many files has more splits than cores and comes back as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read with the schema its footer declares (one footer read per table and session)."""
     cache = spark.__dict__.setdefault("_lumbrera_schemas", {})
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     if path not in cache:
         cache[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(cache[path]).parquet(path)
-    return spread(df) if name in _HEAVY else df
+    return spark.read.schema(cache[path]).parquet(path)
 
 
 def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An entity table derived from the given tables, as a lazy DataFrame."""
     sql = _SPARK_SQL.get(name, SQL[name])
     for base in references(sql, BASE_TABLES):
-        df = table(spark, sf_dir, base)
-        (spread(df) if name in _HEAVY else df).createOrReplaceTempView(base)
+        table(spark, sf_dir, base).createOrReplaceTempView(base)
     for derived in references(sql, [n for n in SQL if n != name]):
         entity(spark, sf_dir, derived).createOrReplaceTempView(derived)
     return spark.sql(sql)

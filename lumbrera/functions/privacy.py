@@ -126,11 +126,17 @@ def personal_data(df: DataFrame, column: str, out: str) -> DataFrame:
     return kept.withColumn(out, F.array_sort("_kept")).drop("_all", "_kept", *names)
 
 
+def _inner_digits_hidden(value: Column) -> Column:
+    """All digits but the first and the last become stars."""
+    part = lambda i: F.regexp_extract(value, r"(?Us)^(\D*\d)(.*)(\d\D*)$", i)
+    return F.concat(part(1), F.regexp_replace(part(2), r"(?U)\d", "*"), part(3))
+
+
 def mask(kind: Column, value: Column) -> Column:
     """Digits keep the first and the last, names their initials, anything else shows nothing."""
     digits = F.when(
         F.regexp_count(value, F.lit(r"(?U)\d")) <= 2, F.regexp_replace(value, r"(?U)\d", "*")
-    ).otherwise(F.regexp_replace(value, r"(?U)(?<=\d\D{0,9})\d(?=\D*\d)", "*"))
+    ).otherwise(_inner_digits_hidden(value))
     name = F.array_join(F.transform(T.spaced_words(value), lambda w: F.concat(F.left(w, F.lit(1)), F.lit("***"))), " ")
     return F.when(kind.isin("dni", "cuil"), digits).when(kind == "nombre_rotulado", name).otherwise(F.lit("***"))
 

@@ -193,6 +193,12 @@ def normalize_quote(col: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(nfkc(col)), "[\"'“”‘’«»]", ""))
 
 
+def normalize_each(pieces: Column) -> Column:
+    """:func:`normalize_quote` of every piece of an array; the pieces go through NFKC as one text."""
+    joined = F.array_join(F.transform(pieces, lambda p: F.translate(p, _BREAK, " ")), _BREAK)
+    return F.when(F.size(pieces) > 0, F.transform(F.split(nfkc(joined), _BREAK), normalize_quote_native)).otherwise(pieces)
+
+
 def normalize_quote_native(col: Column) -> Column:
     """:func:`normalize_quote` for text already known to be NFKC-stable."""
     folded = F.replace(F.translate(col, _FOLD_FROM, _FOLD_TO), F.lit("…"), F.lit("..."))

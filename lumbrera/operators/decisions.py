@@ -49,13 +49,12 @@ def resolve_fragment(materials: DataFrame, quotes: DataFrame) -> DataFrame:
     """
     quote = T.strip(F.col("original_text"))
     tagged = quotes.withColumns({"quote": quote, "parts": T.fragment_parts(quote)}).filter(~T.is_placeholder(F.col("quote")))
-    docs = materials.select("doc_id", T.lines(F.col("raw_text")).alias("ps")).withColumn(
-        "norm", F.transform("ps", T.normalize_quote_native))
+    docs = materials.select("doc_id", T.lines(F.col("raw_text")).alias("ps")).withColumn("norm", T.normalize_each(F.col("ps")))
     joined = tagged.join(docs, "doc_id").withColumn("abbreviated", F.col("quote").rlike(r"\.{3}|…"))
     hits = F.filter(F.arrays_zip("ps", "norm"), lambda p: T.contains_all(p["norm"], F.col("parts")))
     found = joined.withColumn("paragraph", F.when(F.col("abbreviated"), F.try_element_at(hits, F.lit(1))["ps"]))
-    sentence = F.try_element_at(
-        F.filter(T.split_sentences(F.col("paragraph")), lambda s: T.contains_all(T.normalize_quote_native(s), F.col("parts"))), F.lit(1))
+    found = found.withColumn("ss", T.split_sentences(F.col("paragraph")))
+    sentence = F.try_element_at(F.filter(F.arrays_zip("ss", T.normalize_each(F.col("ss")).alias("norm")), lambda s: T.contains_all(s["norm"], F.col("parts"))), F.lit(1))["ss"]
     resolved = F.when(F.col("adaptation_type") == "consigna_en_pasos", sentence)
     return found.select(
         "doc_id", "quote_id", "adaptation_type", F.coalesce(resolved, "paragraph", "quote").alias("fragment"),
@@ -64,7 +63,7 @@ def resolve_fragment(materials: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def _capitalised(items: Column) -> Column:
-    return F.transform(items, lambda s: F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, 2, 1 << 30)))
+    return F.transform(items, lambda s: F.concat(F.upper(F.left(s, F.lit(1))), F.call_function("substring", s, F.lit(2))))
 
 
 def _clauses(sentences: Column, cut: str) -> Column:

@@ -108,38 +108,33 @@ def trailing_counts(events: DataFrame, key: str, column: str = "created_at") ->
 # --- limiter ---------------------------------------------------------------------------------------
 
 class Limiter:
-    """Sliding limits of one key. Refused calls leave no trace; 0 means no limit."""
+    """Sliding limits of one key, told by the time at which the next call passes.
+
+    With a limit of n calls in a span, a call passes once the n-th last accepted call is a span old. So
+    the only state is the last accepted times, as many as the larger limit. Refused calls leave no
+    trace; 0 means no limit.
+    """
 
     def __init__(self, per_minute: int, per_day: int):
-        self.per_minute, self.per_day = per_minute, per_day
-        self.hits: deque[int] = deque()
-
-    def reset(self, hits=()) -> None:
-        self.hits = deque(hits)
-
-    def wait(self, now: int) -> int | None:
-        """Microseconds to wait, None when a call at ``now`` passes."""
-        while self.hits and self.hits[0] <= now - DAY_US:
-            self.hits.popleft()
-        waits = []
-        if self.per_day > 0 and len(self.hits) >= self.per_day:
-            waits.append(self.hits[-self.per_day] + DAY_US - now)
-        if self.per_minute > 0 and len(self.hits) >= self.per_minute:
-            oldest = self.hits[-self.per_minute]
-            if oldest > now - MINUTE_US:
-                waits.append(oldest + MINUTE_US - now)
-        return max(waits) if waits else None
+        self.limits = [(n, span) for n, span in ((per_minute, MINUTE_US), (per_day, DAY_US)) if n > 0]
+        self.accepted: deque[int] = deque(maxlen=max((n for n, _ in self.limits), default=1))
+
+    def reset(self, times=()) -> None:
+        self.accepted.clear()
+        self.accepted.extend(times)
+
+    def passes_at(self) -> int | None:
+        """Earliest time of the next accepted call; None when nothing holds it back."""
+        return max((self.accepted[-n] + span for n, span in self.limits if n <= len(self.accepted)), default=None)
 
     def offer(self, now: int, n: int) -> tuple[int, int | None]:
-        """(accepted of n simultaneous calls, wait told to the rest)."""
-        accepted = 0
-        while accepted < n:
-            wait = self.wait(now)
-            if wait is not None:
-                return accepted, wait
-            self.hits.append(now)
-            accepted += 1
-        return accepted, None
+        """(accepted of n simultaneous calls, wait in microseconds told to the rest)."""
+        for done in range(n):
+            free = self.passes_at()
+            if free is not None and free > now:
+                return done, free - now
+            self.accepted.append(now)
+        return n, None
 
 
 def retry_seconds(wait_us: float) -> int:

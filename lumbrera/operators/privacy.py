@@ -14,8 +14,8 @@ from lumbrera.operators.ordered import top_per_key
 def detect_pii(materials: DataFrame, text: str = "raw_text") -> DataFrame:
     """One row per finding: id, type, label, masked text and line. The value itself never leaves this step."""
     found = P.personal_data(materials.select("doc_id", text), text, "found")
-    rows = found.filter(F.size("found") > 0).select(
-        "doc_id", F.explode(F.transform("found", lambda m: m.withField("line", 1 + F.regexp_count(F.left(F.col(text), m["start"]), F.lit("\n"))))).alias("m"))
+    rows = found.select(
+        "doc_id", F.explode_outer(F.transform("found", lambda m: m.withField("line", 1 + F.regexp_count(F.left(F.col(text), m["start"]), F.lit("\n"))))).alias("m")).filter(F.col("m").isNotNull())
     label = F.try_element_at(F.create_map(*[F.lit(x) for kv in P.TYPE_LABELS.items() for x in kv]), F.col("m.type"))
     shown = F.concat(F.col("m.label"), P.mask(F.col("m.type"), F.col("m.value")), F.col("m.rest"))
     return rows.select(

@@ -94,9 +94,7 @@ def context_around(materials: DataFrame, quotes: DataFrame, n: int = cfg.CONTEXT
     ``quotes``: doc_id, quote_id, fragment. The paragraph list stays inside the document row, so the
     only shuffle is the join on doc_id.
     """
-    docs = materials.select("doc_id", T.lines(F.col("raw_text")).alias("ps")).withColumn(
-        "norm", F.transform("ps", T.normalize_quote_native)
-    )
+    docs = materials.select("doc_id", T.lines(F.col("raw_text")).alias("ps")).withColumn("norm", T.normalize_each(F.col("ps")))
     parted = quotes.withColumn("part", F.try_element_at(T.fragment_parts(F.col("fragment")), F.lit(1))).filter(
         F.col("part").isNotNull()
     )

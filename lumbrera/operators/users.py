@@ -24,7 +24,7 @@ def source_of(user_id: Column) -> Column:
 def identity(users: DataFrame) -> DataFrame:
     """Display name, source and login kind; test-web ids carry kind and user name in the id itself."""
     source = source_of(F.col("user_id"))
-    rest = F.substring("user_id", len(cfg.TEST_WEB_PREFIX) + 1, 1 << 20)
+    rest = F.expr(f"substring(user_id, {len(cfg.TEST_WEB_PREFIX) + 1})")
     login = F.nullif(F.substring_index(rest, "_", 1), F.lit(""))
     name = F.when(F.contains(rest, F.lit("_")), F.nullif(F.regexp_replace(rest, "^[^_]*_", ""), F.lit("")))
     return users.withColumns({

@@ -343,15 +343,10 @@ def all_time_stats(spark, sf):
     return stats.withColumns({"first_at": iso(F.col("first_at")), "last_at": iso(F.col("last_at"))})
 
 
-def _some_profiles(spark, sf):
-    """Profiles of part of the users, so the outer join has something to add."""
-    return entity(spark, sf, "api_users").filter("role = 'docente'")
-
-
 _DIRECTORY = f"""(SELECT user_id, {_SOURCE} AS source, {_NAME} AS name, p.role, coalesce(p.first_seen_at, a.first_at) AS first_seen_at,
   coalesce(p.last_seen_at, a.last_at) AS last_seen_at, a.actions, a.tokens, coalesce(r.range_actions, 0) AS range_actions,
   coalesce(r.range_tokens, 0) AS range_tokens, coalesce(r.range_ai_calls, 0) AS range_ai_calls, coalesce(r.range_rate_limited, 0) AS range_rate_limited
-FROM (SELECT * FROM api_users WHERE role = 'docente') p
+FROM api_users p
 FULL JOIN (SELECT user_id, {_stats_sql()}, min(created_at) AS first_at, max(created_at) AS last_at FROM user_activity GROUP BY user_id) a USING (user_id)
 LEFT JOIN (SELECT user_id, {_stats_sql('range_')} FROM user_activity WHERE {inside(WEEK)} GROUP BY user_id) r USING (user_id))"""
 _DIR_COLS = ("user_id", "source", "name", "role", "actions", "tokens", "range_actions", "range_tokens")
@@ -360,7 +355,7 @@ _DIR_COLS = ("user_id", "source", "name", "role", "actions", "tokens", "range_ac
 @query("u05_user_directory", f"""
 SELECT {', '.join(_DIR_COLS)}, {iso_sql('first_seen_at')} AS first_seen_at, {iso_sql('last_seen_at')} AS last_seen_at FROM {_DIRECTORY}""")
 def user_directory(spark, sf):
-    found = users.user_directory(_some_profiles(spark, sf), activity(spark, sf), WEEK)
+    found = users.user_directory(entity(spark, sf, "api_users"), activity(spark, sf), WEEK)
     return found.select(*_DIR_COLS, iso(F.col("first_seen_at")).alias("first_seen_at"), iso(F.col("last_seen_at")).alias("last_seen_at"))
 
 
@@ -384,7 +379,7 @@ FROM {enum_sql('period', ('current', 'previous'))} LEFT JOIN (
   FROM user_activity WHERE {both_sql(WEEK)} GROUP BY 1) USING (period) LEFT JOIN (
   SELECT {period_sql(WEEK)} AS period, count(*) AS new_users FROM (SELECT user_id, min(created_at) AS created_at FROM user_activity GROUP BY 1) WHERE {both_sql(WEEK)} GROUP BY 1) USING (period)""")
 def user_kpis(spark, sf):
-    return users.user_kpis(activity(spark, sf), _some_profiles(spark, sf), WEEK)
+    return users.user_kpis(activity(spark, sf), entity(spark, sf, "api_users"), WEEK)
 
 
 @query("u09_usage_by_source", f"""
@@ -455,12 +450,12 @@ _CALLS = "(SELECT user_id, CASE event_id % 2 WHEN 0 THEN 'docente' ELSE 'admin'
 @query("u16_touch_users", f"""
 SELECT user_id, {_SOURCE} AS source, coalesce(c.role, p.role) AS role, {iso_sql('coalesce(p.first_seen_at, c.lo)')} AS first_seen_at,
   {iso_sql('greatest(p.last_seen_at, c.hi)')} AS last_seen_at
-FROM (SELECT * FROM api_users WHERE role = 'docente') p FULL JOIN (
+FROM api_users p FULL JOIN (
   SELECT user_id, min(seen_at) AS lo, max(seen_at) AS hi, arg_max(role, (seen_at, role)) AS role FROM {_CALLS} GROUP BY 1) c USING (user_id)""")
 def touch_users(spark, sf):
     calls = activity(spark, sf).filter("action = 'ai_call'").select(
         "user_id", F.when(F.col("event_id") % 2 == 0, "docente").otherwise("admin").alias("role"), F.col("created_at").alias("at"))
-    touched = users.touch_users(_some_profiles(spark, sf), calls)
+    touched = users.touch_users(entity(spark, sf, "api_users"), calls)
     return touched.select("user_id", "source", "role", iso(F.col("first_seen_at")).alias("first_seen_at"), iso(F.col("last_seen_at")).alias("last_seen_at"))
 
 
@@ -474,5 +469,5 @@ def stale_profiles(spark, sf):
 SELECT {', '.join(_DIR_COLS)} FROM {_DIRECTORY} WHERE source = 'frontend' AND (range_actions > 0 OR range_ai_calls > 0 OR range_rate_limited > 0)
   AND (coalesce(contains(lower(name), '1'), false) OR contains(lower(user_id), '1'))""")
 def search_users(spark, sf):
-    found = users.user_directory(_some_profiles(spark, sf), activity(spark, sf), WEEK)
+    found = users.user_directory(entity(spark, sf, "api_users"), activity(spark, sf), WEEK)
     return users.search_users(found, source="frontend", only_active=True, text="1").select(*_DIR_COLS)

@@ -239,12 +239,12 @@ def detect_pii(spark, sf):
 @query("p02_resolve_overlaps")
 def resolve_overlaps(spark, sf):
     found = P.personal_data(materials(spark, sf).select("doc_id", "raw_text"), "raw_text", "found")
-    return found.select("doc_id", F.size("found").alias("findings"))
+    return found.select("doc_id", F.size("found").alias("findings"), F.to_json(F.transform("found", lambda m: F.struct(m["start"], m["end"], m["type"]))).alias("spans"))
 
 
 @query("p03_accept_lowercase_name")
 def accept_lowercase_name(spark, sf):
-    values = table(spark, sf, "conversations").select("conv_id", "turn", F.lower(F.regexp_extract("text", r"^\S+\s+\S+", 0)).alias("value")).filter("value <> ''")
+    values = table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").alias("value")).filter("value <> ''")
     return values.select("conv_id", "turn", P.accept_lowercase_name(F.col("value")).alias("accepted"))
 
 

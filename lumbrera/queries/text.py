@@ -15,12 +15,12 @@ from lumbrera.queries.registry import query
 
 
 @query("t01_words", rf"""
-SELECT doc_id, {wc('raw_text')} AS words, list_aggregate(regexp_extract_all(raw_text, '{WORD}')[1:5], 'string_agg', '|') AS head FROM materials""")
+SELECT doc_id, {wc('raw_text')} AS words, list_aggregate(regexp_extract_all(raw_text, '{WORD}'), 'string_agg', '|') AS tokens FROM materials""")
 def words(spark, sf):
     return entity(spark, sf, "materials").select(
         "doc_id",
         T.count_words(F.col("raw_text")).alias("words"),
-        F.array_join(F.slice(T.words(F.col("raw_text")), 1, 5), "|").alias("head"),
+        F.nullif(F.array_join(T.words(F.col("raw_text")), "|"), F.lit("")).alias("tokens"),
     )
 
 

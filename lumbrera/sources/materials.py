@@ -75,8 +75,8 @@ _HYPHEN_END = r"[\p{L}]-$"
 def reflow(materials: DataFrame, text: str = "raw_text") -> DataFrame:
     """Printed lines of a block joined into paragraphs: list items keep their line, cut words are rejoined.
 
-    A fold over the lines of the document row; the open line travels apart from the finished ones,
-    so each line is appended once.
+    Blank lines part blocks. A fold over the lines of each block; the open line travels apart from the
+    finished ones, so each line is appended once.
     """
     start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast("array<string>").alias("done"))
 
@@ -87,8 +87,11 @@ def reflow(materials: DataFrame, text: str = "raw_text") -> DataFrame:
         joined = F.when(cut, F.concat(F.left(acc["open"], F.length(acc["open"]) - 1), line)).otherwise(F.concat_ws(" ", acc["open"], line))
         return F.struct(F.when(fresh, line).otherwise(joined).alias("open"), F.when(fresh, closed).otherwise(acc["done"]).alias("done"))
 
-    folded = F.aggregate(T.lines(F.col(text)), start, step, lambda acc: F.array_compact(F.concat(acc["done"], F.array(acc["open"]))))
-    return materials.select("doc_id", F.array_join(folded, "\n").alias("text"))
+    def fold(block: Column) -> Column:
+        return F.array_join(F.aggregate(T.lines(block), start, step, lambda acc: F.array_compact(F.concat(acc["done"], F.array(acc["open"])))), "\n")
+
+    blocks = F.transform(F.split(F.col(text), rf"\n{T.WHITESPACE}*\n"), fold)
+    return materials.select("doc_id", F.array_join(F.filter(blocks, lambda b: b != ""), "\n").alias("text"))
 
 
 # Named entities that occur in page text.

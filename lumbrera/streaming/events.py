@@ -59,8 +59,8 @@ class _LimiterProcessor(StatefulProcessor):
             n, wait = limiter.offer(int(at), 1)
             accepted.append(n == 1)
             retry.append(None if wait is None else retry_seconds(wait))
-        if limiter.hits:
-            self.hits.put([(at,) for at in limiter.hits])
+        if limiter.accepted:
+            self.hits.put([(at,) for at in limiter.accepted])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((int(calls["at"].iloc[-1]) + DAY_US) // 1000)
