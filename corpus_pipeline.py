@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumbrera.llm import decontamination, jaccard_join, packing, quality_rules, surrogates
 from lumbrera.llm.queries import SURROGATE_KEY
-from lumbrera.llm.shared import table, written
+from lumbrera.llm.shared import table, unused, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten consecutive words of a benchmark item."""
     index = decontamination.build_index(docs, table(spark, sf_dir, "benchmark"), size=10)
-    hit = written(decontamination.report(index).where("n_hit > 0").select(F.col("key").alias("_hit")).distinct(), "contaminated")
-    keyed = docs.withColumn("_key", decontamination.row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(hit, F.col("_key") == F.col("_hit"), "left_anti").select(*docs.columns)
+    key, of = unused(docs, "_key", "_hit")
+    hit = written(decontamination.report(index).where("n_hit > 0").select(F.col("key").alias(of)).distinct(), "contaminated")
+    keyed = docs.withColumn(key, decontamination.row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(hit, F.col(key) == F.col(of), "left_anti").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
