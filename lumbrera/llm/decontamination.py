@@ -7,7 +7,8 @@
    words around it, which is all that a phrase through that position can touch. A fixed-size bitmap
    of seed terms lets a row skip other words before anything leaves it; it only saves work.
 4. The posting lists of a phrase's two rarest terms, each moved back by the term's offset in the
-   phrase, are intersected; what is left is compared word by word with the stored surroundings.
+   phrase, are intersected; what is left counts where the surroundings of the rarest term agree with
+   the phrase word by word. Only the outcome of that comparison travels, not the words.
 5. With ``slack``, seed terms whose moved positions differ by 1 to ``slack`` words are returned as
    proximity matches. Positions are met through buckets of ``slack`` words, never all with all.
 
@@ -42,7 +43,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 @dataclass
 class Index:
-    """documents: (key, doc_id, n_words). postings: (key, token, pos, first, around). phrases: (phrase, terms, seeds). items: (phrase, item_id)."""
+    """documents: (key, doc_id, n_words). postings: (key, token, pos, first, around). phrases: (number, phrase, terms, seeds). items: (phrase, item_id)."""
 
     documents: DataFrame
     postings: DataFrame
@@ -89,7 +90,7 @@ def build_index(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str =
     terms = distinct.select("phrase", "terms", F.posexplode("terms").alias("offset", "token")).join(counts, "token")
     ranked = terms.groupBy("phrase", "terms").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "token"))).alias("seeds"))
     ranked = ranked.where(F.size("seeds") == F.size("terms"))  # every term occurs somewhere
-    chosen = written(ranked.select("phrase", "terms", F.slice("seeds", 1, 2).alias("seeds")), "seeds")
+    chosen = written(ranked.select(F.monotonically_increasing_id().alias("number"), "phrase", "terms", F.slice("seeds", 1, 2).alias("seeds")), "seeds")
 
     wanted = written(chosen.select(F.explode("seeds.token").alias("token")).distinct(), "terms")
     seen = bitmap(wanted, "token")
@@ -105,29 +106,36 @@ def build_index(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str =
 
 
 def _moved(index: Index, which: int) -> DataFrame:
-    """Postings of each phrase's seed number ``which``, moved back by the seed's offset."""
+    """(number, key, start, same, n_seeds): postings of each phrase's seed ``which``, moved back by its offset.
+
+    ``same`` tells whether the words around the posting are the phrase.
+    """
     seed = F.get("seeds", F.lit(which))
-    seeds = index.phrases.where(F.size("seeds") > which).select("phrase", "terms", F.size("seeds").alias("n_seeds"), seed["token"].alias("token"), seed["offset"].alias("offset"))
-    return index.postings.join(seeds, "token").withColumn("start", F.col("pos") - F.col("offset")).where(F.col("start") >= 0)
+    seeds = index.phrases.where(F.size("seeds") > which).select("number", "terms", F.size("seeds").alias("n_seeds"), seed["token"].alias("token"), seed["offset"].alias("offset"))
+    found = index.postings.join(seeds, "token").withColumn("start", F.col("pos") - F.col("offset")).where(F.col("start") >= 0)
+    same = F.slice("around", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.size("terms")) == F.col("terms")
+    return found.select("number", "key", "start", same.alias("same"), "n_seeds")
 
 
 def phrase_matches(index: Index) -> DataFrame:
     """(key, phrase, start, length) of every exact occurrence."""
-    rarest, second = _moved(index, 0), _moved(index, 1).select("phrase", "key", "start")
+    rarest, second = _moved(index, 0), _moved(index, 1).select("number", "key", "start")
     lone = rarest.where(F.col("n_seeds") == 1)
-    both = rarest.where(F.col("n_seeds") > 1).join(second, ["phrase", "key", "start"], "left_semi")
-    same = F.slice("around", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.size("terms")) == F.col("terms")
-    return both.select(*lone.columns).unionByName(lone).where(same).select("key", "phrase", "start", F.size("terms").alias("length"))
+    both = rarest.where(F.col("n_seeds") > 1).join(second, ["number", "key", "start"], "left_semi")
+    found = both.select(*lone.columns).unionByName(lone).where("same")
+    return found.join(index.phrases.select("number", "phrase", F.size("terms").alias("length")), "number").select("key", "phrase", "start", "length")
 
 
 def proximity_matches(index: Index, slack: int) -> DataFrame:
     """(key, phrase, start, distance): both seeds of a phrase nearly, but not exactly, where the phrase puts them."""
     if slack < 1:
         raise ValueError("slack is a number of words above 0")
-    rarest = _moved(index, 0).select("key", "phrase", "start", F.explode(F.sequence(F.floor(F.col("start") / slack) - 1, F.floor(F.col("start") / slack) + 1)).alias("bucket"))
-    second = _moved(index, 1).select("key", "phrase", F.col("start").alias("other"), F.floor(F.col("start") / slack).alias("bucket"))
-    near = rarest.join(second, ["key", "phrase", "bucket"]).withColumn("distance", F.abs(F.col("start") - F.col("other")))
-    return near.where(F.col("distance").between(1, slack)).groupBy("key", "phrase", "start").agg(F.min("distance").alias("distance"))
+    bucket = F.floor(F.col("start") / slack)
+    rarest = _moved(index, 0).select("key", "number", "start", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
+    second = _moved(index, 1).select("key", "number", F.col("start").alias("other"), bucket.alias("bucket"))
+    near = rarest.join(second, ["key", "number", "bucket"]).withColumn("distance", F.abs(F.col("start") - F.col("other")))
+    least = near.where(F.col("distance").between(1, slack)).groupBy("key", "number", "start").agg(F.min("distance").alias("distance"))
+    return least.join(index.phrases.select("number", "phrase"), "number").select("key", "phrase", "start", "distance")
 
 
 def covered(spans: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,34 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 NOT_WORD_RUN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+_records: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder of ``spark.checkpoint.dir``."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for record in _records:
+        record.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that :func:`scratch` gives out inside the block."""
+    made: list[str] = []
+    _records.append(made)
+    try:
+        yield made
+    finally:
+        _records.remove(made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of :func:`scratch` that no result reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
