@@ -6,13 +6,15 @@ of ``documents``. A stage is written as Parquet and read again before the next o
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbrera.llm import decontamination, jaccard_join, packing, quality_rules, surrogates
 from lumbrera.llm.queries import SURROGATE_KEY
-from lumbrera.llm.shared import table, unused, written
+from lumbrera.llm.shared import recorded, remove, table, unused, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +54,33 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(pieces.drop("ids"))
 
 
+_of_last_stage: list[str] = []
+
+
+def _tidy(stage):
+    """The stage, which first deletes the intermediate tables of the stage before it.
+
+    A stage begins when the result of the one before is written and read again, so what that result
+    was made from is no longer needed.
+    """
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _of_last_stage)
+        _of_last_stage.clear()
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _of_last_stage.extend(made)
+        return out
+
+    return run
+
+
 STAGES = [
-    ("quality_rules", keep_quality),
-    ("near_copies", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("surrogates", replace_personal_data),
-    ("packing", pack_sequences),
+    ("quality_rules", _tidy(keep_quality)),
+    ("near_copies", _tidy(drop_near_copies)),
+    ("decontamination", _tidy(drop_contaminated)),
+    ("surrogates", _tidy(replace_personal_data)),
+    ("packing", _tidy(pack_sequences)),
 ]
 
 # Tokens, keyed hashes and similarity over all documents cannot be said in SQL at this size; the tests
