@@ -51,7 +51,7 @@ def _key(**parts: Column) -> Column:
     return F.struct(*[parts.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
 
 
-def flagged(fragments: DataFrame) -> DataFrame:
+def flagged(measured: DataFrame) -> DataFrame:
     """One row per fragment and rule it counts for: words and chars counted, the key that may dominate."""
     seen = F.coalesce("visible", F.lit(True))
 
@@ -69,7 +69,7 @@ def flagged(fragments: DataFrame) -> DataFrame:
         tag(seen & F.col("underline") & ~F.coalesce("link", F.lit(False)), "subrayado", _key(), words, words, yes),
         tag(seen, PLAIN, _key(), words, words, yes),
     ))
-    return _measured(fragments).select("doc_id", "para_id", "frag_id", "page_number", "text", "chars", F.inline(tags))
+    return measured.select("doc_id", "para_id", "frag_id", "page_number", "text", "chars", F.inline_outer(tags)).filter(F.col("rule").isNotNull())
 
 
 def passages(flags: DataFrame) -> DataFrame:
@@ -105,12 +105,19 @@ def _most_text(measured: DataFrame, by: str) -> DataFrame:
 
 def body_font_size(fragments: DataFrame) -> DataFrame:
     """Size that covers the most characters of each document."""
-    return _most_text(_measured(fragments), "pt").withColumnRenamed("pt", "body_pt")
+    return _body_pt(_measured(fragments))
+
+
+def _body_pt(measured: DataFrame) -> DataFrame:
+    return _most_text(measured, "pt").withColumnRenamed("pt", "body_pt")
 
 
 def body_font(fragments: DataFrame) -> DataFrame:
-    seen = fragments.filter(F.coalesce("visible", F.lit(True)))
-    return _most_text(_measured(seen), "face").select(
+    return _body_face(_measured(fragments))
+
+
+def _body_face(measured: DataFrame) -> DataFrame:
+    return _most_text(measured.filter(F.coalesce("visible", F.lit(True))), "face").select(
         "doc_id", F.col("face").alias("body_font"), C.is_decorative_font(F.col("face")).alias("decorative_body"))
 
 
@@ -162,20 +169,21 @@ def _marked(found: DataFrame, formats: DataFrame, bodies: DataFrame) -> DataFram
         "doc_id", "para_id", "words", "page_number", "ratio", "key", F.inline("met"))
 
 
-def _bodies(fragments: DataFrame) -> DataFrame:
-    return body_font_size(fragments).join(body_font(fragments), "doc_id", "full_outer")
+def _bodies(measured: DataFrame) -> DataFrame:
+    return _body_pt(measured).join(_body_face(measured), "doc_id", "full_outer")
 
 
 def read_layout(fragments: DataFrame, formats: DataFrame) -> Layout:
-    """Marked paragraphs and document facts, summed once and cut from the fragments' plan."""
-    flags = flagged(fragments)
-    bodies = cut(_bodies(fragments))
-    return Layout(flags, cut(_marked(passages(flags), formats, bodies)), bodies, cut(colorblind_pairs(fragments)))
+    """Marked paragraphs and document facts. Fragments are measured once; all else reads columns of that table."""
+    measured = cut(_measured(fragments))
+    flags, bodies = flagged(measured), cut(_bodies(measured))
+    return Layout(flags, cut(_marked(passages(flags), formats, bodies)), bodies, cut(colorblind_pairs(measured)))
 
 
 def passages_of(fragments: DataFrame, formats: DataFrame, rule: str) -> DataFrame:
     """Paragraphs marked by one rule: doc_id, para_id, words, page_number, detail."""
-    found = _marked(passages(flagged(fragments)), formats, _bodies(fragments))
+    measured = cut(_measured(fragments))
+    found = _marked(passages(flagged(measured)), formats, _bodies(measured))
     return found.filter(F.col("rule") == rule).select("doc_id", "para_id", "words", "page_number", "detail")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +42,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write a shared intermediate result to the checkpoint folder and go on from there.
 
-    Used where several branches read the same aggregate: they neither repeat it nor depend on
-    executors that computed it, and the plan of each branch starts small.
+    Used where several branches read the same result: they neither repeat it nor depend on executors
+    that computed it, each reads only the columns it needs, and Spark knows the table's true size.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
