@@ -19,7 +19,7 @@ def summarize_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("sample", "mode").agg(
         F.count_if(ok).alias("runs_ok"), F.count_if(~ok).alias("runs_error"),
         F.bround(F.avg(latency), 1).alias("latency_mean"), F.bround(F.min(latency), 1).alias("latency_min"), F.bround(F.max(latency), 1).alias("latency_max"),
-        F.bround(F.avg(score), 1).alias("score_mean"), F.concat_ws("-", F.min(score), F.max(score)).alias("score_range"),
+        F.bround(F.avg(score), 1).alias("score_mean"), F.coalesce(F.nullif(F.concat_ws("-", F.min(score), F.max(score)), F.lit("")), F.lit("-")).alias("score_range"),
         F.bround(F.stddev_samp(score), 1).alias("score_stdev"))
 
 

@@ -82,7 +82,7 @@ def infer_headings(spark, sf):
 @query("e01_summarize_runs", """
 SELECT sample, mode, count(*) FILTER (WHERE ok) AS runs_ok, count(*) FILTER (WHERE NOT ok) AS runs_error, round_even(avg(latency_s) FILTER (WHERE ok), 1) AS latency_mean,
   round_even(min(latency_s) FILTER (WHERE ok), 1) AS latency_min, round_even(max(latency_s) FILTER (WHERE ok), 1) AS latency_max, round_even(avg(score) FILTER (WHERE ok), 1) AS score_mean,
-  concat_ws('-', min(score) FILTER (WHERE ok), max(score) FILTER (WHERE ok)) AS score_range, round_even(stddev_samp(score) FILTER (WHERE ok), 1) AS score_stdev
+  coalesce(nullif(concat_ws('-', min(score) FILTER (WHERE ok), max(score) FILTER (WHERE ok)), ''), '-') AS score_range, round_even(stddev_samp(score) FILTER (WHERE ok), 1) AS score_stdev
 FROM ai_runs GROUP BY 1, 2""")
 def summarize_runs(spark, sf):
     return evaluation.summarize_runs(entity(spark, sf, "ai_runs"))

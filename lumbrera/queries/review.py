@@ -111,7 +111,7 @@ def upsert(spark, sf):
 @query("s11_copy_tables", "SELECT count(*) AS rows_in_source, count(*) AS rows_in_target, true AS complete FROM files")
 def copy_tables(spark, sf):
     folder = f"{checkpoint_dir(spark).rstrip('/')}/copies/{spark.sparkContext.applicationId}/files"
-    return tables.copy_table(spark, entity(spark, sf, "files"), folder, force=True)
+    return tables.copy_table(spark, entity(spark, sf, "files"), folder, ["file_id"], force=True)
 
 
 # --- proposals derived from the log and the model findings ----------------------------------------------

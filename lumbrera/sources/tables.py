@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -21,22 +23,42 @@ class CopyRefused(RuntimeError):
     """The target already holds rows and replacing was not asked for."""
 
 
-def copy_table(spark: SparkSession, source: DataFrame, path: str, force: bool = False) -> DataFrame:
-    """Copy a table to ``path``: common columns only, a non-empty target refused unless forced, counts compared.
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the folder ``fresh`` in the place of ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    files.mkdirs(target.getParent())
+    if not files.rename(hadoop(fresh), target):
+        raise OSError(f"{fresh} could not take the place of {path}")
+
+
+def copy_table(spark: SparkSession, source: DataFrame, path: str, key: list[str], force: bool = False, dry_run: bool = False) -> DataFrame:
+    """Copy a table to ``path``: common columns only, a non-empty target refused unless forced.
 
-    Returns one row with the rows read and the rows found at the target afterwards.
+    A forced copy replaces by ``key``: rows of the target that the source does not have stay. The new
+    table is written beside the target and takes its place when it is whole. ``dry_run`` writes nothing.
+    Returns one row: rows read, rows at the target afterwards, and whether every key of the source is there.
     """
     try:
         existing = spark.read.parquet(path)
         common = [c for c in source.columns if c in existing.columns]
         if not force and not existing.isEmpty():
             raise CopyRefused(f"{path} already holds rows")
+        others = existing.select(*common).join(source.select(*key).distinct(), key, "left_anti").select(*common)
+        merged = others.unionByName(source.select(*common))
     except AnalysisException:
-        common = source.columns
-    source.select(*common).write.mode("overwrite").parquet(path)
-    written = spark.read.parquet(path)
-    return source.agg(F.count("*").alias("rows_in_source")).crossJoin(written.agg(F.count("*").alias("rows_in_target"))).withColumn(
-        "complete", F.col("rows_in_target") >= F.col("rows_in_source"))
+        existing, merged = None, source
+    if not dry_run:
+        fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        merged.write.parquet(fresh)
+        _swap(spark, fresh, path)
+        existing = spark.read.schema(merged.schema).parquet(path)
+    found = source.limit(0) if existing is None else existing
+    missing = source.select(*key).distinct().join(found.select(*key).distinct(), key, "left_anti").agg(F.count("*").alias("missing"))
+    counts = source.agg(F.count("*").alias("rows_in_source")).crossJoin(found.agg(F.count("*").alias("rows_in_target"))).crossJoin(missing)  # one row each
+    return counts.select("rows_in_source", "rows_in_target", (F.col("missing") == 0).alias("complete"))
 
 
 def export_text(adapted: DataFrame, fmt: str = "md") -> DataFrame:
