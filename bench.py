@@ -29,7 +29,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 1))
     spark = build_session(
-        "bench", spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"), spark__sql__files__maxPartitionBytes="4m", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
+        "bench", spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"), master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"))
     spark.sparkContext.setLogLevel("ERROR")
     available = catalog.load()

@@ -234,20 +234,36 @@ def references(sql: str, names) -> list[str]:
     return [n for n in names if n in words]
 
 
+# Tables and entities whose rows cost far more to judge than to move.
+_HEAVY = ("documents", "pages", "fragments")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer splits than there are cores.
+
+    Text rules are bound by the work on a row, and one row group would keep it all on one core. What
+    counts is splits, not files: a table that gives every core a split comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read with the schema its footer declares (one footer read per table and session)."""
     cache = spark.__dict__.setdefault("_lumbrera_schemas", {})
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     if path not in cache:
         cache[path] = spark.read.parquet(path).schema
-    return spark.read.schema(cache[path]).parquet(path)
+    df = spark.read.schema(cache[path]).parquet(path)
+    return spread(df) if name in _HEAVY else df
 
 
 def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An entity table derived from the given tables, as a lazy DataFrame."""
     sql = _SPARK_SQL.get(name, SQL[name])
     for base in references(sql, BASE_TABLES):
-        table(spark, sf_dir, base).createOrReplaceTempView(base)
+        df = table(spark, sf_dir, base)
+        (spread(df) if name == "fragments" else df).createOrReplaceTempView(base)
     for derived in references(sql, [n for n in SQL if n != name]):
         entity(spark, sf_dir, derived).createOrReplaceTempView(derived)
     return spark.sql(sql)
