@@ -48,7 +48,7 @@ WHERE doc_id % 4 <> 0 AND doc_id % 3 <> 0""",
 SELECT l_orderkey AS doc_id, {_LINE_NUMBER} AS frag_id, CAST(1 + l_linenumber % 3 AS INT) AS para_id,
   CAST(1 + l_linenumber % 4 AS INT) AS page_number, repeat('palabra ', CAST(l_quantity AS INT)) AS text,
   CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(6 + l_partkey % 12 AS DOUBLE) END AS size,
-  CASE l_suppkey % 6 WHEN 0 THEN '#000000' WHEN 1 THEN '#C0392B' WHEN 2 THEN '#27AE60' WHEN 3 THEN '#999999'
+  CASE l_suppkey % 6 WHEN 0 THEN '#000000' WHEN 1 THEN '#C0392B' WHEN 2 THEN '#6B7A1E' WHEN 3 THEN '#999999'
     WHEN 4 THEN '#CCCCCC' ELSE NULL END AS color,
   '#FFFFFF' AS background, l_partkey % 5 = 0 AS bold, l_returnflag = 'R' AS italic, l_linestatus = 'O' AS underline,
   l_linenumber % 5 = 0 AS link, l_linenumber <> 7 AS visible,
