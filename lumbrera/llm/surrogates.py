@@ -13,6 +13,10 @@
    surrogate that is a real part of the corpus. All but one of the parts that collide, and the parts
    whose surrogate is real, go on to their next attempt until none is left. Only attempts above 0 are
    carried back to documents, as a table that is empty or small beside the corpus.
+5. Every part changes: letters of other scripts become Latin ones, and the signs of a part without
+   letters and digits become letters. From attempt ``PLAIN_ATTEMPTS`` on a surrogate is longer than its
+   part by one letter or digit an attempt, so there is always room for the parts of a short format. Only
+   addresses keep their four octets: 254 ** 4 surrogates, for more distinct ones than 30 GB can write.
 
 An e-mail domain has at most 41 labels here.
 
@@ -22,6 +26,8 @@ unchanged; repeated rows get equal results; null ids are allowed; columns of the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +60,8 @@ GIVEN = {
     ("m", 2): "αλέξης γιώργος δημήτρης κώστας λεωνίδας μανώλης νίκος παύλος".split(),
     ("f", 2): "άννα βασιλική δήμητρα ελένη ζωή ιωάννα κατερίνα μαρία".split(),
 }
+PLAIN_ATTEMPTS = 4  # attempts at the length of the part
+SIGNS = "._~=+/%-"  # what a secret or the local part of an e-mail address can have besides letters and digits
 # ------------------------------------------------------------------------------------------------
 
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -115,10 +123,10 @@ def _luhn(digits: Column) -> Column:
 
 
 def _alike(canon: Column, stream: Column, kept: Column) -> Column:
-    """Character by character: another of the same class; the first ``kept`` digits and all other characters stay."""
+    """Character by character: another of the same class; the first ``kept`` characters, if digits, and all signs stay."""
     def one(i: Column) -> Column:
         c = F.substring(canon, i, F.lit(1))
-        new = c
+        new = F.when(F.regexp_like(c, F.lit(r"\p{L}")), F.when(c == F.lower(c), _pick(stream, i, ALPHABETS[0])).otherwise(F.upper(_pick(stream, i, ALPHABETS[0])))).otherwise(c)
         for letters, script in reversed(list(zip(ALPHABETS, SCRIPTS, strict=True))):
             new = F.when(F.regexp_like(F.lower(c), F.lit(script)), F.when(c == F.lower(c), _pick(stream, i, letters)).otherwise(F.upper(_pick(stream, i, letters)))).otherwise(new)
         return F.when(F.regexp_like(c, F.lit("[0-9]")), F.when(i <= kept, c).otherwise(_pick(stream, i, "0123456789"))).otherwise(new)
@@ -126,12 +134,23 @@ def _alike(canon: Column, stream: Column, kept: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), one), "")
 
 
+def _lettered(canon: Column) -> Column:
+    """``canon``, or letters in place of its signs where it has nothing else."""
+    return F.when(F.regexp_like(canon, F.lit(r"[\p{L}0-9]")), canon).otherwise(F.translate(canon, SIGNS, "a" * len(SIGNS)))
+
+
+def _longer(seed: Column, attempt: Column, characters: str) -> Column:
+    """What attempts from ``PLAIN_ATTEMPTS`` on add: one of 16 characters more each time."""
+    drawn = F.translate(F.sha2(F.concat(seed, F.lit("\x1flonger")), 512), "0123456789abcdef", characters)
+    return F.when(attempt >= PLAIN_ATTEMPTS, F.left(drawn, attempt - (PLAIN_ATTEMPTS - 1))).otherwise(F.lit(""))
+
+
 def _hex(canon: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), lambda i: _pick(stream, i, "0123456789abcdef")), "")
 
 
-def _name(kind: Column, canon: Column, stream: Column) -> Column:
-    out = canon
+def _name(kind: Column, canon: Column, stream: Column, longer: Callable[[str], Column]) -> Column:
+    out = F.concat(_alike(canon, stream, F.lit(0)), longer(ALPHABETS[0][:16]))  # a script without a list
     first = F.lit(1)
     for at in (2, 1, 0):
         male, female = (F.array(*[F.lit(x) for x in GIVEN[g, at]]) for g in ("m", "f"))
@@ -140,7 +159,7 @@ def _name(kind: Column, canon: Column, stream: Column) -> Column:
             F.get(F.concat(male, female), _draw(stream, first, 2 * n)))
         # Two more letters keep given names apart where the corpus has more of them than the list.
         drawn = F.concat(given, _pick(stream, F.lit(2), ALPHABETS[at]), _pick(stream, F.lit(3), ALPHABETS[at]))
-        out = F.when(F.regexp_like(canon, F.lit(SCRIPTS[at])), F.when(kind == "surname", _alike(canon, stream, F.lit(0))).otherwise(drawn)).otherwise(out)
+        out = F.when(F.regexp_like(canon, F.lit(SCRIPTS[at])), F.concat(F.when(kind == "surname", _alike(canon, stream, F.lit(0))).otherwise(drawn), longer(ALPHABETS[at][:16]))).otherwise(out)
     return out
 
 
@@ -148,22 +167,25 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical surrogate of a part: a function of key, kind, canonical form and attempt alone."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
     stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1fmore")), 512))
+    longer = lambda characters: _longer(seed, attempt, characters)
+    digits, letters = longer("0123456789012345"), longer(ALPHABETS[0][:16])
     octets = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(1, 5)]), lambda i: (_draw(stream, i, 254) + 1).cast("string")), ".")
     at = F.instr(canon, "@")
     host = F.regexp_extract(canon, r"@(.*)\.[^.]*$", 1)
     tail = F.regexp_extract(canon, r"(\.[^.]*)$", 1)
-    mail = F.concat(_alike(F.substring(canon, F.lit(1), at - 1), stream, F.lit(0)), F.lit("@"), _alike(host, F.reverse(stream), F.lit(0)), tail)
-    number = _alike(canon, stream, F.lit(0))
+    mail = F.concat(_alike(_lettered(F.substring(canon, F.lit(1), at - 1)), stream, F.lit(0)), letters, F.lit("@"), _alike(host, F.reverse(stream), F.lit(0)), tail)
+    number = F.concat(_alike(canon, stream, F.lit(0)), digits)
     body = F.substring(number, F.lit(1), F.length(number) - 1)
     checked = F.concat(body, F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     return (
         F.when(kind == "ip", octets).when(kind == "email", mail)
         .when(kind == "number", F.when(_luhn(canon) == 0, checked).otherwise(number))
-        .when(kind == "phone", _alike(canon, stream, F.when(F.startswith(canon, F.lit("+")), F.lit(2)).otherwise(F.lit(0))))
-        .when(kind == "iban", F.concat(F.left(canon, F.lit(2)), _alike(F.substring(canon, F.lit(3), F.length(canon)), stream, F.lit(0))))
-        .when(F.startswith(kind, F.lit("given")) | (kind == "surname"), _name(kind, canon, stream))
-        .when((kind == "secret") & F.regexp_like(canon, F.lit("^[0-9a-f]+$")), _hex(canon, stream))
-        .otherwise(_alike(canon, stream, F.lit(0))))
+        .when(kind == "phone", F.concat(_alike(canon, stream, F.when(F.startswith(canon, F.lit("+")), F.lit(2)).otherwise(F.lit(0))), digits))
+        .when(kind == "iban", F.concat(F.left(canon, F.lit(2)), _alike(F.substring(canon, F.lit(3), F.length(canon)), stream, F.lit(0)), digits))
+        .when(F.startswith(kind, F.lit("given")) | (kind == "surname"), _name(kind, canon, stream, longer))
+        .when((kind == "secret") & F.regexp_like(canon, F.lit("^[0-9a-f]+$")), F.concat(_hex(canon, stream), longer("0123456789abcdef")))
+        .when(kind == "ssn", number)
+        .otherwise(F.concat(_alike(_lettered(canon), stream, F.lit(0)), letters)))
 
 
 def as_written(kind: Column, written_: Column, new: Column) -> Column:
@@ -173,9 +195,10 @@ def as_written(kind: Column, written_: Column, new: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(written_, F.lit(1), i), "[ ().-]", ""))
         return F.when(F.regexp_like(c, F.lit("[ ().-]")), c).otherwise(F.substring(new, before, F.lit(1)))
 
-    dealt = F.array_join(F.transform(F.sequence(F.lit(1), F.length(written_)), one), "")
-    cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(written_)), lambda i: F.when(
-        F.substring(written_, i, F.lit(1)) != F.lower(F.substring(written_, i, F.lit(1))), F.upper(F.substring(new, i, F.lit(1)))).otherwise(F.substring(new, i, F.lit(1)))), "")
+    rest = lambda n: F.substring(new, n + 1, F.length(new))
+    dealt = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(written_)), one), ""), rest(F.length(F.regexp_replace(written_, "[ ().-]", ""))))
+    cased = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(written_)), lambda i: F.when(
+        F.substring(written_, i, F.lit(1)) != F.lower(F.substring(written_, i, F.lit(1))), F.upper(F.substring(new, i, F.lit(1)))).otherwise(F.substring(new, i, F.lit(1)))), ""), rest(F.length(written_)))
     return (
         F.when(kind.isin("number", "phone", "ssn", "iban"), dealt).when(kind == "ip", new)
         .when(F.startswith(kind, F.lit("given")) | (kind == "surname"), F.when(written_ == F.upper(written_), F.upper(new)).otherwise(F.concat(F.upper(F.left(new, F.lit(1))), F.substring(new, F.lit(2), F.length(new)))))

@@ -204,6 +204,37 @@ def test_collisions_are_moved_on(spark, monkeypatch):
     assert len({r["new"] for r in got}) == 14 and not {"7", "8"} & {r["new"] for r in got}
 
 
+def test_every_part_changes(spark):
+    parts = [("secret", "________"), ("secret", "........"), ("secret", "~=+/-._~"), ("email", "_@-.com"), ("given", "արամ"), ("surname", "արամ"), ("surname", "ⴰⴱ")]
+    drawn = spark.createDataFrame([(*p, a) for p in parts for a in range(3)], "kind string, canon string, attempt int")
+    news = collections.defaultdict(set)
+    for r in drawn.withColumn("new", surrogates.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k")).collect():
+        assert r["new"] != r["canon"] and len(r["new"]) == len(r["canon"])
+        news[r["kind"], r["canon"]].add(r["new"])
+    assert all(len(x) == 3 for x in news.values())  # so that attempts() comes to an end
+    texts = ["Password: ________", "password: ........", "Dr Արամ", "Dr Արամ Սարգսյան", "_@-.com"]
+    one, two, name, both, mail = replaced(spark, texts)
+    assert re.fullmatch("Password: [a-z]{8}", one) and re.fullmatch("password: [a-z]{8}", two) and re.fullmatch("Dr [A-Z][a-z]{3}", name)
+    assert re.fullmatch("Dr [A-Z][a-z]{3} [A-Z][a-z]{7}", both) and re.fullmatch(r"[a-z]@-\.com", mail)
+
+
+def test_more_parts_than_surrogates_of_their_length(spark):
+    mails = [("email", f"{a}@{b}.co") for a in surrogates.ALPHABETS[0] for b in surrogates.ALPHABETS[0]]  # every one of this length is real
+    got = surrogates.attempts(spark.createDataFrame(mails, "kind string, canon string"), "k")
+    news = [r["new"] for r in got.withColumn("new", surrogates.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k")).collect()]
+    assert len(set(news)) == len(mails) and not set(news) & {c for _, c in mails}
+
+
+def test_longer_surrogates_keep_the_writing(spark):
+    rows = [("phone", "+1 (017) 555-7713", "+10175557713"), ("number", "4111 1111 1111 1111", "4" + "1" * 15), ("ssn", "123-45-6789", "123456789"), ("secret", "AbCdEfGh", "abcdefgh"), ("email", "A@b.com", "a@b.com"), ("given_m", "Νίκος", "νίκος"), ("surname", "O'Neil", "o'neil")]
+    df = spark.createDataFrame(rows, "kind string, w string, canon string")
+    new = df.withColumn("new", surrogates.surrogate(F.col("kind"), F.col("canon"), F.lit(5), "k")).withColumn("put", surrogates.as_written(F.col("kind"), F.col("w"), F.col("new")))
+    got = {r["kind"]: r["put"] for r in new.collect()}
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{6}", got["phone"]) and re.fullmatch(r"(\d{4} ){3}\d{6}", got["number"]) and luhn(got["number"].replace(" ", "")) == 0
+    assert re.fullmatch(r"\d{3}-\d\d-\d{6}", got["ssn"]) and re.fullmatch("([A-Z][a-z]){4}[a-z]{2}", got["secret"]) and re.fullmatch(r"[A-Z][a-z]{2}@[a-z]\.com", got["email"])
+    assert got["given_m"].lower()[:-4] in surrogates.GIVEN["m", 2] and re.fullmatch("[A-Z]'[a-z]{6}", got["surname"])
+
+
 def test_surrogates_leave_everything_else_alone(spark, docs):
     out = surrogates.pseudonymize(with_clashes(docs), "k")
     before = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
