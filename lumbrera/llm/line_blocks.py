@@ -7,15 +7,17 @@
 2. Text lengths are summed over windows of ``WINDOW`` lines. A window over empty lines only is a
    valley; the text rises from a valley at a surge point and falls into the next at a dive point.
 3. The text between a surge and its dive is kept if its highest window reaches ``SURGE`` characters;
-   if none does, the longest such stretch is. Where the page marks an article or main element that has
-   text, only its lines have a length, and every stretch of it is kept, however short.
+   if none does, the longest such stretch is. Text inside article and main elements adds weight: their
+   share of the text of the page, times ``MARK * SURGE`` characters, counts for each stretch with lines
+   of theirs. So short stretches of an article that is most of the page are kept, while a teaser in an
+   article element beside a long text has to rise like any other, and the long text is kept too.
 
 Single empty lines, such as an advert between two paragraphs, lie inside a window with text and do not
 end it. Nothing between surge and dive is dropped except the empty lines.
 
 Defined cases: null or empty html has an empty text; pages cut off in the middle of an element, a tag
 or a character reference are read as far as they go; unclosed elements end where the next of their
-kind must begin; an article ends any unclosed menu; repeated rows get equal results; columns of the
+kind must begin; an article ends any unclosed menu, but one inside a closed menu, aside or footer is part of it; repeated rows get equal results; columns of the
 input stay, ``text`` and ``n_chars`` are replaced.
 """
 
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW, SURGE = 3, 80
+MARK = 2  # an article that is half of the page's text keeps all its stretches
 LINK_SHARE = 0.5
 # --- fixed values: element and attribute names -----------------------------------------------------
 BLOCKS = frozenset(
@@ -41,6 +44,7 @@ NAMED = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related "
     "recommended widget toolbar pagination pager copyright disclaimer skip search header topbar".split())
 OF_ARTICLES = frozenset("header".split())  # not content, unless inside an article
+CLOSED = frozenset("nav footer aside menu dialog".split())  # no article inside them is the main one
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status".split())
 ENDS_ITSELF = frozenset("p li dt dd option tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +74,15 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _ends(page: str, at: int, tag: str, n: int) -> bool:
+    """Whether the outermost of ``n`` open elements is closed after ``at``."""
+    for found in re.compile(rf"<(/?){tag}\b", re.I).finditer(page, at):
+        n += -1 if found[1] else 1
+        if not n:
+            return True
+    return False
+
+
 def lines_of(page: str) -> list[tuple[str, bool]]:
     """(text, inside an article) of every line; the text is empty where the line is not content."""
     out: list[tuple[str, bool]] = []
@@ -77,6 +90,8 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     linked = articles = 0
     in_link = False
     outer: tuple[str, int] | None = None  # the element that is not content, and how many of its kind are open
+    ends: bool | None = None  # whether that element is closed, once it matters
+    inner = 0  # open articles inside it
 
     def close() -> None:
         nonlocal linked
@@ -114,12 +129,14 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if tag not in BLOCKS and not (outer and outer[0] == tag):
             if not closing and outer is None and tag not in VOID and found[3] and _unwanted(tag, found[3], articles > 0):
                 close()
-                outer = (tag, 1)
+                outer, ends, inner = (tag, 1), None, 0
             continue
         close()
         if closing:
             if outer and outer[0] == tag:
                 outer = (tag, outer[1] - 1) if outer[1] > 1 else None
+            elif content and outer and inner:
+                inner -= 1
             elif content:
                 articles = max(0, articles - 1)
             continue
@@ -129,10 +146,14 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if outer and outer[0] in ENDS_ITSELF:
             outer = None
         unwanted = _unwanted(tag, found[3], articles > 0)
-        if content and not unwanted:
+        if content and outer and outer[0] in CLOSED and ends is None:
+            ends = _ends(page, at, *outer)
+        if content and outer and (unwanted or outer[0] in CLOSED and ends):
+            inner += 1
+        elif content and not unwanted:
             articles, outer = articles + 1, None
         elif outer is None and unwanted and tag not in VOID:
-            outer = (tag, 1)
+            outer, ends, inner = (tag, 1), None, 0
     close()
     return out
 
@@ -156,12 +177,13 @@ def stretches(lengths: list[int]) -> list[tuple[int, int, int]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    marked = any(t and inside for t, inside in lines)
-    lengths = [len(t) if inside or not marked else 0 for t, inside in lines]
+    lengths = [len(t) for t, _ in lines]
+    marked = [n if inside else 0 for n, (_, inside) in zip(lengths, lines, strict=True)]
+    weight = MARK * SURGE * sum(marked) / max(1, sum(lengths))
+    added = lambda s: weight if any(marked[s[0] : s[1]]) else 0
     found = stretches(lengths)
-    if not marked:
-        high = [s for s in found if s[2] >= SURGE]
-        found = high or sorted(found, key=lambda s: -sum(lengths[s[0] : s[1]]))[:1]
+    high = [s for s in found if s[2] + added(s) >= SURGE]
+    found = high or sorted(found, key=lambda s: -sum(lengths[s[0] : s[1]]) - added(s))[:1]
     return "\n".join(lines[i][0] for surge, dive, _ in found for i in range(surge, dive) if lengths[i])
 
 

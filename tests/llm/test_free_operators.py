@@ -244,6 +244,18 @@ def test_main_text(page):
     assert line_blocks.main_text(page) == "T\nFirst paragraph & more text that is long enough to be a story, surely it is so.\nShort.\na\nb\nAn end."
 
 
+def test_body_in_a_div_beside_teasers_in_articles():
+    body = "".join(f"<p>Paragraph {i} of the story, which is long enough to be the main text of the page.</p>" for i in range(8))
+    gap = "<nav><p>a</p><p>b</p><p>c</p></nav>"
+    want = "\n".join(f"Paragraph {i} of the story, which is long enough to be the main text of the page." for i in range(8))
+    teaser = "<article><h2>Another story</h2><p>Read it.</p></article>"
+    for tag in ("div", "section"):
+        for page in (f"<{tag}>{body}</{tag}>{gap}{teaser}", f"{teaser}{gap}<{tag}>{body}</{tag}>{gap}{teaser}", f"<{tag}>{body}</{tag}><aside>{teaser}{teaser}</aside>"):
+            assert line_blocks.main_text(f"<html><body>{page}</body></html>") == want
+    assert line_blocks.main_text(f"<article>{body}<aside>{teaser}</aside>{gap}<p>End.</p></article>") == want + "\nEnd."
+    assert line_blocks.main_text(f"<nav>menu<article>{body}</article>") == line_blocks.main_text(f"<form><main>{body}</main></form>") == want
+
+
 def test_main_text_on_edge_cases(spark):
     texts = {None: "", "": "", "<p>Of.": "Of.", "<article><p>a &am": "a &am", "plain": "plain", "<article>x<foo bar=": "x", "<nav>menu": "", "<p>a</p><!-- open": "a", "<script>x": "", "a < b": "a < b"}
     rows = spark.createDataFrame(list(enumerate(texts)), "page_id bigint, html string")
