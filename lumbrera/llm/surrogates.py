@@ -8,11 +8,13 @@
 3. The surrogate of a part follows from SHA-512 over key, kind, canonical form and attempt. It has the
    same length and classes of characters, letters of the same script, the mention's own punctuation
    and letter case; a number with a valid check digit gets a valid one; octets stay octets; a given
-   name is drawn for the gender of the form of address and the script of the name.
+   name is drawn for the script of the name and the gender of its forms of address in the whole corpus,
+   so that a person is one with and without a gendered form: none if there are both or neither.
 4. Collisions are looked for over the whole corpus: two different parts with one surrogate, or a
-   surrogate that is a real part of the corpus. All but one of the parts that collide, and the parts
-   whose surrogate is real, go on to their next attempt until none is left. Only attempts above 0 are
-   carried back to documents, as a table that is empty or small beside the corpus.
+   surrogate that is a real part of the corpus, given names and surnames taken together. All but one of the parts that collide, and the parts
+   whose surrogate is real, go on to their next attempt until none is left. Only attempts above 0
+   and genders that differ from the form of address are carried back to documents, as a table that is
+   empty or small beside the corpus.
 5. Every part changes: letters of other scripts become Latin ones, and the signs of a part without
    letters and digits become letters. From attempt ``PLAIN_ATTEMPTS`` on a surrogate is longer than its
    part by one letter or digit an attempt, so there is always room for the parts of a short format. Only
@@ -205,16 +207,28 @@ def as_written(kind: Column, written_: Column, new: Column) -> Column:
         .otherwise(cased))
 
 
+def genders(parts: DataFrame) -> DataFrame:
+    """The distinct ``parts`` (kind, canon) with ``settled``: the kind with the one gender of a given name in all of them."""
+    given = parts.where(F.startswith("kind", F.lit("given"))).groupBy("canon").agg(
+        F.max(F.col("kind") == "given_m").alias("m"), F.max(F.col("kind") == "given_f").alias("f"))
+    one = F.when(F.col("m") & ~F.col("f"), F.lit("given_m")).when(F.col("f") & ~F.col("m"), F.lit("given_f")).otherwise(F.lit("given"))
+    given = given.select(F.lit(True).alias("named"), F.col("canon"), one.alias("one"))
+    return parts.withColumn("named", F.startswith("kind", F.lit("given"))).join(given, ["named", "canon"], "left").select("kind", "canon", F.coalesce("one", "kind").alias("settled"))
+
+
 def attempts(parts: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the distinct ``parts`` (kind, canon) such that all surrogates differ from each other and from every real part."""
     spread = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each costs much
+    among = F.when(F.startswith("kind", F.lit("given")) | (F.col("kind") == "surname"), F.lit("name")).otherwise(F.col("kind")).alias("among")
+    part = F.struct("kind", "canon")
     now = written(parts.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "parts")
     while True:
-        drawn = written(now.repartition(spread, "kind", "canon").withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "drawn")
-        first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        real = drawn.select("kind", F.col("new").alias("canon")).join(now.select("kind", "canon"), ["kind", "canon"], "left_semi").select("kind", F.col("canon").alias("new")).distinct()
-        again = drawn.join(first, ["kind", "new"], "left").join(real.withColumn("real", F.lit(True)), ["kind", "new"], "left")
-        clash = F.col("real").isNotNull() | (F.col("owner").isNotNull() & (F.col("owner") != F.col("canon")))
+        drawn = now.repartition(spread, "kind", "canon").withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        drawn = written(drawn.select("*", among), "drawn")
+        first = drawn.groupBy("among", "new").agg(F.min(part).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        real = drawn.select("among", "new").join(now.select(among, F.col("canon").alias("new")), ["among", "new"], "left_semi").distinct()
+        again = drawn.join(first, ["among", "new"], "left").join(real.withColumn("real", F.lit(True)), ["among", "new"], "left")
+        clash = F.col("real").isNotNull() | (F.col("owner").isNotNull() & (F.col("owner") != part))
         again = written(again.select("kind", "canon", "attempt", F.coalesce(clash, F.lit(False)).alias("clash")), "clashes")
         if again.where("clash").isEmpty():
             return now
@@ -230,16 +244,21 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     for name, column in analysed(F.col("values")):
         values = values.withColumn(name, column)
     said = written(values.select("h", F.explode(F.flatten(F.transform("_mentions", lambda m: m["parts"]))).alias("p")).select("h", "p.kind", "p.canon").distinct(), "said")
-    later = attempts(said, key).where("attempt > 0")
+    settled = written(genders(said.select("kind", "canon").distinct()), "settled")
+    placed = attempts(settled.select(F.col("settled").alias("kind"), "canon"), key).withColumnRenamed("kind", "settled")
+    later = settled.join(placed, ["settled", "canon"]).where("attempt > 0 OR settled <> kind")
     changed = written(said.join(later, ["kind", "canon"]).groupBy(F.col("h").alias("of")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("later")), "later")  # parts of one text
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "canon"), F.struct("settled", "attempt")))).alias("later")), "later")  # parts of one text
 
     found = rows.join(changed, F.col("h") == F.col("of"), "left")
     for name, column in analysed(F.col("values")):
         found = found.withColumn(name, column)
-    attempt = lambda p: F.coalesce(F.col("later")[F.concat_ws(":", p["kind"], p["canon"])], F.lit(0))
-    drawn = F.transform("_mentions", lambda m: F.struct(m["label"].alias("label"), F.transform(m["parts"], lambda p: F.struct(
-        p["kind"].alias("kind"), p["written"].alias("written"), surrogate(p["kind"], p["canon"], attempt(p), key).alias("new"))).alias("parts")))
+    later_of = lambda p: F.col("later")[F.concat_ws(":", p["kind"], p["canon"])]
+    placed_in = F.transform("_mentions", lambda m: F.struct(m["label"].alias("label"), F.transform(m["parts"], lambda p: F.struct(
+        F.coalesce(later_of(p)["settled"], p["kind"]).alias("kind"), p["written"].alias("written"), p["canon"].alias("canon"),
+        F.coalesce(later_of(p)["attempt"], F.lit(0)).alias("attempt"))).alias("parts")))
+    drawn = F.transform(placed_in, lambda m: F.struct(m["label"].alias("label"), F.transform(m["parts"], lambda p: F.struct(
+        p["kind"].alias("kind"), p["written"].alias("written"), surrogate(p["kind"], p["canon"], p["attempt"], key).alias("new"))).alias("parts")))
     found = found.withColumn("drawn", drawn)
     put = F.transform("drawn", lambda m: F.concat(m["label"], F.array_join(F.transform(m["parts"], lambda p: as_written(p["kind"], p["written"], p["new"])), " ")))
     found = found.withColumns({"put": put, "gaps": F.when(F.size("values") > 0, F.split(F.col("body"), FOUND, -1))})

@@ -235,6 +235,20 @@ def test_longer_surrogates_keep_the_writing(spark):
     assert got["given_m"].lower()[:-4] in surrogates.GIVEN["m", 2] and re.fullmatch("[A-Z]'[a-z]{6}", got["surname"])
 
 
+def test_a_person_is_one_under_every_form_of_address(spark):
+    texts = ["Mr John Smith", "Dr John Smith", "Prof JOHN Smith", "Ms Kim Lee", "Mr Kim Lee", "Dr Kim Lee", "Dr Ann Lee", "Mrs Ann Lee", "Prof Pat Lee"]
+    got = [x.split(" ", 1)[1].lower() for x in replaced(spark, texts)]
+    assert len(set(got[:3])) == len(set(got[3:6])) == len(set(got[6:8])) == 1 and len(set(got)) == 4
+    assert got[0].split()[0][:-2] in surrogates.GIVEN["m", 0] and got[6].split()[0][:-2] in surrogates.GIVEN["f", 0]
+
+
+def test_names_of_all_kinds_are_kept_apart(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, canon, attempt, key: F.pmod(F.hash(canon, attempt), F.lit(40)).cast("string"))
+    parts = spark.createDataFrame([(k, f"v{k}{i}") for i in range(4) for k in ("given_m", "given_f", "given", "surname")] + [("surname", "7"), ("given", "8"), ("given", "same"), ("surname", "same")], "kind string, canon string")
+    got = surrogates.attempts(parts, "k").withColumn("new", surrogates.surrogate("x", F.col("canon"), F.col("attempt"), "k")).collect()
+    assert len(got) == 20 == len({r["new"] for r in got}) and not {"7", "8"} & {r["new"] for r in got}
+
+
 def test_surrogates_leave_everything_else_alone(spark, docs):
     out = surrogates.pseudonymize(with_clashes(docs), "k")
     before = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
