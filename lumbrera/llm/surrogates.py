@@ -41,8 +41,9 @@ MALE = "Mr|Sir|Herr|Monsieur|Señor|Г-н|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Señora|Señorita|Г-жа|Госпожа|Κυρία"
 TITLE = rf"(?:{MALE}|{FEMALE}|Dr|Prof)\b\.?[ \t]{{1,3}}"
 NAME = r"\p{Lu}[\p{L}'’-]+(?:[ \t]\p{Lu}[\p{L}'’-]+){0,2}"
+KEYS = "(?:sk|pk|rk|ghp|gho|ghs|xox[abp]|AKIA|AIza|eyJ)[_-]?[A-Za-z0-9_-]{16"
 PATTERNS = {
-    "secret": rf"""(?<![\p{{L}}\p{{Nd}}_]){SECRET_LABEL}[A-Za-z0-9+/=._~-]{{8,}}|(?<![A-Za-z0-9])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|(?:sk|pk|rk|ghp|gho|ghs|xox[abp]|AKIA|AIza|eyJ)[_-]?[A-Za-z0-9_-]{{16,}})(?![A-Za-z0-9])""",
+    "secret": rf"""(?<![\p{{L}}\p{{Nd}}_]){SECRET_LABEL}[A-Za-z0-9+/=._~-]{{8,}}|(?<![A-Za-z0-9])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|{KEYS},}})(?![A-Za-z0-9])""",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,40}[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -51,7 +52,8 @@ PATTERNS = {
     "phone": r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
     "name": rf"(?<![\p{{L}}\p{{Nd}}]){TITLE}{NAME}",
 }
-SUSPECT = r"[0-9@]|(?i:token|secret|passw|pwd|key)|(?<!\p{L})(?:" + MALE + "|" + FEMALE + r"|Dr|Prof)\b"
+# Every pattern implies this: without digits, only a key or a run of hexadecimal letters is a secret without a label.
+SUSPECT = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|(?<![A-Za-z0-9]){KEYS}}}|(?i:token|secret|passw|pwd|key)|(?<!\p{{L}})(?:" + MALE + "|" + FEMALE + r"|Dr|Prof)\b"
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 SCRIPTS = (r"^[\p{IsLatin}]", r"^\p{IsCyrillic}", r"^\p{IsGreek}")
 GIVEN = {
