@@ -1,8 +1,9 @@
 """Exact Jaccard join on word n-grams with several global token orders.
 
 Two sets with J >= t share at least ``ceil(t * n)`` tokens, so under ANY order of all tokens they
-share one of the first ``p = n - ceil(t * n) + 1`` tokens of each. Every order gives a filter; a pair
-has to pass all of them before it is verified.
+share one of the first ``p = n - ceil(t * n) + 1`` tokens of each. Every order gives a filter; a node
+has to pass all of them. They are intersected on nodes, not on pairs: a pair inside a part may be
+verified that shares no prefix token under some order.
 
 1. Every text becomes a set of 64-bit hashes of its n-grams. Equal sets (copies) are one node from
    here on, so a group of copies costs as much as one document.
