@@ -8,12 +8,14 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumbrera.llm import decontamination, jaccard_join, line_blocks, packing, pairwise_quality, quality_rules, sharding, surrogates, token_files, warc
-from lumbrera.llm.shared import scratch, table, utf8_bytes, written
+from lumbrera.llm import (
+    conversation_trie, decontamination, jaccard_join, line_blocks, packing, pairwise_quality, periodic_runs, quality_rules, sharding, surrogates, token_files,
+    toxic_sentences, warc)
+from lumbrera.llm.shared import SPACE_RUN, scratch, split_words, table, utf8_bytes, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def id_crc32(of: Column) -> Column:
+    return F.crc32(F.encode(of.cast("string"), "utf-8"))
+
+
 SURROGATE_KEY = "production-key-from-the-caller"
 
 
@@ -152,6 +158,74 @@ def histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.drop("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op11_toxic_sentences")
+def toxic_sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(id_crc32(F.col("doc_id")), F.lit(4)) == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = toxic_sentences.score(docs, toxic_sentences.train(docs, labels))
+    return judged.select("doc_id", held_out.alias("held_out"), "toxicity.score", "toxicity.predicted", "toxicity.sentences")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts in which every tenth document, by its hash, goes on with copies of some of its own words."""
+    h = id_crc32(F.col("doc_id"))
+    split = docs.withColumns({"w": split_words(F.col("text"), SPACE_RUN), "g": F.floor(h / 10).cast("int")})
+    n = F.size("w")
+    placed = split.withColumn("a", F.when((h % 10 == 0) & (n > 0), F.col("g") % n))
+    rest = n - F.col("a")
+    cycle = placed.withColumn("p", 1 + F.floor(rest / (3 + F.col("g") % 8)).cast("int"))
+    unit = F.slice("w", F.col("a") + 1, F.col("p"))
+    copies = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    rebuilt = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), copies), " ")
+    return cycle.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(rebuilt).alias("text"))
+
+
+@query("op12_recompression_runs")
+def recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.with_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("repeats.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.array_max(F.transform("repeats.runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("repeats.runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2(F.col("repeats.collapsed"), 256).alias("collapsed_sha256"))
+
+
+def rebuilt_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The conversations, and their turns after a head of other turns, taken from the conversation c - c % 5, replaced their own."""
+    numbered = written(conversation_trie.numbered_turns(turns), "numbered-turns")
+    lengths = numbered.groupBy("conv_id").agg(F.max("pos").alias("n"))
+    sources = lengths.where("conv_id % 5 = 0").select(F.col("conv_id").alias("source"), F.col("n").alias("n_source"))
+    heads = lengths.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("source"), (id_crc32(F.col("conv_id")) % 9).alias("h"))
+    heads = written(heads.join(sources, "source", "left").withColumn("taken", F.least("h", F.coalesce("n_source", F.lit(0)))), "heads")
+    own = numbered.join(heads.select("conv_id", "h", "taken"), "conv_id").where("pos > h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "id", "size")
+    given = numbered.where("pos <= 8 AND conv_id % 5 = 0").withColumnRenamed("conv_id", "source").join(heads.select("conv_id", "source", "h"), "source").where("pos <= h")
+    return heads.select("conv_id"), own.unionByName(given.select("conv_id", "pos", "id", "size"))
+
+
+@query("op13_conversation_trie", r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda v, b: list_reduce(range(8), lambda w, i: xor(w >> 1, (w & 1) * 3988292384), xor(v, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+  UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+s AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, pos) AS q FROM r GROUP BY conv_id),
+w AS (SELECT conv_id, coalesce(q, []) AS q FROM c LEFT JOIN s USING (conv_id)),
+m AS (SELECT conv_id, d, q[1:d] AS p, len(q) = d AS ends FROM (SELECT conv_id, q, unnest(range(0, len(q) + 1)) AS d FROM w)),
+n AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+  (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].text) END AS own FROM m GROUP BY d, p),
+k AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+b AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, p)),
+u AS (SELECT a AS d, p[1:a] AS p, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM b) GROUP BY ALL)
+SELECT b.conv_id, b.d AS depth, o.conv_id AS parent_conv_id, b.n_convs, b.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, b.ends_sha256
+FROM b JOIN u USING (d, p) LEFT JOIN n AS o ON o.d = b.d - 1 AND o.p = b.p[1:b.d - 1]""")
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations, turns = rebuilt_conversations(table(spark, sf_dir, "conversations"))
+    return conversation_trie.build(conversations, turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
