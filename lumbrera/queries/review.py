@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumbrera import config as cfg
@@ -15,7 +17,7 @@ from lumbrera.queries.oracle_views import NOT_WS, WORD, collapse, trim, wc
 from lumbrera.queries.registry import query
 from lumbrera.session import checkpoint_dir, cut
 from lumbrera.sources import materials as M
-from lumbrera.sources import tables
+from lumbrera.sources import tables, versioned
 
 
 def materials(spark, sf):
@@ -108,6 +110,20 @@ def upsert(spark, sf):
     return tables.upsert(files, batch, ["file_id"], F.col("at")).select("file_id", "status", "size_bytes")
 
 
+@query("s10_upsert_stored", """
+SELECT file_id, CASE WHEN file_id % 1000 < 5 THEN 'late' ELSE status END AS status, size_bytes + CASE WHEN file_id % 1000 < 5 THEN 3 ELSE 0 END AS size_bytes FROM files
+UNION ALL SELECT max(file_id) + 1, 'late', CAST(7 AS BIGINT) FROM files""")
+def upsert_stored(spark, sf):
+    files = entity(spark, sf, "files").select("file_id", "status", "size_bytes")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/files"
+    tables.upsert_stored(files, folder, ["file_id"])
+    changed = files.filter("file_id % 1000 < 5").select("file_id", F.lit("late").alias("status"), (F.col("size_bytes") + 3).alias("size_bytes"), F.lit(1).alias("at"))
+    earlier = changed.withColumns({"status": F.lit("early"), "at": F.lit(0)})
+    new = files.agg((F.max("file_id") + 1).alias("file_id")).select("file_id", F.lit("late").alias("status"), F.lit(7).cast("long").alias("size_bytes"), F.lit(0).alias("at"))
+    tables.upsert_stored(changed.unionByName(earlier).unionByName(new), folder, ["file_id"], "at")
+    return versioned.read(spark, folder)
+
+
 @query("s11_copy_tables", "SELECT count(*) AS rows_in_source, count(*) AS rows_in_target, true AS complete FROM files")
 def copy_tables(spark, sf):
     folder = f"{checkpoint_dir(spark).rstrip('/')}/copies/{spark.sparkContext.applicationId}/files"

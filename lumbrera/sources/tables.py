@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from lumbrera.operators.ordered import top_per_key
+from lumbrera.sources import versioned
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: list[str], order: Column | None = None) -> DataFrame:
@@ -23,38 +21,48 @@ class CopyRefused(RuntimeError):
     """The target already holds rows and replacing was not asked for."""
 
 
-def _swap(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put the folder ``fresh`` in the place of ``path``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    files.mkdirs(target.getParent())
-    if not files.rename(hadoop(fresh), target):
-        raise OSError(f"{fresh} could not take the place of {path}")
+def upsert_stored(batch: DataFrame, path: str, key: list[str], order: str | None = None, buckets: int = versioned.BUCKETS) -> versioned.Manifest:
+    """Merge ``batch`` into the stored table at ``path``, which is made where there is none.
+
+    Only buckets with a key of the batch are read and written; the others keep their files. In a batch
+    the last by the column ``order`` wins, which is not stored; columns of the table that the batch lacks
+    become null in its rows.
+    """
+    spark = batch.sparkSession
+    live = versioned.current(spark, path)
+    if live is None:
+        stored = batch.drop(order) if order else batch
+        rows = upsert(stored.limit(0), batch, key, F.col(order) if order else None).select(stored.columns)
+        return versioned.replace(rows, path, key, buckets, None)
+    if list(live.key) != key:
+        raise ValueError(f"the table at {path} has the key {list(live.key)}")
+    touched = [r[0] for r in batch.select(versioned.bucket_of(key, live.buckets)).distinct().collect()]  # at most one number a bucket
+    old = versioned.read(spark, path, live, touched)
+    merged = upsert(old, batch, key, F.col(order) if order else None).select(old.columns)
+    fresh = versioned.stage(merged, path, key, live.buckets)
+    kept = {b: f for b, f in live.folders.items() if b not in touched}
+    return versioned.commit(spark, path, live, old.schema, key, live.buckets, kept | fresh)
 
 
 def copy_table(spark: SparkSession, source: DataFrame, path: str, key: list[str], force: bool = False, dry_run: bool = False) -> DataFrame:
     """Copy a table to ``path``: common columns only, a non-empty target refused unless forced.
 
-    A forced copy replaces by ``key``: rows of the target that the source does not have stay. The new
-    table is written beside the target and takes its place when it is whole. ``dry_run`` writes nothing.
-    Returns one row: rows read, rows at the target afterwards, and whether every key of the source is there.
+    A forced copy replaces by ``key``: rows of the target that the source does not have stay. The target
+    is a versioned table: the copy becomes visible by one commit, and a copy that stops before leaves what was there.
+    ``dry_run`` writes nothing. Returns one row: rows read, rows at the target afterwards, and whether
+    every key of the source is there.
     """
-    try:
-        existing = spark.read.parquet(path)
+    live = versioned.current(spark, path)
+    existing, merged = None, source
+    if live is not None:
+        existing = versioned.read(spark, path, live)
         common = [c for c in source.columns if c in existing.columns]
         if not force and not existing.isEmpty():
             raise CopyRefused(f"{path} already holds rows")
         others = existing.select(*common).join(source.select(*key).distinct(), key, "left_anti").select(*common)
         merged = others.unionByName(source.select(*common))
-    except AnalysisException:
-        existing, merged = None, source
     if not dry_run:
-        fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-        merged.write.parquet(fresh)
-        _swap(spark, fresh, path)
-        existing = spark.read.schema(merged.schema).parquet(path)
+        existing = versioned.read(spark, path, versioned.replace(merged, path, [], 1, live))
     found = source.limit(0) if existing is None else existing
     missing = source.select(*key).distinct().join(found.select(*key).distinct(), key, "left_anti").agg(F.count("*").alias("missing"))
     counts = source.agg(F.count("*").alias("rows_in_source")).crossJoin(found.agg(F.count("*").alias("rows_in_target"))).crossJoin(missing)  # one row each

@@ -16,9 +16,11 @@ from lumbrera.operators.lifecycle import DAY_US, Limiter, retry_seconds
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_events(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000, glob: str | None = None) -> DataFrame:
-    """Event source over a folder that grows, with its declared schema."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+def stream_events(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = 1000, glob: str | None = None) -> DataFrame:
+    """Event source over a folder that grows, with its declared schema. ``streaming/intake.py`` keeps account of its files."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
