@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbrera.functions import text as T
-from lumbrera.operators.ordered import neighbour, numbered
+from lumbrera.operators.ordered import neighbour, numbered, running_max, running_sum
+from lumbrera.session import cut
 
 PROPOSAL = ["doc_id", "proposal_id", "barrier_id"]
 STATUS_PRIORITY = ("editada", "aceptada", "descartada", "pendiente")
@@ -89,26 +90,72 @@ def rewrite(fragment: Column, kind: Column) -> Column:
 
 
 def proposal_spans(proposals: DataFrame, materials: DataFrame) -> DataFrame:
-    """Where each accepted or edited proposal goes. Proposals citing the same text take its successive
-    occurrences, and the first one again when there are no more.
+    """Where each accepted or edited proposal goes; start and end are NULL where its text is not found.
 
-    Text meets each distinct fragment once; what leaves the join is offsets only.
+    Proposals of a document share its places: in the order of their ids each takes the first place of its
+    fragment that no other has, and the first one again when there are no more. Two fragments can only
+    have a place in common if they are the same words, with other white space between or around them.
+
+    Text meets each distinct fragment once; what leaves the join is offsets only. Where all proposals
+    with the same words cite the same fragment, the place follows from the proposal's number among
+    them. Only places that differently spaced fragments contend for are dealt one by one, in a fold over
+    no more proposals than the fragments have places.
     """
-    live = proposals.filter(F.col("status").isin("aceptada", "editada") & (T.strip(F.col("original_text")) != ""))
-    ranked = numbered(
-        live, ["doc_id", "original_text"], [F.floor(F.col("proposal_id") / 1_000_000)], ["proposal_id"], "turn"
-    )
-    wanted = live.groupBy("doc_id", "original_text").agg(F.count("*").cast("int").alias("n"))
-    spans = wanted.join(materials.select("doc_id", "raw_text"), "doc_id").select(
-        "doc_id", "original_text",
-        T.candidate_spans(F.col("raw_text"), F.col("original_text"), F.col("n")).alias("spans"),
-    )
-    placed = ranked.join(spans, ["doc_id", "original_text"], "left").withColumn(
-        "span", F.coalesce(F.try_element_at("spans", F.col("turn").cast("int")), F.try_element_at("spans", F.lit(1)))
-    )
-    return placed.drop("spans", "turn").withColumns({"start": F.col("span.start"), "end": F.col("span.end")}).drop("span")
+    live = proposals.filter(F.col("status").isin("aceptada", "editada") & (T.strip(F.col("original_text")) != "")).withColumn(
+        "_words", F.array_join(T.spaced_words(F.col("original_text")), " "))
+    fragment, words = ["doc_id", "_words", "original_text"], ["doc_id", "_words"]
+    ranked = numbered(live, fragment, [F.floor(F.col("proposal_id") / 1_000_000)], ["proposal_id"], "turn")
+    wanted = live.groupBy(*fragment).agg(F.count("*").alias("own"))
+    shared = wanted.groupBy(*words).agg(F.sum("own").cast("int").alias("n"), (F.count("*") > 1).alias("mixed"))
+    spans = cut(wanted.join(shared, words).join(materials.select("doc_id", "raw_text"), "doc_id").select(
+        *fragment, "mixed", T.candidate_spans(F.col("raw_text"), F.col("original_text"), F.col("n")).alias("spans")))
+    placed = ranked.join(spans, fragment, "left")
+    first = F.try_element_at("spans", F.lit(1))
+    own = placed.withColumn("span", F.coalesce(F.try_element_at("spans", F.col("turn").cast("int")), first))
+    lists = spans.filter("mixed").groupBy(*words).agg(F.map_from_entries(F.collect_list(F.struct("original_text", "spans"))).alias("lists"))  # the spacings of one phrase
+    contenders = placed.filter("mixed AND turn <= size(spans)").groupBy(*words).agg(
+        F.array_sort(F.collect_list(F.struct("proposal_id", "original_text"))).alias("queue"))
+    dealt = contenders.join(lists, words).select("doc_id", F.inline(_dealt(F.col("queue"), F.col("lists"))))
+    dealt = dealt.withColumnRenamed("span", "_dealt")
+    return own.join(dealt, ["doc_id", "proposal_id"], "left").withColumn("span", F.when(F.coalesce("mixed", F.lit(False)), F.coalesce("_dealt", first)).otherwise(F.col("span"))).withColumns(
+        {"start": F.col("span.start"), "end": F.col("span.end")}).drop("spans", "turn", "span", "mixed", "_words", "_dealt")
+
+
+def _dealt(queue: Column, lists: Column) -> Column:
+    """(proposal_id, span) of each proposal of ``queue``: the first place of its fragment that is not taken, or else the first."""
+    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("taken"), F.array().cast("array<struct<proposal_id:bigint,span:struct<start:int,end:int>>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        places = F.try_element_at(lists, p["original_text"])
+        free = F.try_element_at(F.array_except(places, acc["taken"]), F.lit(1))
+        span = F.coalesce(free, F.try_element_at(places, F.lit(1)))
+        return F.struct(
+            F.when(free.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(free))).alias("taken"),
+            F.concat(acc["out"], F.array(F.struct(p["proposal_id"].cast("long").alias("proposal_id"), span.alias("span")))).alias("out"))
+
+    return F.aggregate(queue, start, step, lambda acc: acc["out"])
 
 
+def placement_warnings(spans: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Messages per document: proposals whose text was not found, by id, then those that lost their place, the strongest first.
+
+    ``spans``: what :func:`proposal_spans` gives, with barrier_id and adaptation_type; ``verdicts``: what
+    :func:`select_replacements` made of it.
+    """
+    missing = F.format_string(
+        "No se encontró en el material el fragmento original de la propuesta '%s' (%s). No se aplicó.", F.col("proposal_id").cast("string"), "barrier_id")
+    misses = spans.filter(F.col("start").isNull()).groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("proposal_id", missing.alias("text")))), lambda m: m["text"]).alias("misses"))
+    lost = verdicts.filter(~F.col("selected")).select("doc_id", "proposal_id", "lost_to").join(spans, ["doc_id", "proposal_id"])
+    beaten = F.format_string(
+        "Propuesta '%s' (%s, %s) no aplicada por solapamiento con la propuesta '%s'.", F.col("proposal_id").cast("string"), "barrier_id", "adaptation_type", F.col("lost_to").cast("string"))
+    rank = F.struct((F.col("status") == "editada").alias("edited"), "decided_at", "proposal_id", beaten.alias("text"))
+    losers = lost.groupBy("doc_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(rank))), lambda m: m["text"]).alias("losers"))
+    none = F.array().cast("array<string>")
+    return misses.join(losers, "doc_id", "full").select("doc_id", F.concat(F.coalesce("misses", none), F.coalesce("losers", none)).alias("warnings"))
+
+
+CHARACTERS_PER_CHUNK = 65_536
 _SPAN = "struct<start:int,end:int,proposal_id:bigint>"
 _VERDICT = "struct<proposal_id:bigint,selected:boolean,lost_to:bigint>"
 
@@ -143,11 +190,11 @@ def select_replacements(spans: DataFrame) -> DataFrame:
     champions = placed.groupBy("doc_id", "start", "end").agg(
         F.max(priority).alias("best"), F.count("*").alias("copies")
     ).select("doc_id", "start", "end", "best.*", "copies")
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    opened = champions.withColumn("opens", (F.col("start") >= F.coalesce(reach, F.lit(0))).cast("int"))
-    islands = opened.withColumn("island", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = islands.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "island")))
+    chunk, by_start = [F.floor(F.col("start") / CHARACTERS_PER_CHUNK)], ["start", "end"]
+    reached = running_max(champions, ["doc_id"], chunk, by_start, F.col("end"), "reach")
+    opens = (F.col("start") >= F.coalesce("reach", F.lit(0))).cast("int")
+    islands = running_sum(reached, ["doc_id"], chunk, by_start, opens, "island").drop("reach")
+    sized = islands.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "island")))  # spans that overlap one another
     alone = sized.filter("size = 1").select(
         "doc_id", "proposal_id", F.lit(True).alias("selected"), F.lit(None).cast("long").alias("lost_to"))
     ranked = F.reverse(F.array_sort(F.collect_list(F.struct("edited", "decided_at", "proposal_id", "start", "end"))))

@@ -8,6 +8,8 @@ order inside a key, such as the day of a timestamp or a block of positions. The
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,33 @@ def running_sum(df: DataFrame, keys: list[str], chunk: list[Column], order: list
     )
 
 
+def running_max(df: DataFrame, keys: list[str], chunk: list[Column], order: list[Column | str], value: Column, out: str) -> DataFrame:
+    """``out`` = greatest ``value`` of the rows of the key before this one; NULL on the first."""
+    return _so_far(df, keys, chunk, order, value, out, F.max, F.max("_value"), False)
+
+
+def last_known(df: DataFrame, keys: list[str], chunk: list[Column], order: list[str], value: Column, out: str, following: bool = False) -> DataFrame:
+    """``out`` = the nearest ``value`` that is not NULL on a row of the key before (or after) this one."""
+    position = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    edge = F.min_by("_value", position) if following else F.max_by("_value", position)
+    return _so_far(df, keys, chunk, order, value, out, lambda c: F.last(c, ignorenulls=True), edge, following)
+
+
+def _so_far(df: DataFrame, keys: list[str], chunk: list[Column], order: list[Column | str], value: Column, out: str,
+            fold: Callable[[str], Column], edge: Column, following: bool) -> DataFrame:
+    """``fold`` of the values before each row: those of its chunk, else (or with) the ``edge`` of each earlier chunk."""
+    turned = (lambda c: F.desc(c) if isinstance(c, str) else c.desc()) if following else (lambda c: c)
+    chunk_names = [f"_chunk{i}" for i in range(len(chunk))]
+    tagged = df.withColumns({n: c for n, c in zip(chunk_names, chunk)}).withColumn("_value", value)
+    across = Window.partitionBy(*keys).orderBy(*[turned(n) for n in chunk_names]).rowsBetween(Window.unboundedPreceding, -1)
+    edges = tagged.groupBy(*keys, *chunk_names).agg(edge.alias("_edge"))
+    before = edges.select(*keys, *chunk_names, fold("_edge").over(across).alias("_before"))
+    inside = Window.partitionBy(*keys, *chunk_names).orderBy(*[turned(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    joined = tagged.withColumn("_inside", fold("_value").over(inside)).join(before, [*keys, *chunk_names])
+    both = F.greatest("_inside", "_before") if fold is F.max else F.coalesce("_inside", "_before")
+    return joined.withColumn(out, both).drop("_inside", "_before", "_value", *chunk_names)
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column | str], k: int, out: str = "rank") -> DataFrame:
     """First k rows of each key. Spark limits each input partition to k rows per key before the
     shuffle (a rank compared with a literal), so a hot key reaches its task already cut down."""

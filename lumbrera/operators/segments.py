@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbrera import config as cfg
 from lumbrera.functions import text as T
+from lumbrera.operators.ordered import last_known
 
 
 def paragraphs(materials: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -110,19 +111,19 @@ def context_around(materials: DataFrame, quotes: DataFrame, n: int = cfg.CONTEXT
     )
 
 
+BLOCKS_PER_CHUNK = 4096
+
+
 def image_context(blocks: DataFrame, limit: int = cfg.CONTEXT_WORDS) -> DataFrame:
     """Nearest text before and after each picture block, joined, at most ``limit`` words.
 
-    ``blocks``: doc_id, pos, kind ('text' or 'image'), text. Both windows run over growing frames
-    (the second one in reverse order), so cost stays linear in the blocks of a document.
+    ``blocks``: doc_id, pos, kind ('text' or 'image'), text. A document is read in chunks of positions;
+    from one chunk to the next goes its first or last text.
     """
     text = F.when(F.col("kind") == "text", F.col("text"))
-    forward = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    backward = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    near = blocks.withColumns({
-        "before": F.last(text, ignorenulls=True).over(forward),
-        "after": F.last(text, ignorenulls=True).over(backward),
-    }).filter(F.col("kind") == "image")
+    chunk = [F.floor(F.col("pos") / BLOCKS_PER_CHUNK)]
+    near = last_known(blocks, ["doc_id"], chunk, ["pos"], text, "before")
+    near = last_known(near, ["doc_id"], chunk, ["pos"], text, "after", following=True).filter(F.col("kind") == "image")
     snippet = F.concat_ws(" [...] ", T.strip(F.col("before")), T.strip(F.col("after")))
     tokens = T.spaced_words(snippet)
     return near.select(

@@ -152,14 +152,7 @@ def barriers(spark, sf):
 
 @query("s12_export_text")
 def export_text(spark, sf):
-    found = proposals(spark, sf)
-    adapted, verdicts = closing_report.adapted_documents(materials(spark, sf), found)
-    counts = decisions.final_version_counts(found, verdicts)
-    lost = verdicts.filter("not selected").groupBy("doc_id").agg(F.array_sort(F.collect_list(
-        F.format_string("Propuesta '%d' no aplicada por solapamiento con la propuesta '%d'.", "proposal_id", "lost_to"))).alias("warnings"))
-    ready = adapted.join(counts, "doc_id", "left").join(lost, "doc_id", "left").na.fill(0, ["applied", "total_proposals"]).withColumn(
-        "warnings", F.coalesce("warnings", F.array().cast("array<string>")))
-    return tables.export_text(ready, "md")
+    return tables.export_text(closing_report.final_version(materials(spark, sf), proposals(spark, sf)), "md")
 
 
 # --- merge ----------------------------------------------------------------------------------------------

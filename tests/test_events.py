@@ -92,8 +92,16 @@ def test_ordered_operations_cross_blocks(spark):
     ahead = {r["pos"]: r["x"] for r in ordered.neighbour(df, ["k"], chunk, ["pos"], F.col("v"), "x", following=True).collect()}
     number = {r["pos"]: r["x"] for r in ordered.numbered(df, ["k"], chunk, ["pos"], "x").collect()}
     total = {r["pos"]: r["x"] for r in ordered.running_sum(df, ["k"], chunk, ["pos"], F.col("v"), "x").collect()}
+    greatest = {r["pos"]: r["x"] for r in ordered.running_max(df, ["k"], chunk, ["pos"], F.col("v"), "x").collect()}
+    some = F.when(F.col("v") > 6, F.col("v"))
+    known = {r["pos"]: r["x"] for r in ordered.last_known(df, ["k"], chunk, ["pos"], some, "x").collect()}
+    coming = {r["pos"]: r["x"] for r in ordered.last_known(df, ["k"], chunk, ["pos"], some, "x", following=True).collect()}
     for key in "ab":
         own = sorted(r for r in rows if r[0] == key)
+        for i, (_, pos, _) in enumerate(own):
+            assert greatest[pos] == max((v for _, _, v in own[:i]), default=None)
+            assert known[pos] == next((v for _, _, v in reversed(own[:i]) if v > 6), None)
+            assert coming[pos] == next((v for _, _, v in own[i + 1 :] if v > 6), None)
         for i, (_, pos, v) in enumerate(own):
             assert back[pos] == (own[i - 1][2] if i else None)
             assert ahead[pos] == (own[i + 1][2] if i + 1 < len(own) else None)

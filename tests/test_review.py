@@ -1,10 +1,12 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from lumbrera import config as cfg
 from lumbrera.operators import decisions, merge, scoring
 from lumbrera.plans import closing_report
+from lumbrera.sources import tables
 
 DOCS = "doc_id long, raw_text string"
 AI = "doc_id long, pos int, category string, severity string, issue string, original_text string"
@@ -115,6 +117,49 @@ def test_adapted_text(spark):
     assert adapt(spark, "a  b\nc", ("editada", "a", "b c", r"$1 \n"))[0] == r"a  $1 \n"
 
 
+def places_in_turn(text, fragments):
+    """A plain statement of who gets which place: proposals in order, each the first place of its fragment that is free."""
+    taken, out = set(), []
+    for f in fragments:
+        places = [(i, i + len(f)) for i in range(len(text)) if text.startswith(f, i)]
+        bare = f.strip()
+        places += [(i, i + len(bare)) for i in range(len(text)) if text.startswith(bare, i)]
+        places += [m.span() for m in re.finditer(r"\s+".join(map(re.escape, bare.split())), text)]
+        place = next((p for p in places if p not in taken), places[0] if places else None)
+        taken.add(place)
+        out.append(place)
+    return out
+
+
+def test_places_are_shared_between_fragments(spark):
+    rng, rows, texts = random.Random(8), [], {}
+    fragments = ["uno", "uno dos", "uno  dos", " uno dos", "uno\ndos ", "dos", "tres uno", "nada", "dos uno dos", " uno "]
+    for doc in range(60):
+        texts[doc] = "".join(rng.choice(["uno", "dos", "tres"]) + rng.choice([" ", "  ", "\n", ". "]) for _ in range(rng.randint(1, 30)))
+        for p in range(rng.randint(1, 16)):
+            rows.append((doc, doc * 100 + p, f"bar-{p}", "lenguaje_claro", rng.choice(["editada", "aceptada", "aceptada", "pendiente"]), "d", rng.choice(fragments[: 2 + doc % 9]), "x"))
+    materials = spark.createDataFrame(list(texts.items()), "doc_id long, raw_text string")
+    placed = decisions.proposal_spans(spark.createDataFrame(rows, PROPOSAL), materials).collect()
+    got = {r["proposal_id"]: (r["start"], r["end"]) if r["start"] is not None else None for r in placed}
+    live = [r for r in rows if r[4] != "pendiente"]
+    assert len(placed) == len(live) and {r["replacement"] for r in placed} == {"x"}
+    for doc, text in texts.items():
+        mine = [r for r in live if r[0] == doc]
+        assert [got[r[1]] for r in mine] == places_in_turn(text, [r[6] for r in mine]), (text, mine)
+
+
+def test_proposals_without_a_place_are_told(spark):
+    rows = [("aceptada", "a", "no está", "X"), ("aceptada", "b", "Uno dos", "Y"), ("editada", "a", "dos tres", "Z"), ("aceptada", "c", "dos", "W"), ("descartada", "a", "tampoco", "V")]
+    found = spark.createDataFrame([(1, i, f"bar-{i}", "reorganizar", *r) for i, r in enumerate(rows, 1)], PROPOSAL)
+    version = closing_report.final_version(docs(spark, "Uno dos tres."), found).collect()[0]
+    assert version["adapted_text"] == "Uno Z." and (version["total_proposals"], version["applied"], version["discarded"], version["pending"]) == (5, 1, 1, 0)
+    assert version["warnings"] == [
+        "No se encontró en el material el fragmento original de la propuesta '1' (bar-1). No se aplicó.",
+        "Propuesta '4' (bar-4, reorganizar) no aplicada por solapamiento con la propuesta '3'.", "Propuesta '2' (bar-2, reorganizar) no aplicada por solapamiento con la propuesta '3'."]
+    text = tables.export_text(closing_report.final_version(docs(spark, "Uno dos tres."), found)).collect()[0]["content"]
+    assert "**Propuestas aplicadas:** 1 de 5" in text and "> - No se encontró en el material" in text
+
+
 def test_log_is_read_in_order(spark):
     log = spark.createDataFrame([
         (1, 7, "bar-1", "reorganizar", "pendiente", "aceptada", "d1", 1, 0), (1, 7, "bar-1", "reorganizar", "aceptada", "pendiente", "d2", 2, 0),
