@@ -34,12 +34,15 @@ _CLOSER = "[\"'»”’)\\]]"
 _CLOSERS = _CLOSER + "*"
 _OPENERS = "[(\\[¿¡\"'«]"
 _BREAK = "\x01"
-# The look-behind for abbreviations and initials comes last, so it runs once per candidate end.
+_NO_END = "\x02"
+_STOP = r"\.(?:[!?][.!?]*+)?+"
+# A full stop after an abbreviation or an initial, with whatever signs stand around them.
+_ABBREVIATED = (
+    rf"(?<!{NOT_WHITESPACE}){_OPENERS}*+(?:(?iu:{'|'.join(cfg.ABBREVIATIONS)})|\p{{Lu}}){LINE_SPACE}*+{_STOP}{_CLOSERS}+(?=\n|{LINE_SPACE}|\z)"
+)
 _SENTENCE_END = (
-    rf"(?<![.!?])(?:(?:[!?…]|\.\.)[.!?]*|\.(?:[!?][.!?]*)?){_CLOSERS}"
-    rf"(?=\n|{LINE_SPACE}|\z)(?!{LINE_SPACE}*\p{{IsLowercase}})"
-    rf"(?<!(?:^|{WHITESPACE}){_OPENERS}{{0,8}}(?:(?iu:{'|'.join(cfg.ABBREVIATIONS)})|\p{{Lu}}){LINE_SPACE}{{0,4}}"
-    rf"\.(?:[!?][.!?]{{0,8}})?{_CLOSER}{{0,8}})"
+    rf"(?<![.!?])(?:(?:[!?…]|\.\.)[.!?]*+|{_STOP}){_CLOSERS}+"
+    rf"(?=\n|{LINE_SPACE}|\z)(?!{LINE_SPACE}*+\p{{IsLowercase}})"
 )
 _LONE_LIST_MARKER = (
     rf"(^|\n|{_BREAK})({LINE_SPACE}*(?:\d{{1,2}}|[a-zA-Z]){LINE_SPACE}*\.(?:[!?][.!?]*)?{_CLOSERS}){_BREAK}"
@@ -81,13 +84,14 @@ def lines(col: Column) -> Column:
 def split_sentences(col: Column) -> Column:
     """Sentences of a text as an array; a line break always ends one.
 
-    The whole text is marked in two regex passes and split once, so cost is linear in its length:
-    first a mark after every closing sign that ends a sentence (abbreviations, initials and a
-    lower-case continuation do not), then the mark after a lone list marker is dropped, which joins
-    "1." to what follows it.
+    The whole text is marked in three regex passes and split once, so cost is linear in its length:
+    first a mark behind abbreviations and initials, whose full stop ends nothing, then one after every
+    closing sign that ends a sentence (a lower-case continuation does not), then the mark after a lone
+    list marker is dropped, which joins "1." to what follows it. Runs of signs may have any length.
     """
-    text = F.regexp_replace(F.translate(col, _BREAK, " "), LINE_BREAK, "\n")
-    marked = F.regexp_replace(text, _SENTENCE_END, "$0" + _BREAK)
+    text = F.regexp_replace(F.translate(col, _BREAK + _NO_END, "  "), LINE_BREAK, "\n")
+    held = F.regexp_replace(text, _ABBREVIATED, "$0" + _NO_END)
+    marked = F.translate(F.regexp_replace(held, _SENTENCE_END, "$0" + _BREAK), _NO_END, "")
     joined = F.regexp_replace(marked, _LONE_LIST_MARKER, "$1$2")
     return F.filter(F.transform(F.split(joined, f"[{_BREAK}\n]"), strip), lambda s: s != "")
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from lumbrera import config as cfg
 from lumbrera.functions import text as T
+from lumbrera.functions.html import decode_references
 from lumbrera.operators.ordered import top_per_key
 from lumbrera.operators.segments import scanned_flag
 
@@ -94,16 +95,14 @@ def reflow(materials: DataFrame, text: str = "raw_text") -> DataFrame:
     return materials.select("doc_id", F.array_join(F.filter(blocks, lambda b: b != ""), "\n").alias("text"))
 
 
-# Named entities that occur in page text.
-_ENTITIES = {"&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·",
-             "&laquo;": "«", "&raquo;": "»", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
 _BLOCK = "\x01"
 
 
 def extract_blocks(pages: DataFrame) -> DataFrame:
     """Ordered text blocks of HTML pages: page_id, pos, kind (heading, list, paragraph), level, text, has_link.
 
-    Tags that open a block become a mark followed by what they are; the page is cut at the marks.
+    Tags that open a block become a mark followed by what they are; the page is cut at the marks, and
+    character references are decoded in the pieces.
     Everything stays in the page's row until the blocks are exploded.
     """
     html = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", " ")
@@ -114,13 +113,11 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
     html = F.regexp_replace(html, r"(?i)<a\b[^>]*>", "\x03")
     html = F.regexp_replace(html, r"(?i)</?(?:p|div|article|section|nav|ul|ol|footer|header|main|table|tr|td|th|blockquote|br|hr|body|html|h[1-6]|li)\b[^>]*>", _BLOCK + "p\x02")
     text = F.regexp_replace(html, r"<[^>]*>", "")
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
     staged = pages.select("page_id", text.alias("marked"))
     parts = F.transform(F.split("marked", _BLOCK), lambda b: F.struct(
         F.substring_index(b, "\x02", 1).alias("tag"), F.when(F.contains(b, F.lit("\x02")), F.substring_index(b, "\x02", -1)).otherwise(b).alias("body")))
     blocks = F.filter(F.transform(parts, lambda p: F.struct(
-        p["tag"].alias("tag"), T.collapse(F.regexp_replace(p["body"], "\x03", "")).alias("text"), F.contains(p["body"], F.lit("\x03")).alias("has_link"))),
+        p["tag"].alias("tag"), T.collapse(decode_references(F.regexp_replace(p["body"], "\x03", ""))).alias("text"), F.contains(p["body"], F.lit("\x03")).alias("has_link"))),
         lambda b: b["text"] != "")
     rows = staged.select("page_id", F.posexplode(blocks).alias("pos", "b"))
     level = F.when(F.col("b.tag").rlike("^h[1-6]$"), F.substring("b.tag", 2, 1).cast("int"))
