@@ -13,7 +13,7 @@ The dictionary is trained on the serialized ids of at most ``SAMPLE_DOCS`` docum
 ``SAMPLE_CHARS`` characters, those with the least hash: a bounded sample of short documents, which
 are what a dictionary helps. Everything else covers every document.
 
-Documents are ordered by quantile ranges of their ids; each range is sorted on its own.
+Documents are ordered by quantile ranges of their ids; each range is a task and sorted on its own.
 
 Defined cases: null and empty texts are the end id alone; null ids come first; rows with equal ids
 are separate documents in the order of their text hashes; an empty table gives a file set without
@@ -41,9 +41,17 @@ SEGMENT = "range bigint, number bigint, n_docs bigint, n_tokens bigint, dictiona
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
-    """Dictionary bytes, trained in one task on the bounded sample; empty if zstandard finds too little."""
-    short = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.length("text") <= SAMPLE_CHARS)
-    sample = short.orderBy("h", "text").limit(SAMPLE_DOCS).select("text")
+    """Dictionary bytes, trained in one task on the bounded sample; empty if zstandard finds too little.
+
+    Hashes choose the sample, and only rows below a bound on the hash are looked at: texts are
+    fetched for the chosen hashes alone. Equal rows have one hash and count once.
+    """
+    least, greatest = -(1 << 63), (1 << 63) - 1
+    n = max(docs.count(), 1)
+    bound = least + (greatest - least) * min(4 * SAMPLE_DOCS, n) // n
+    short = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where((F.length("text") <= SAMPLE_CHARS) & (F.col("h") <= bound))
+    chosen = short.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)
+    sample = short.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))  # at most SAMPLE_DOCS hashes
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         from lumbrera.llm.tokens import Encoder
@@ -55,7 +63,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
             made = b""
         return pd.DataFrame({"dictionary": [made]})
 
-    rows = sample.groupBy().applyInPandas(train, "dictionary binary").collect()
+    rows = sample.select("text").groupBy().applyInPandas(train, "dictionary binary").collect()
     return bytes(rows[0]["dictionary"]) if rows else b""
 
 
@@ -121,7 +129,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, doc_id: str
     cuts = docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * n)).alias("cuts")).first()["cuts"] or []  # at most n - 1 values
     ranged = docs.withColumns({"range": range_of(F.col("doc_id"), sorted(set(cuts))).cast("long"), "tie": F.xxhash64("text")})
     frames = ranged.mapInArrow(_frames(tokenizer, end, dictionary), f"doc_id {kind}, range bigint, tie bigint, n_tokens bigint, frame binary")
-    laid = frames.repartition(n, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "tie")
+    laid = frames.repartitionById(n, F.col("range").cast("int")).sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "tie")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     laid.mapInArrow(_segments(sha, arrow), SEGMENT.format(id=kind)).write.option("compression", "none").parquet(f"{path}/segments")
 

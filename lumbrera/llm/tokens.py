@@ -5,18 +5,20 @@ that is followed by something other than white space. So a text is cut at its sp
 that was seen before is looked up. A new chunk that consists of letters, digits and punctuation whose
 class is beyond doubt is cut into pieces by the tokenizer's own rule and only new pieces are merged;
 any other chunk, and any text with white space next to a space or line end, goes through the
-tokenizer as it is. The caches hold a bounded number of entries and start anew when they are full.
+tokenizer as it is. The caches hold a bounded number of entries: a full one becomes the old one, and
+what is still used moves over from there.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_CHUNKS, CACHED_PIECES = 250_000, 250_000
+CACHED_CHUNKS, CACHED_PIECES = 250_000, 200_000
 # --- fixed values: the piece rules of the two tokenizer files on the characters named here ---------
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile(rf"[ -~{_LETTERS}]*\Z")
@@ -33,6 +35,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Cache(dict):
+    """What ``make`` gives for a key, kept for at least the last ``size`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids as little-endian unsigned 16-bit bytes (both vocabularies are below 65536)."""
 
@@ -42,26 +62,26 @@ class Encoder:
             raise ValueError("ids do not fit into two bytes")
         self.lowers = self.tokenizer.normalizer is not None
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.chunks = _Cache(self._chunk, CACHED_CHUNKS)
+        self.pieces = _Cache(self._piece, CACHED_PIECES)
 
     def _raw(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = array("H", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        return found
+        shown = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not _PLAIN.match(chunk):
+        if not chunk:
+            return b""
+        if chunk.isascii() and (chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha()):
+            return self.pieces[chunk.lower() if self.lowers else chunk]
+        if chunk.isspace() or "<|" in chunk or not _PLAIN.match(chunk):
             return self._raw(chunk)
         pieces = _WORD_PIECES.findall(chunk.lower()) if self.lowers else _BYTE_PIECES.findall(chunk)
-        return b"".join([self._piece(p) for p in pieces])
+        return b"".join([self.pieces[p] for p in pieces])
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -76,16 +96,7 @@ class Encoder:
             chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else None
             if chunks is None:
                 return self._raw(text)
-        known = self.chunks
-        new = [c for c in chunks if c not in known]
-        if new:
-            if len(known) + len(new) > CACHED_CHUNKS:
-                known.clear()
-                new = chunks
-            for c in new:
-                if c not in known:
-                    known[c] = (self._raw(c) if c.isspace() else self._chunk(c)) if c else b""
-        return b"".join(map(known.__getitem__, chunks))
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def ids(self, text: str | None, end: int) -> np.ndarray:
         return np.frombuffer(self(text) + array("H", [end]).tobytes(), "<u2")
