@@ -206,7 +206,9 @@ FROM events""",
     "images": """
 SELECT p_partkey % 40 AS doc_id, p_partkey AS image_id, CAST(1 + p_partkey % 6 AS INT) AS page_number,
   CAST(p_size * 9 AS DOUBLE) AS width_pt, CAST(p_partkey % 37 * 11 AS DOUBLE) AS height_pt,
-  CAST(p_partkey % 100 AS DOUBLE) / 100 AS y_norm,
+  CAST(p_partkey % 100 AS DOUBLE) / 100 AS y_norm, CAST(p_partkey % 100 AS DOUBLE) / 100 - CAST(p_partkey % 37 * 11 AS DOUBLE) / 1684 AS top_norm,
+  CAST(p_partkey % 100 AS DOUBLE) / 100 + CAST(p_partkey % 37 * 11 AS DOUBLE) / 1684 AS bottom_norm,
+  CAST(p_size * (9 + p_partkey % 4) AS BIGINT) AS width_px, CAST(p_partkey % 37 * (11 + p_partkey % 3) AS BIGINT) AS height_px,
   CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'image' || CAST(p_partkey AS STRING) || '.png' WHEN 2 THEN '' ELSE NULL END AS alt,
   p_partkey % 9 = 0 AS decorative, p_partkey % 5 = 0 AS relies_on_color, p_partkey % 6 = 0 AS has_untranscribed_text
 FROM part""",
@@ -217,7 +219,13 @@ UNION ALL
 SELECT n_regionkey, 100 + n_nationkey, n_regionkey, CAST(1 AS INT), n_nationkey, n_name FROM nation""",
     "ai_runs": """
 SELECT user_id AS sample, 'v' || CAST(event_id % 2 AS STRING) AS mode, event_id AS run, value / 10 AS latency_s,
-  CAST(floor(value) AS BIGINT) % 101 AS score, event_type <> 'error' AS ok FROM events""",
+  CAST(floor(value) AS BIGINT) % 101 AS score, event_type <> 'error' AS ok, CAST(50 + user_id * 13 % 400 AS BIGINT) AS words,
+  'prov' || CAST(event_id % 3 AS STRING) || '/model' || CAST(user_id % 2 AS STRING) AS model, event_id % 700 AS prompt_tokens, event_id % 90 AS output_tokens,
+  CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 11 END AS thinking_tokens, CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 101 END AS ai_score,
+  CASE WHEN event_id % 9 = 0 THEN NULL ELSE user_id % 4 + event_id % 2 * 7 END AS rules_score, event_id % 8 AS findings, user_id % 5 AS rule_findings,
+  CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id % 3 END AS unverified,
+  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'barrera_detectada' WHEN 2 THEN 'para_revisar' ELSE 'correcta' END AS status_comprension,
+  CASE user_id % 3 WHEN 0 THEN 'correcta' ELSE CASE event_id % 2 WHEN 0 THEN 'para_revisar' ELSE 'correcta' END END AS status_estructura FROM events""",
 }
 
 # Spark forms that keep the ordering columns instead of numbering a whole document in one task.

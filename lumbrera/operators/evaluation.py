@@ -11,15 +11,38 @@ from lumbrera.functions import text as T
 from lumbrera.session import cut
 
 
+def _mean(value: Column) -> Column:
+    return F.bround(F.avg(value), 1)
+
+
+def _range(value: Column) -> Column:
+    return F.coalesce(F.nullif(F.concat_ws("-", F.min(value), F.max(value)), F.lit("")), F.lit("-"))
+
+
+def _listed(values: Column, sep: str) -> Column:
+    """Different values in order; '-' without any."""
+    return F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set(values)), sep), F.lit("")), F.lit("-"))
+
+
 def summarize_runs(runs: DataFrame) -> DataFrame:
-    """Per sample and mode: runs that worked, latency, score spread. ``runs``: sample, mode, run, latency_s, score, ok."""
+    """Per sample and mode: models, length of the text, runs that worked, latency, tokens, scores, findings, states.
+
+    ``runs``: sample, mode, run, ok, words, model, latency_s, prompt_tokens, output_tokens, thinking_tokens, score,
+    ai_score, rules_score, findings, rule_findings, unverified, status_comprension, status_estructura. What a run
+    that failed reports is not read; tokens and unverified quotes that are missing count as 0, a missing state as '-'.
+    """
     ok = F.col("ok")
-    latency, score = F.when(ok, F.col("latency_s")), F.when(ok, F.col("score"))
+    of = lambda c: F.when(ok, F.col(c))
+    counted = lambda c: F.when(ok, F.coalesce(F.col(c), F.lit(0)))
+    state = lambda c: F.when(ok, F.coalesce(F.col(c), F.lit("-")))
     return runs.groupBy("sample", "mode").agg(
-        F.count_if(ok).alias("runs_ok"), F.count_if(~ok).alias("runs_error"),
-        F.bround(F.avg(latency), 1).alias("latency_mean"), F.bround(F.min(latency), 1).alias("latency_min"), F.bround(F.max(latency), 1).alias("latency_max"),
-        F.bround(F.avg(score), 1).alias("score_mean"), F.coalesce(F.nullif(F.concat_ws("-", F.min(score), F.max(score)), F.lit("")), F.lit("-")).alias("score_range"),
-        F.bround(F.stddev_samp(score), 1).alias("score_stdev"))
+        _listed(of("model"), ", ").alias("models"), F.min_by("words", "run").alias("words"), F.count_if(ok).alias("runs_ok"), F.count_if(~ok).alias("runs_error"),
+        _mean(of("latency_s")).alias("latency_mean"), F.bround(F.min(of("latency_s")), 1).alias("latency_min"), F.bround(F.max(of("latency_s")), 1).alias("latency_max"),
+        *[_mean(counted(f"{kind}_tokens")).alias(f"{kind}_tokens_mean") for kind in ("prompt", "output", "thinking")],
+        _mean(of("score")).alias("score_mean"), _range(of("score")).alias("score_range"), F.bround(F.stddev_samp(of("score")), 1).alias("score_stdev"),
+        _mean(of("ai_score")).alias("ai_score_mean"), _listed(of("rules_score"), "/").alias("rules_score"),
+        _range(of("findings")).alias("findings_range"), _range(of("rule_findings")).alias("rule_findings_range"),
+        F.coalesce(F.sum(counted("unverified")), F.lit(0)).alias("unverified"), *[_listed(state(f"status_{d}"), "/").alias(f"status_{d}") for d in ("comprension", "estructura")])
 
 
 LARGEST_COUNTED = 10

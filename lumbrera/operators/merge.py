@@ -65,10 +65,26 @@ def vision_signal_findings(images: DataFrame) -> DataFrame:
 
 def _tagged(model: DataFrame, vision: DataFrame, rules: DataFrame) -> DataFrame:
     ai = model.select("doc_id", F.lit(MODEL).alias("origin"), F.lit(0).alias("rule_order"), "pos", "category", "severity", "issue", "original_text", "fragment_found", F.lit("ai").alias("source"))
-    own = rules.select("doc_id", F.lit(RULES).alias("origin"), "rule_order", "pos", "category", "severity", "issue", "original_text", F.lit(None).cast("boolean").alias("fragment_found"), F.lit("rules").alias("source"))
+    own = rules.select("doc_id", F.lit(RULES).alias("origin"), "rule_order", "pos", "category", "severity", "issue", "original_text", "fragment_found", F.lit("rules").alias("source"))
     return ai.unionByName(vision.select(*COLUMNS)).unionByName(own)
 
 
+# Rules whose finding speaks of the whole document, and those that quote the laid-out file.
+_WHOLE_DOCUMENT = ("legibilidad_baja", "pdf_escaneado", "imagenes_sin_verificar", "pdf_sin_titulos", "letra_chica_cuerpo")
+_OF_THE_FILE = ("letra_chica_pasajes", "contraste_insuficiente", "colores_daltonismo", *(f"tipografia_{r}" for r in cfg.TYPOGRAPHY_RULES))
+
+
+def rule_quotes_found(rules: DataFrame, materials: DataFrame) -> DataFrame:
+    """Rule findings with fragment_found: true for quotes of the text, NULL without a quote, and for passages of the
+    laid-out file whether the text has them, white space aside. Only the last meet the texts."""
+    texts = materials.select("doc_id", T.collapse(F.col("raw_text")).alias("collapsed"))
+    of_file = F.col("rule").isin(*_OF_THE_FILE)
+    quote = T.collapse(F.rtrim(F.coalesce("original_text", F.lit("")), F.lit("…")))
+    placed = rules.filter(of_file).join(texts, "doc_id", "left").withColumn("fragment_found", (quote != "") & F.contains("collapsed", quote)).drop("collapsed")
+    known = F.when(~F.col("rule").isin(*_WHOLE_DOCUMENT), F.lit(True))
+    return rules.filter(~of_file).withColumn("fragment_found", known).unionByName(placed)
+
+
 def drop_repeated(findings: DataFrame, order: list[str]) -> DataFrame:
     """First of the findings with the same quote and the same issue; findings without a quote all stay."""
     keyed = findings.withColumns({
@@ -97,7 +113,7 @@ def order_and_number(findings: DataFrame) -> DataFrame:
 def merge_findings(model: DataFrame, vision: DataFrame, rules: DataFrame, materials: DataFrame) -> DataFrame:
     """The report's findings: verified and capped model findings, picture signals, uncovered rule findings."""
     verified = verify_quotes(cap_per_document(model), materials)
-    merged = _tagged(verified, vision, suppress_covered(rules, verified))
+    merged = _tagged(verified, vision, rule_quotes_found(suppress_covered(rules, verified), materials))
     return order_and_number(drop_repeated(merged, ["origin", "rule_order", "pos"]))
 
 

@@ -79,10 +79,22 @@ def infer_headings(spark, sf):
     return formats.infer_headings(_lines(spark, sf))
 
 
-@query("e01_summarize_runs", """
-SELECT sample, mode, count(*) FILTER (WHERE ok) AS runs_ok, count(*) FILTER (WHERE NOT ok) AS runs_error, round_even(avg(latency_s) FILTER (WHERE ok), 1) AS latency_mean,
-  round_even(min(latency_s) FILTER (WHERE ok), 1) AS latency_min, round_even(max(latency_s) FILTER (WHERE ok), 1) AS latency_max, round_even(avg(score) FILTER (WHERE ok), 1) AS score_mean,
-  coalesce(nullif(concat_ws('-', min(score) FILTER (WHERE ok), max(score) FILTER (WHERE ok)), ''), '-') AS score_range, round_even(stddev_samp(score) FILTER (WHERE ok), 1) AS score_stdev
+def _run_sets_sql(value: str, expression: str, sep: str) -> str:
+    return f"coalesce(nullif(array_to_string(list_sort(list_distinct(list({expression}) FILTER (WHERE ok AND {expression} IS NOT NULL))), '{sep}'), ''), '-') AS {value}"
+
+
+@query("e01_summarize_runs", f"""
+SELECT sample, mode, {_run_sets_sql('models', 'model', ', ')}, arg_min(words, run) AS words, count(*) FILTER (WHERE ok) AS runs_ok, count(*) FILTER (WHERE NOT ok) AS runs_error,
+  round_even(avg(latency_s) FILTER (WHERE ok), 1) AS latency_mean,
+  round_even(min(latency_s) FILTER (WHERE ok), 1) AS latency_min, round_even(max(latency_s) FILTER (WHERE ok), 1) AS latency_max,
+  round_even(avg(prompt_tokens) FILTER (WHERE ok), 1) AS prompt_tokens_mean, round_even(avg(output_tokens) FILTER (WHERE ok), 1) AS output_tokens_mean,
+  round_even(avg(coalesce(thinking_tokens, 0)) FILTER (WHERE ok), 1) AS thinking_tokens_mean, round_even(avg(score) FILTER (WHERE ok), 1) AS score_mean,
+  coalesce(nullif(concat_ws('-', min(score) FILTER (WHERE ok), max(score) FILTER (WHERE ok)), ''), '-') AS score_range, round_even(stddev_samp(score) FILTER (WHERE ok), 1) AS score_stdev,
+  round_even(avg(ai_score) FILTER (WHERE ok), 1) AS ai_score_mean, {_run_sets_sql('rules_score', 'rules_score', '/')},
+  coalesce(nullif(concat_ws('-', min(findings) FILTER (WHERE ok), max(findings) FILTER (WHERE ok)), ''), '-') AS findings_range,
+  coalesce(nullif(concat_ws('-', min(rule_findings) FILTER (WHERE ok), max(rule_findings) FILTER (WHERE ok)), ''), '-') AS rule_findings_range,
+  CAST(coalesce(sum(coalesce(unverified, 0)) FILTER (WHERE ok), 0) AS BIGINT) AS unverified,
+  {_run_sets_sql('status_comprension', "coalesce(status_comprension, '-')", '/')}, {_run_sets_sql('status_estructura', "coalesce(status_estructura, '-')", '/')}
 FROM ai_runs GROUP BY 1, 2""")
 def summarize_runs(spark, sf):
     return evaluation.summarize_runs(entity(spark, sf, "ai_runs"))

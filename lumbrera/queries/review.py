@@ -84,7 +84,8 @@ def image_inventory(spark, sf):
 
 _RELEVANT = """(SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, image_id) AS INT) AS image_index,
   CASE WHEN y_norm < 0.35 THEN 'sector superior' WHEN y_norm > 0.65 THEN 'sector inferior' ELSE 'sector central' END AS position FROM images
-  WHERE width_pt >= 35 AND height_pt >= 35 AND width_pt / greatest(height_pt, 1) BETWEEN 0.125 AND 8 AND NOT ((y_norm < 0.07 OR y_norm > 0.93) AND height_pt < 75) QUALIFY image_index <= 5)"""
+  WHERE width_pt >= 35 AND height_pt >= 35 AND width_px >= 60 AND height_px >= 60 AND width_px / greatest(height_px, 1) BETWEEN 0.125 AND 8
+    AND NOT ((bottom_norm < 0.07 OR top_norm > 1::DOUBLE - 0.07::DOUBLE) AND height_pt < 75) QUALIFY image_index <= 5)"""
 
 
 @query("s08_relevant_images", f"SELECT doc_id, image_id, page_number, image_index, position FROM {_RELEVANT}")
@@ -155,6 +156,12 @@ def export_text(spark, sf):
     return tables.export_text(closing_report.final_version(materials(spark, sf), proposals(spark, sf)), "md")
 
 
+_CURRENT = "(SELECT doc_id, proposal_id, barrier_id, arg_max(adaptation_type, seq) AS adaptation_type, arg_max(to_status, seq) AS status FROM decision_log GROUP BY 1, 2, 3)"
+_PRIORITY = "list_position(['editada', 'aceptada', 'descartada', 'pendiente'], status)"
+_RESOLUTION = f"""(SELECT b.doc_id, b.barrier_id, p.proposal_id, coalesce(p.status, 'pendiente') AS resolution_status FROM (SELECT doc_id, 'bar-' || pos AS barrier_id FROM ai_findings) b
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, barrier_id ORDER BY {_PRIORITY}, proposal_id) AS rk FROM {_CURRENT}) p ON p.doc_id = b.doc_id AND p.barrier_id = b.barrier_id AND p.rk = 1)"""
+
+
 # --- merge ----------------------------------------------------------------------------------------------
 
 @query("f01_cap_per_document", "SELECT doc_id, pos, category, severity, issue, original_text FROM ai_findings WHERE pos <= 2")
@@ -222,7 +229,11 @@ def fallback_diagnosis(spark, sf):
     return merge.fallback_diagnosis(materials(spark, sf), entity(spark, sf, "ai_scores"))
 
 
-@query("f08_group_by_quote")
+@query("f08_group_by_quote", f"""
+SELECT doc_id, key AS quote_key, min(pos) AS first, count(*) AS findings, {counts_sql('resolution_status', cfg.PROPOSAL_STATUSES)} FROM (
+  SELECT a.doc_id, a.pos, r.resolution_status, CASE WHEN coalesce(a.original_text, '') = '' THEN 'global:bar-' || a.pos
+    ELSE {collapse("regexp_replace(replace(lower(a.original_text), '…', '...'), '[\"''“”‘’«»]', '', 'g')")} END AS key
+  FROM ai_findings a JOIN {_RESOLUTION} r ON r.doc_id = a.doc_id AND r.barrier_id = 'bar-' || a.pos) GROUP BY 1, 2""")
 def group_by_quote(spark, sf):
     return merge.group_by_quote(decisions.barrier_resolution(barriers(spark, sf), current(spark, sf)))
 
@@ -321,7 +332,6 @@ def rewrite(spark, sf):
     return materials(spark, sf).select("doc_id", "raw_text", kinds.alias("kind")).select("doc_id", "kind", decisions.rewrite(F.col("raw_text"), F.col("kind")).alias("text"))
 
 
-_CURRENT = "(SELECT doc_id, proposal_id, barrier_id, arg_max(adaptation_type, seq) AS adaptation_type, arg_max(to_status, seq) AS status FROM decision_log GROUP BY 1, 2, 3)"
 
 
 @query("d03_current_status", f"SELECT doc_id, proposal_id, barrier_id, adaptation_type, status FROM {_CURRENT}")
@@ -365,11 +375,6 @@ def final_version_counts(spark, sf):
     return decisions.final_version_counts(found, verdicts)
 
 
-_PRIORITY = "list_position(['editada', 'aceptada', 'descartada', 'pendiente'], status)"
-_RESOLUTION = f"""(SELECT b.doc_id, b.barrier_id, p.proposal_id, coalesce(p.status, 'pendiente') AS resolution_status FROM (SELECT doc_id, 'bar-' || pos AS barrier_id FROM ai_findings) b
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, barrier_id ORDER BY {_PRIORITY}, proposal_id) AS rk FROM {_CURRENT}) p ON p.doc_id = b.doc_id AND p.barrier_id = b.barrier_id AND p.rk = 1)"""
-
-
 @query("d10_barrier_resolution", f"SELECT doc_id, barrier_id, proposal_id, resolution_status FROM {_RESOLUTION}")
 def barrier_resolution(spark, sf):
     return decisions.barrier_resolution(barriers(spark, sf), current(spark, sf)).select("doc_id", "barrier_id", "proposal_id", "resolution_status")

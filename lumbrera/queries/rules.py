@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from lumbrera import config as cfg
 from lumbrera.bindings import entity
 from lumbrera.functions import text as T
-from lumbrera.operators import rules_layout, rules_text, scoring
+from lumbrera.operators import merge, rules_layout, rules_text, scoring
 from lumbrera.plans import diagnosis
 from lumbrera.queries import oracle_rules  # noqa: F401  (registers views)
 from lumbrera.queries.registry import query
 from lumbrera.session import cut
+from lumbrera.sources import materials as M
 
 
 def frags(spark, sf):
@@ -144,7 +145,8 @@ def dimension_status(spark, sf):
 
 @query("c09_merge_dimensions")
 def merge_dimensions(spark, sf):
-    return scoring.merge_dimensions(entity(spark, sf, "ai_dimensions"), diagnosis.dimensions(inputs(spark, sf)))
+    vision = merge.vision_signal_findings(M.relevant_images(entity(spark, sf, "images")))
+    return scoring.merge_dimensions(entity(spark, sf, "ai_dimensions"), diagnosis.dimensions(inputs(spark, sf)), vision)
 
 
 @query("00_score_and_longest_sentences", f"""

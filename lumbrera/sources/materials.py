@@ -157,9 +157,15 @@ def image_position() -> Column:
 
 
 def relevant_images(images: DataFrame, k: int = cfg.IMAGES_PER_DOCUMENT) -> DataFrame:
-    """First k pictures of each document that are large enough and not a strip, with where they sit on the page."""
-    ratio = F.col("width_pt") / F.greatest("height_pt", F.lit(1.0))
-    margin = ((F.col("y_norm") < 0.07) | (F.col("y_norm") > 0.93)) & (F.col("height_pt") < 75)
-    sized = images.filter(
-        (F.col("width_pt") >= cfg.MIN_IMAGE_PT) & (F.col("height_pt") >= cfg.MIN_IMAGE_PT) & ratio.between(cfg.MIN_ASPECT, cfg.MAX_ASPECT) & ~margin)
+    """First k pictures of each document that are large enough, as drawn and in their own pixels, and no strip, with
+    where they sit on the page. A low one that lies wholly in the head or foot margin is left out.
+
+    ``images``: doc_id, image_id, page_number, width_pt, height_pt, width_px, height_px, and of the page's
+    height the shares at the picture's top, middle and bottom: top_norm, y_norm, bottom_norm.
+    """
+    ratio = F.col("width_px") / F.greatest("height_px", F.lit(1))
+    margin = ((F.col("bottom_norm") < cfg.IMAGE_MARGIN) | (F.col("top_norm") > 1 - cfg.IMAGE_MARGIN)) & (F.col("height_pt") < cfg.MARGIN_IMAGE_PT)
+    drawn = (F.col("width_pt") >= cfg.MIN_IMAGE_PT) & (F.col("height_pt") >= cfg.MIN_IMAGE_PT)
+    own = (F.col("width_px") >= cfg.MIN_IMAGE_PX) & (F.col("height_px") >= cfg.MIN_IMAGE_PX)
+    sized = images.filter(drawn & own & ratio.between(cfg.MIN_ASPECT, cfg.MAX_ASPECT) & ~margin)
     return top_per_key(sized, ["doc_id"], ["page_number", "image_id"], k, "image_index").withColumn("position", image_position())

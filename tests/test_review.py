@@ -55,6 +55,20 @@ def test_dimensions_take_the_worst(spark):
     assert got == {
         (1, "comprension"): ("barrera_detectada", "m Reglas automáticas: r"), (1, "estructura"): ("para_revisar", "m"),
         (1, "accesibilidad_visual"): ("correcta", "r"), (2, "estructura"): ("correcta", "r")}
+    # Signals seen in pictures make the visual dimension one to review at least, and are told.
+    more = rules.unionByName(spark.createDataFrame([(3, "accesibilidad_visual", "barrera_detectada", "")], schema))
+    vision = spark.createDataFrame([(1,), (1,), (3,), (4,)], "doc_id long")
+    told = "La IA de visión detectó %d señal(es) de dependencia de color o texto incrustado en imágenes."
+    got = {(r["doc_id"], r["category"]): (r["status"], r["comment"]) for r in scoring.merge_dimensions(ai, more, vision).collect()}
+    assert got[1, "accesibilidad_visual"] == ("para_revisar", "r " + told % 2) and got[3, "accesibilidad_visual"] == ("barrera_detectada", told % 1)
+    assert got[1, "comprension"] == ("barrera_detectada", "m Reglas automáticas: r") and got[2, "estructura"] == ("correcta", "r")
+
+
+def test_rule_findings_say_whether_their_quote_is_there(spark):
+    rows = [("oraciones_extensas", "lo que sea"), ("pdf_sin_titulos", "[Documento]"), ("contraste_insuficiente", "texto  del\narchivo…"), ("tipografia_cursiva", "otra cosa"), ("letra_chica_pasajes", "")]
+    found = spark.createDataFrame([(1, i, r, 1, "c", "s", "i", q, None) for i, (r, q) in enumerate(rows)], RULE)
+    got = {r["rule"]: r["fragment_found"] for r in merge.rule_quotes_found(found, docs(spark, "Un texto del  archivo largo.")).collect()}
+    assert got == {"oraciones_extensas": True, "pdf_sin_titulos": None, "contraste_insuficiente": True, "tipografia_cursiva": False, "letra_chica_pasajes": False}
 
 
 def test_rewrites(spark):
