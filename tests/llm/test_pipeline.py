@@ -11,7 +11,7 @@ import corpus_pipeline
 from lumbrera.llm import jaccard_join, quality_rules
 from lumbrera.llm.shared import written
 
-from .cases import DOCS, documents, with_clashes
+from .cases import CLASH, DOCS, documents, prose, with_clashes
 from .test_free_operators import BYTE, groups_by_hand, near_copies
 from .test_native_operators import hits_by_hand
 
@@ -60,7 +60,10 @@ def test_stages_on_edge_cases(spark, sf, name):
     out = stage(name)(spark, with_clashes(docs), sf)
     if name != "packing":
         assert out.columns == with_clashes(docs).columns
-    assert out.count() > 0
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASH if c not in docs.columns)
+    else:
+        assert out.count() > 0
     assert stage(name)(spark, docs.limit(0), sf).count() == 0
 
 
@@ -70,3 +73,13 @@ def test_near_copies_keep_one_of_each_group(spark, sf):
     again = jaccard_join.similar_groups(left, 85, 4).where("doc_id <> component_id")
     assert again.count() == 0 and {r["doc_id"] for r in left.where("doc_id BETWEEN 100 AND 103").collect()} == {100}
     assert left.where("doc_id IS NULL").count() == 2 and left.where("doc_id IN (200, 201, 202)").count() == 3
+    assert left.where("doc_id = 400").count() == 1  # equal rows
+
+
+def test_near_copies_tell_rows_with_one_id_apart(spark, sf):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(0, a), (1, a), (1, b), (None, c), (None, c), (7, c + " more"), (None, prose(4, 80)), (9, None), (9, None), (None, ""), (5, b), (6, prose(6, 80)), (6, prose(7, 80))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], DOCS)
+    left = sorted(((r["doc_id"], r["text"]) for r in stage("near_copies")(spark, docs, sf).collect()), key=str)
+    want = [(0, a), (1, b), (7, c + " more"), (None, rows[6][1]), (9, None), (9, None), (None, ""), (6, rows[11][1]), (6, rows[12][1])]
+    assert left == sorted(want, key=str)
