@@ -17,24 +17,47 @@ from lumbrera.llm.queries import SURROGATE_KEY
 from lumbrera.llm.shared import recorded, remove, table, unused, written
 
 
+def _as_row(docs: DataFrame, *also: str) -> DataFrame:
+    """Documents as one column, so that no name of theirs can clash, beside the columns that a stage reads."""
+    return docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), *also)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the fences of their language and source."""
-    return quality_rules.adaptive_filter(docs).where("kept").select(*docs.columns)
+    """Documents that pass the base rules and the fences of their language and source.
+
+    Every row is judged by itself; null and empty texts fail the base rules, equal rows get equal verdicts.
+    """
+    judged = quality_rules.adaptive_filter(_as_row(docs, "text", "lang", "source"), carry=["_row"])
+    return judged.where("kept").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the smallest id.
 
-    Documents without words, or without an id, are no member of a group and stay; of rows that share
-    an id the group's smallest id keeps all, since nothing tells them apart.
+    A row is told apart by its id and text: of rows that share an id only the linked ones go, a group whose ids are
+    all null keeps one row, and of equal rows one stays. Documents without words are no member of a
+    group, so they all stay.
     """
-    groups = jaccard_join.similar_groups(docs, percent=85, width=4)
-    dropped = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    text_hash = F.xxhash64("text")
+    identity = F.struct(F.col("doc_id").isNull().alias("anonymous"), F.col("doc_id").alias("id"), text_hash.alias("hash"))
+    groups = jaccard_join.similar_groups(docs.select(identity.alias("who"), "text"), percent=85, width=4, doc_id="who")
+    name = lambda c: F.concat_ws(":", F.hex(f"{c}.hash"), F.coalesce(F.col(f"{c}.id").cast("string"), F.lit("null")))
+    members = written(groups.where("n_shingles > 0").select(name("doc_id").alias("name"), name("component_id").alias("head")).groupBy("name").agg(
+        F.min("head").alias("head"), F.count(F.lit(1)).alias("n")).where("name <> head OR n > 1"), "near-copies")
+    key, of, n = unused(docs, "_key", "_of", "_n")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.hex(text_hash), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    single = keyed.join(members.select(F.col("name").alias(of)), F.col(key) == F.col(of), "left_anti").select(*docs.columns)
+    heads = keyed.join(members.where("name = head").select(F.col("name").alias(of)), F.col(key) == F.col(of)).select(key, F.struct(*[f"`{c}`" for c in docs.columns]).alias(n))
+    # Equal rows meet before the shuffle; other columns are those of the row with the least hash.
+    one = heads.groupBy(key).agg(F.min_by(n, F.xxhash64(n)).alias(n)).select(f"{n}.*")
+    return single.unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of ten consecutive words of a benchmark item."""
+    """Documents without a passage of ten consecutive words of a benchmark item.
+
+    A row is told apart by its id and text; null and empty texts have no passage and stay.
+    """
     index = decontamination.build_index(docs, table(spark, sf_dir, "benchmark"), size=10)
     key, of = unused(docs, "_key", "_hit")
     hit = written(decontamination.report(index).where("n_hit > 0").select(F.col("key").alias(of)).distinct(), "contaminated")
@@ -43,9 +66,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data and the length of the new text."""
-    new = surrogates.pseudonymize(docs, SURROGATE_KEY)
-    return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, with surrogates for personal data and the length of the new text.
+
+    Null and empty texts stay as they are; equal texts get equal surrogates.
+    """
+    new = surrogates.pseudonymize(_as_row(docs, "text"), SURROGATE_KEY)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    changed = {"text": F.col("text"), "n_chars": length}
+    return new.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
