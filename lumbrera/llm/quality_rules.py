@@ -6,10 +6,17 @@ documents have each value, the value rounded down to six significant bits: relat
 adding counters. So sketches are summed on the map side, a hot source sends no more counters than a
 small one, and the sketch of a language is the sum of those of its sources.
 
-The fence of a measure lies at ``median + REACH * (median - first decile) + slack`` of its language
-and source (or, for word length, also below it, mirrored). Median and lower decile are not moved by
-junk until it makes half of a group, unlike a mean or an upper quantile. A group of fewer than
-``MIN_GROUP`` documents takes the fences of its language, a small language those of all documents.
+A fence is a quantile of the group, or lies as far beyond one as ``REACH`` times the way from another to it
+(``FENCES``). Word length, which every document has, is fenced on both sides of the median by the way
+from the first decile to it, which junk does not move until it makes half of a group. The other measures are 0 in
+most documents, so their fences are quantiles of the tail: the ninth decile of the symbol rate, so
+that a group in which fewer than a tenth have any tolerates none, and one where symbols are usual as many as
+are usual there; the quantile 0.995 of repeated lines and words, which clean documents have, too.
+
+A group with few documents has no stable tail: its fence is mixed with that of its language, which is mixed with that of all
+documents, in the proportion of its documents to ``PRIOR``. As a sketch rounds down by up to 1/32, a fence
+is wider by that much.
+
 Sketches are built from documents that pass the base rules, since documents below 50 words have no
 stable ratios.
 
@@ -27,10 +34,11 @@ from pyspark.sql import functions as F
 from lumbrera.llm.shared import SPACE_RUN, split_words, unused, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_GROUP, REACH, SIGNIFICANT_BITS = 200, 4, 6
+PRIOR, REACH, SIGNIFICANT_BITS = 200, 4, 6
 SYMBOLS = "#*$%&|<>"
-# measure -> (slack, fence on the low side too). Symbols per 10 000 words, word length in hundredths, shares in thousandths.
-FENCES = {"symbol_rate": (1000, False), "word_length": (100, True), "dup_line_share": (400, False), "repeat_share": (350, False)}
+# measure -> (near, far, on both sides): quantiles in thousandths; the fence is far + REACH * (far - near), and mirrored if on both sides.
+# Symbols per 10 000 words, word length in hundredths, shares in thousandths.
+FENCES = {"symbol_rate": (900, 900, False), "word_length": (100, 500, True), "dup_line_share": (995, 995, False), "repeat_share": (995, 995, False)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = (*BASE, "base_failed", *FENCES)
 
@@ -96,12 +104,17 @@ def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
     merged = sketch.groupBy(*by, "value").agg(F.sum("n").alias("n"))
     run = Window.partitionBy(*by).orderBy("value")  # at most a few thousand counters a group
     ranked = merged.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(Window.partitionBy(*by))})
-    at = lambda q: F.min(F.when(F.col("upto") * 10 >= F.col("total") * q, F.col("value")))
-    quantiles = ranked.groupBy(*by).agg(at(1).alias("d1"), at(5).alias("d5"), F.max("total").alias("n"))
-    slack = F.create_map(*[F.lit(x) for m, (s, _) in FENCES.items() for x in (m, s)])[F.col("measure")]
-    both = F.col("measure").isin(*[m for m, (_, low) in FENCES.items() if low])
-    reach = REACH * (F.col("d5") - F.col("d1")) + slack
-    return quantiles.select(*by, "n", F.when(both, F.col("d5") - reach).alias("low"), (F.col("d5") + reach).alias("high"))
+    level = lambda k: F.create_map(*[F.lit(x) for m, f in FENCES.items() for x in (m, f[k])])[F.col("measure")]
+    at = lambda k: F.min(F.when(F.col("upto") * 1000 >= F.col("total") * level(k), F.col("value")))
+    quantiles = ranked.groupBy(*by).agg(at(0).alias("near"), at(1).alias("far"), F.max("total").alias("n"))
+    # Two quantiles of a narrow distribution may round to one value, though they lie up to 1/32 apart.
+    reach = F.when(level(2), REACH * F.greatest(F.col("far") - F.col("near"), F.expr("far div 32"))).otherwise(REACH * (F.col("far") - F.col("near")))
+    return quantiles.select(*by, "n", F.when(level(2), F.greatest(F.col("far") - reach, F.lit(0))).otherwise(0).alias("low"), (F.col("far") + reach).alias("high"))
+
+
+def mixed(n: str, own: str, other: str) -> str:
+    """SQL of a group's own fence mixed with another, by its number of documents."""
+    return f"({n} * {own} + {PRIOR} * ({other})) div ({n} + {PRIOR})"
 
 
 def adaptive_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
@@ -113,10 +126,10 @@ def adaptive_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     keys = [lang, source]
     sketch = written(sketches(measured, keys), "sketch")
     own, of_lang, of_all = fences(sketch, keys), fences(sketch, [lang]), fences(sketch, [])
-    large = lambda c: F.col(f"{c}.n") >= MIN_GROUP
-    pick = lambda v: F.when(large("own"), F.col(f"own.{v}")).when(large("wide"), F.col(f"wide.{v}")).otherwise(F.col(f"every.{v}"))
+    pick = lambda v: F.expr(mixed("own.n", f"own.{v}", mixed("wide.n", f"wide.{v}", f"every.{v}")))
     chosen = own.alias("own").join(of_lang.alias("wide"), [lang, "measure"]).join(of_all.alias("every"), "measure").select(
         F.col(f"own.{source}").alias("_source"), F.col(lang).alias("_lang"), F.col("measure"), pick("low").alias("low"), pick("high").alias("high"))
+    chosen = chosen.withColumns({"low": F.expr("low - low div 32"), "high": F.expr("high + high div 32")})
     limits = written(chosen.groupBy("_lang", "_source").agg(
         F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("_fences")), "fences")  # four entries a group
 

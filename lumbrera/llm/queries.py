@@ -79,9 +79,14 @@ def _fences(name: str, by: str) -> str:
     return f"""
 {name}_run AS (SELECT {keys}, value, sum(n) OVER (PARTITION BY {keys} ORDER BY value) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total
   FROM (SELECT {keys}, value, sum(n) AS n FROM sketch GROUP BY {keys}, value)),
-{name}_q AS (SELECT {keys}, min(value) FILTER (upto * 10 >= total) AS d1, min(value) FILTER (upto * 10 >= total * 5) AS d5, max(total) AS n FROM {name}_run GROUP BY {keys}),
-{name} AS (SELECT {keys}, n, CASE WHEN measure = 'word_length' THEN d5 - 4 * (d5 - d1) - slack ELSE 0 END AS low, d5 + 4 * (d5 - d1) + slack AS high
-  FROM {name}_q JOIN (VALUES ('symbol_rate', 1000), ('word_length', 100), ('dup_line_share', 400), ('repeat_share', 350)) AS s(measure, slack) USING (measure)),"""
+{name}_q AS (SELECT {keys}, min(value) FILTER (upto * 1000 >= total * near) AS v_near, min(value) FILTER (upto * 1000 >= total * far) AS v_far, max(total) AS n
+  FROM {name}_run JOIN levels USING (measure) GROUP BY {keys}),
+{name} AS (SELECT {keys}, n, CASE WHEN measure = 'word_length' THEN greatest(v_far - reach, 0) ELSE 0 END AS low, v_far + reach AS high
+  FROM (SELECT *, 4 * CASE WHEN measure = 'word_length' THEN greatest(v_far - v_near, v_far // 32) ELSE v_far - v_near END AS reach FROM {name}_q)),"""
+
+
+def _mixed(v: str) -> str:
+    return f"(own.n * own.{v} + 200 * ((wide.n * wide.{v} + 200 * whole.{v}) // (wide.n + 200))) // (own.n + 200)"
 
 
 @query("op7_adaptive_quality_rules", r"""
@@ -97,10 +102,10 @@ counted AS (SELECT rid, doc_id, lang, source, len(l) AS n_lines, CAST(len(w) AS
 measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 10000 // greatest(n_words, 1) AS symbol_rate,
   word_chars * 100 // greatest(n_words, 1) AS word_length, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_share, n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_share FROM counted),
 long AS (UNPIVOT measured ON symbol_rate, word_length, dup_line_share, repeat_share INTO NAME measure VALUE v),
-sketch AS (SELECT lang, source, measure, v >> greatest(length(bin(v)) - 6, 0) << greatest(length(bin(v)) - 6, 0) AS value, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),""" + _fences("own", "lang, source") + _fences("wide", "lang") + _fences("whole", "") + r"""
-verdicts AS (SELECT long.rid, bool_and(v <= CASE WHEN own.n >= 200 THEN own.high WHEN wide.n >= 200 THEN wide.high ELSE whole.high END
-    AND v >= CASE WHEN own.n >= 200 THEN own.low WHEN wide.n >= 200 THEN wide.low ELSE whole.low END) AS inside
-  FROM long JOIN own USING (lang, source, measure) JOIN wide USING (lang, measure) JOIN whole USING (measure) WHERE NOT base_failed GROUP BY rid)
+sketch AS (SELECT lang, source, measure, v >> greatest(length(bin(v)) - 6, 0) << greatest(length(bin(v)) - 6, 0) AS value, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),
+levels AS (SELECT * FROM (VALUES ('symbol_rate', 900, 900), ('word_length', 100, 500), ('dup_line_share', 995, 995), ('repeat_share', 995, 995)) AS x(measure, near, far)),""" + _fences("own", "lang, source") + _fences("wide", "lang") + _fences("whole", "") + r"""
+fence AS (SELECT lang, source, measure, """ + _mixed("low") + " AS low, " + _mixed("high") + r""" AS high FROM own JOIN wide USING (lang, measure) JOIN whole USING (measure)),
+verdicts AS (SELECT long.rid, bool_and(v <= high + high // 32 AND v >= low - low // 32) AS inside FROM long JOIN fence USING (lang, source, measure) WHERE NOT base_failed GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM measured LEFT JOIN verdicts USING (rid)""")
 def adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.adaptive_filter(table(spark, sf_dir, "documents"), carry=["doc_id"])

@@ -62,6 +62,7 @@ class Encoder:
             raise ValueError("ids do not fit into two bytes")
         self.lowers = self.tokenizer.normalizer is not None
         self.letters = _byte_letters()
+        self.space = self.letters[ord(" ")]
         self.tokenize = self.tokenizer.model.tokenize
         self.chunks = _Cache(self._chunk, CACHED_CHUNKS)
         self.pieces = _Cache(self._piece, CACHED_PIECES)
@@ -70,14 +71,19 @@ class Encoder:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isalpha():
+            shown = piece
+        elif piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            shown = self.space + piece[1:]
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
         return array("H", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if chunk.isascii() and (chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha()):
-            return self.pieces[chunk.lower() if self.lowers else chunk]
+        if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one piece, kept as a chunk
+            return self.pieces[chunk.lower()] if self.lowers else self._piece(chunk)
         if chunk.isspace() or "<|" in chunk or not _PLAIN.match(chunk):
             return self._raw(chunk)
         pieces = _WORD_PIECES.findall(chunk.lower()) if self.lowers else _BYTE_PIECES.findall(chunk)

@@ -64,6 +64,34 @@ def test_fences_follow_the_group(spark):
     assert all(got[i] for i in range(300)) and all(got[1000 + i] for i in range(300))
 
 
+def test_every_fence_adapts_and_every_rule_rejects_some(spark):
+    sf = "/root/testdata/sf0.1"
+    measured = quality_rules.measure(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", "text")).drop("text").cache()
+    sketch = quality_rules.sketches(measured, ["lang", "source"])
+    of_group = quality_rules.fences(sketch, ["lang", "source"]).groupBy("measure").agg(F.count_distinct("high").alias("n")).collect()
+    assert {r["measure"] for r in of_group} == set(quality_rules.FENCES) and all(r["n"] > 1 for r in of_group)
+    judged = quality_rules.adaptive_filter(spark.read.parquet(f"{sf}/documents.parquet"), carry=["doc_id"]).where("NOT base_failed AND NOT kept").drop("lang", "source").collect()
+    typical = measured.where("NOT base_failed").agg(*[F.percentile_approx(m, 0.99).alias(m) for m in ("dup_line_share", "repeat_share")]).first()
+    reasons = {"symbol_rate": sum(r["symbol_rate"] > 0 for r in judged), "word_length": sum(r["symbol_rate"] == 0 and r["word_length"] > 600 for r in judged),
+               **{m: sum(r[m] >= typical[m] and r["symbol_rate"] == 0 and r["word_length"] < 600 for r in judged) for m in ("dup_line_share", "repeat_share")}}
+    assert all(reasons.values()), reasons
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lost, passing = sum(labels.get(r["doc_id"]) == 1 for r in judged), measured.where("NOT base_failed").select("doc_id").collect()
+    assert lost <= 0.015 * sum(labels.get(r["doc_id"]) == 1 for r in passing)
+    assert sum(labels.get(r["doc_id"]) == 0 for r in judged) >= 0.98 * sum(labels.get(r["doc_id"]) == 0 for r in passing)
+    measured.unpersist()
+
+
+def test_small_groups_lean_on_their_language(spark):
+    def rows(start, n, source, marks):
+        return [(start + i, " ".join(f"w{i:04d}x{j:02d}{'#' * (j < marks)}" for j in range(80)), "en", source, 1) for i in range(n)]
+
+    large = rows(0, 400, "plain", 0)
+    for n, kept in ((3, False), (2000, True)):  # symbols are usual in the source, which is small or large
+        got = {r["doc_id"]: r["kept"] for r in quality_rules.adaptive_filter(spark.createDataFrame(large + rows(10_000, n, "marked", 40), DOCS)).collect()}
+        assert got[10_001] == kept and got[5]
+
+
 def test_sketches_merge_and_bound_their_error(spark):
     rows = spark.range(100_000).select(F.col("id").alias("v"))
     for r in rows.sample(0.01, seed=3).select("v", quality_rules.rounded(F.col("v")).alias("b")).collect():
