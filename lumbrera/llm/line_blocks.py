@@ -3,17 +3,23 @@
 1. Markup is stripped: every block element becomes a line of text with its character references
    decoded and white space made one space. Lines that say they are not content (scripts, styles,
    menus, page headers, footers, asides, forms, hidden elements, elements named as adverts, notices,
-   sidebars or comments) and lines that are mostly links become lines of length 0.
-2. Text lengths are summed over windows of ``WINDOW`` lines. A window over empty lines only is a
-   valley; the text rises from a valley at a surge point and falls into the next at a dive point.
-3. The text between a surge and its dive is kept if its highest window reaches ``SURGE`` characters;
-   if none does, the longest such stretch is. Text inside article and main elements adds weight: their
-   share of the text of the page, times ``MARK * SURGE`` characters, counts for each stretch with lines
-   of theirs. So short stretches of an article that is most of the page are kept, while a teaser in an
-   article element beside a long text has to rise like any other, and the long text is kept too.
-
-Single empty lines, such as an advert between two paragraphs, lie inside a window with text and do not
-end it. Nothing between surge and dive is dropped except the empty lines.
+   sidebars or comments) become empty lines; lines that are mostly links count as length 0.
+2. Text lengths are summed over windows of ``WINDOW`` lines. ``WINDOW`` lines of length 0 are a valley, and
+   parts between valleys rise and fall by themselves. In each, the surge point is the first line whose window, looking
+   ahead, reaches ``SURGE`` characters: short lines that stand in a row before the text, such as a menu without
+   markup, do not belong to it. The dive point is where the windows fall to 0, since texts end in short lines, too.
+3. The text between surge and dive is kept, lines of links among it; where no window of the page reaches ``SURGE``, the part
+   with most text is kept whole. Article and main elements add weight: every line of theirs
+   counts as risen, and their share of the text of the page, times ``MARK * SURGE`` characters, is
+   added to the highest window of each part with such lines. So short parts of an article that is most of the page are kept,
+   while a teaser in an article element beside a long text has to rise like any other, and the long
+   text is kept too.
+
+Where a page marks its article and names what is not content, as the given pages do, the marks settle
+the result; the windows settle it on pages without such marks.
+
+Single lines of length 0, such as an advert between two paragraphs, lie inside a window with text and do not
+end it. Nothing between surge and dive is dropped except what says it is not content.
 
 Defined cases: null or empty html has an empty text; pages cut off in the middle of an element, a tag
 or a character reference are read as far as they go; unclosed elements end where the next of their
@@ -83,9 +89,9 @@ def _ends(page: str, at: int, tag: str, n: int) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, inside an article) of every line; the text is empty where the line is not content."""
-    out: list[tuple[str, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, inside an article, mostly links) of every line; the text is empty where the line is not content."""
+    out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
     linked = articles = 0
     in_link = False
@@ -100,7 +106,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         line = " ".join(references.unescape(raw).split())
         if line:
             links = linked > LINK_SHARE * len(raw)
-            out.append(("" if outer or links and not articles else line, articles > 0))
+            out.append(("" if outer else line, articles > 0, links and not articles))
         linked = 0
 
     at = 0
@@ -158,33 +164,36 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def stretches(lengths: list[int]) -> list[tuple[int, int, int]]:
-    """(surge, dive, highest window) of each rise of the window sums between valleys; lines surge to dive - 1 are inside."""
-    out, begin, last, top = [], None, None, 0
+def stretches(lengths: list[int], marked: list[bool]) -> list[tuple[int, int, int]]:
+    """(surge, dive, highest window) of each part between valleys; lines surge to dive - 1 are inside. A part whose windows
+    stay below ``SURGE`` and that has no marked line is given whole."""
+    parts, begin, last = [], None, None
     for i, n in enumerate(lengths):
         if begin is not None and i - last >= WINDOW and not n:
-            out.append((begin, last + 1, top))
+            parts.append((begin, last + 1))
             begin = None
         if n:
-            if begin is None:
-                begin, top = i, 0
-            last = i
-            top = max(top, sum(lengths[max(begin, i - WINDOW + 1) : i + 1]))
+            begin, last = i if begin is None else begin, i
     if begin is not None:
-        out.append((begin, last + 1, top))
+        parts.append((begin, last + 1))
+    out = []
+    for begin, end in parts:
+        ahead = [sum(lengths[i : min(i + WINDOW, end)]) for i in range(begin, end)]
+        surge = next((i for i in range(begin, end) if marked[i] or lengths[i] and ahead[i - begin] >= SURGE), begin)
+        out.append((surge, end, max(ahead)))
     return out
 
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    lengths = [len(t) for t, _ in lines]
-    marked = [n if inside else 0 for n, (_, inside) in zip(lengths, lines, strict=True)]
-    weight = MARK * SURGE * sum(marked) / max(1, sum(lengths))
+    lengths = [0 if linked else len(t) for t, _, linked in lines]
+    marked = [bool(n) and inside for n, (_, inside, _) in zip(lengths, lines, strict=True)]
+    weight = MARK * SURGE * sum(n for n, m in zip(lengths, marked, strict=True) if m) / max(1, sum(lengths))
     added = lambda s: weight if any(marked[s[0] : s[1]]) else 0
-    found = stretches(lengths)
+    found = stretches(lengths, marked)
     high = [s for s in found if s[2] + added(s) >= SURGE]
     found = high or sorted(found, key=lambda s: -sum(lengths[s[0] : s[1]]) - added(s))[:1]
-    return "\n".join(lines[i][0] for surge, dive, _ in found for i in range(surge, dive) if lengths[i])
+    return "\n".join(lines[i][0] for surge, dive, _ in found for i in range(surge, dive) if lines[i][0])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -266,8 +267,49 @@ def test_main_text_on_edge_cases(spark):
 
 
 def test_surge_and_dive():
-    assert line_blocks.stretches([0, 9, 90, 0, 0, 5, 0, 0, 0, 7, 0]) == [(1, 6, 99), (9, 10, 7)]
-    assert line_blocks.stretches([]) == line_blocks.stretches([0, 0, 0]) == []
+    bare = lambda lengths: line_blocks.stretches(lengths, [False] * len(lengths))
+    assert bare([0, 9, 90, 0, 0, 5, 0, 0, 0, 7, 0]) == [(1, 6, 99), (9, 10, 7)]
+    assert bare([5, 5, 5, 5, 60, 0, 70, 5, 5, 5]) == [(4, 10, 130)]  # the first window that reaches 80 begins at line 4
+    assert bare([5, 5, 5, 5, 90, 5]) == [(2, 6, 100)]
+    assert line_blocks.stretches([5, 5, 60, 70, 5], [True, False, False, False, True]) == [(0, 5, 135)]
+    assert bare([]) == bare([0, 0, 0]) == []
+
+
+def test_windows_decide_where_nothing_is_marked():
+    body = [f"Ein Absatz {k} mit genug Text, damit die Summe der Fenster ohne jeden Zweifel steigt und bleibt." for k in range(6)]
+    lines = lambda texts, tag="div": "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+    menu, foot = [f"Zeile {k}" for k in range(7)], ["Impressum", "Kontakt", "Hilfe", "Presse", "Jobs"]
+    text = line_blocks.main_text(f"<html><body>{lines(menu)}{lines(body)}{lines(foot)}</body></html>")
+    got = text.split("\n")
+    # Two short lines fit into a window with the body, as a heading and its byline would; the rest of the menu does not.
+    assert got == menu[-2:] + body + foot
+    short = [f"Vers {k} geht so" for k in range(12)]
+    assert line_blocks.main_text(f"<body>{lines(short)}</body>") == "\n".join(short)  # nothing rises: the part with most text
+    teasers = "".join(f"<article><a href='/'>{t}</a></article>" for t in ("Teaser eins", "Teaser zwei", "Teaser drei", "Teaser vier"))
+    got = line_blocks.main_text(f"<body><div>{lines(body, 'p')}</div><br>{'<p></p>' * 3}<nav>x</nav>{lines(['', '', ''])}{teasers}</body>")
+    assert all(x in got.split("\n") for x in body)
+    linked = "<p><a href='/'>Ein Absatz, der fast ganz aus einem Verweis besteht und doch zum Text gehört</a> ja.</p>"
+    inside = line_blocks.main_text(f"<body>{lines(body[:3], 'p')}{linked}{lines(body[3:], 'p')}</body>")
+    assert inside.split("\n")[3].startswith("Ein Absatz, der fast ganz")
+    edge = line_blocks.main_text(f"<body>{linked}{lines(body, 'p')}</body>")
+    assert edge == "\n".join(body)
+
+
+def test_extraction_query_matches_a_plain_version(spark, sf):
+    """The given pages mark their article: its blocks, as a plain scanner reads them."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    got = {r["page_id"]: r["text"] for r in queries()["op6_line_blocks"](spark, sf).select("page_id", "text").collect()}
+    assert len(got) == len(rows)
+    same = 0
+    for r in rows:
+        article = re.search(r"(?s)<article\b[^>]*>(.*?)(?:</article>|\Z)", re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", r["html"] or ""))
+        if not article or re.search(r"<(aside|form|nav|div|section|figure|button|table)\b|class=|hidden|style=|role=", article[1]):
+            continue
+        blocks = re.split(r"</?(?:p|h[1-6]|li|ul|ol|blockquote|pre|article)\b[^>]*>", re.sub(r"<br\s*/?>|<hr\s*/?>", " ", article[1]))
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        same += 1
+        assert got[r["page_id"]] == "\n".join(b for b in want if b), r["page_id"]
+    assert same > len(rows) / 4
 
 
 def test_main_text_of_the_pages(spark, sf):
