@@ -292,14 +292,14 @@ def _dismissed(found):
 
 @query("p05_gate_pii")
 def gate_pii(spark, sf):
-    found = pii(spark, sf)
-    clear, blocked = privacy.gate_pii(materials(spark, sf), found, _dismissed(found))
-    return clear.select("doc_id", F.lit("clear").alias("route")).unionByName(blocked.select("doc_id", F.lit("blocked").alias("route")))
+    judged = cut(privacy.with_findings(materials(spark, sf)).select("doc_id", "findings"))
+    found = judged.select("doc_id", F.inline("findings"))
+    return privacy.route(judged, _dismissed(found)).select("doc_id", F.when(F.col("blocked"), "blocked").otherwise("clear").alias("route"))
 
 
 @query("p06_pii_report")
 def pii_report(spark, sf):
-    return privacy.pii_report(pii(spark, sf), 2)
+    return privacy.report_of(privacy.with_findings(materials(spark, sf)))
 
 
 def _redact_sql() -> str:

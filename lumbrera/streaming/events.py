@@ -96,14 +96,12 @@ def gate_batch(clear_path: str, quarantine_path: str) -> Callable[[DataFrame, in
     Each batch owns its folder, so a batch that is run again replaces what it wrote.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        routed = privacy.route(privacy.with_findings(batch)).drop("findings").persist()  # one detection for both
         try:
-            found = privacy.detect_pii(batch)
-            clear, blocked = privacy.gate_pii(batch, found, found.limit(0))
-            clear.write.mode("overwrite").parquet(f"{clear_path}/batch={batch_id}")
-            blocked.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+            routed.where("NOT blocked").drop("blocked").write.mode("overwrite").parquet(f"{clear_path}/batch={batch_id}")
+            routed.where("blocked").drop("blocked").write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            routed.unpersist()
 
     return write
 

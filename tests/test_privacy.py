@@ -87,6 +87,19 @@ def test_gate_and_report(spark):
     clear, blocked = privacy.gate_pii(docs, found, found.filter("doc_id = 3"))
     assert sorted(r["doc_id"] for r in clear.collect()) == [2, 3]
     assert [r["doc_id"] for r in blocked.collect()] == [1]
+    judged = privacy.with_findings(docs)
+    for dismissed in (None, found.filter("doc_id = 3"), found.limit(0)):
+        routed = {r["doc_id"]: r["blocked"] for r in privacy.route(judged, dismissed).collect()}
+        clear, blocked = privacy.gate_pii(docs, found, dismissed if dismissed is not None else found.limit(0))
+        assert {i for i, b in routed.items() if b} == {r["doc_id"] for r in blocked.collect()} and len(routed) == docs.count()
+    key = lambda r: (r["doc_id"], r["start"])
+    for k in (1, 20):
+        columns = ["doc_id", "finding_id", "masked", "line", "rank", "total"]
+        assert sorted(map(tuple, privacy.report_of(judged, k).select(columns).collect())) == sorted(map(tuple, privacy.pii_report(found, k).select(columns).collect()))
+    many = spark.createDataFrame([(1, "\n".join(f"DNI: 2{i:07d}" + "\n" * (i % 3) for i in range(40)))], "doc_id long, raw_text string")
+    text = many.first()["raw_text"]
+    rows = sorted(privacy.detect_pii(many).collect(), key=key)
+    assert len(rows) == 40 and all(r["line"] == 1 + text[: r["start"]].count("\n") for r in rows)
     report = privacy.pii_report(found, 1).collect()
     assert sorted((r["doc_id"], r["total"]) for r in report) == [(1, 2), (3, 1)]
 
