@@ -45,9 +45,9 @@ def _cuts(n: int, size: int, unit: int) -> list[int]:
 
 def _pieces(tokenizer: str, end: int, size: int, unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lumbrera.llm.tokens import Encoder
+        from lumbrera.llm.tokens import encoder
 
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

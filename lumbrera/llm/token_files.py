@@ -54,9 +54,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
     sample = short.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))  # at most SAMPLE_DOCS hashes
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
-        from lumbrera.llm.tokens import Encoder
+        from lumbrera.llm.tokens import encoder
 
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         try:
             made = zstandard.train_dictionary(DICTIONARY_BYTES, [encode.ids(t, end).tobytes() for t in rows["text"]]).as_bytes()
         except zstandard.ZstdError:
@@ -73,9 +73,9 @@ def _dict(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def _frames(tokenizer: str, end: int, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lumbrera.llm.tokens import Encoder
+        from lumbrera.llm.tokens import encoder
 
-        encode, press = Encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(dictionary))
+        encode, press = encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(dictionary))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -11,6 +11,7 @@ what is still used moves over from there.
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from collections.abc import Callable
@@ -106,3 +107,9 @@ class Encoder:
 
     def ids(self, text: str | None, end: int) -> np.ndarray:
         return np.frombuffer(self(text) + array("H", [end]).tobytes(), "<u2")
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, one for all tasks of a Python worker: what it has looked up stays known."""
+    return Encoder(path)
