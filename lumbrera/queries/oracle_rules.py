@@ -257,3 +257,71 @@ SELECT *, CASE WHEN ai_score IS NULL THEN rules_score ELSE CAST(round_even({cfg.
   CASE WHEN NOT has_text THEN {cfg.NO_TEXT_CAP} WHEN is_scanned THEN {cfg.SCANNED_CAP} WHEN severe THEN {cfg.SEVERE_CAP} END AS limit_ FROM rated""",
     "scores": "SELECT *, CASE WHEN combined > limit_ THEN limit_ END AS cap, least(combined, CASE WHEN combined > limit_ THEN limit_ END) AS final_score FROM combined",
 })
+
+
+def _status_sql(rank: str) -> str:
+    return f"CASE {rank} WHEN 2 THEN 'barrera_detectada' WHEN 1 THEN 'para_revisar' ELSE 'correcta' END"
+
+
+def _too_long(count: str, noun: str, limit: int, longest: str) -> str:
+    more = f"CASE WHEN {count} > {cfg.REPORTED_PER_RULE} THEN ' Se listan las {cfg.REPORTED_PER_RULE} más extensas.' ELSE '' END"
+    return f"CASE WHEN {count} > 0 THEN {count} || ' {noun} superan las {limit} palabras (la más extensa tiene ' || {longest} || ').' || {more} END"
+
+
+_NAMES = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{n}'" for r, n in (
+    ("fuente_decorativa", "fuente decorativa"), ("cursiva", "cursiva"), ("mayusculas", "mayúsculas sostenidas"), ("subrayado", "subrayado"),
+    ("justificado", "texto justificado"), ("interlineado", "interlineado reducido"))) + " END"
+
+VIEWS.update({
+    "layout_notes": f"""
+SELECT doc_id, 1 AS o, 2 AS r, 'El cuerpo del texto está en ' || {pt('body_pt')} || ' pt (menos de 9 pt).' AS note FROM body_sizes JOIN layout_docs USING (doc_id) WHERE body_pt < {cfg.MIN_BODY_PT}
+UNION ALL SELECT doc_id, 2, 1, count(*) || ' pasaje(s) de 20 palabras o más están en menos de 8 pt.' FROM small_rows JOIN layout_docs USING (doc_id) GROUP BY doc_id
+UNION ALL SELECT doc_id, 3, CASE WHEN count(*) FILTER (WHERE stored <= {cfg.STORED_PASSAGES} AND ratio < 3.0) > 0 THEN 2 ELSE 1 END,
+  count(*) || ' pasaje(s) no alcanzan el contraste mínimo con su fondo (WCAG 1.4.3); el peor tiene ' || replace(printf('%.1f', round_even(min(ratio) FILTER (WHERE stored <= {cfg.STORED_PASSAGES}), 1)), '.', ',') || ':1.'
+  FROM contrast_rows JOIN layout_docs USING (doc_id) GROUP BY doc_id
+UNION ALL SELECT doc_id, 4, CASE WHEN bool_or(severe) THEN 2 ELSE 1 END, 'Tipografía poco legible: ' || string_agg({_NAMES}, ', ' ORDER BY issue_order) || '.' FROM typo_issues JOIN layout_docs USING (doc_id) GROUP BY doc_id
+UNION ALL SELECT doc_id, 5, 1, 'Se detectaron ' || count(*) || ' par(es) de colores en el texto que pueden confundirse con daltonismo.' FROM color_pairs JOIN layout_docs USING (doc_id) GROUP BY doc_id""",
+    "layout_said": "SELECT doc_id, max(r) AS layout_rank, string_agg(note, ' ' ORDER BY o) AS layout_comment FROM layout_notes GROUP BY doc_id",
+    "dimension_facts": f"""
+SELECT f.*, layout_rank, layout_comment, coalesce(readability < {cfg.READABILITY_WARN}, false) AS low,
+  long_sentences > 0 OR multi_action_prompts > 0 OR coalesce(readability < {cfg.READABILITY_WARN}, false) AS comp_any,
+  severe_long_sentences > 0 OR severe_prompts > 0 OR coalesce(readability < 40, false) AS comp_severe,
+  long_paragraphs > 0 OR missing_headings OR skips > 0 OR long_section_count > 0 AS str_any, severe_long_paragraphs > 0 OR missing_headings AS str_severe,
+  CASE WHEN is_scanned THEN 2 WHEN image_count > 0 AND pending_images > 0 THEN 1 ELSE 0 END AS image_rank,
+  CASE WHEN visual_only_references >= 3 THEN 2 WHEN visual_only_references > 0 THEN 1 ELSE 0 END AS ref_rank
+FROM facts f LEFT JOIN layout_said USING (doc_id)""",
+    "dimension_rows": f"""
+SELECT doc_id, 'comprension' AS category, {_status_sql('CASE WHEN comp_any THEN CASE WHEN comp_severe THEN 2 ELSE 1 END ELSE 0 END')} AS status,
+  CASE WHEN comp_any THEN concat_ws(' ', {_too_long('long_sentences', 'oración(es)', cfg.LONG_SENTENCE_WORDS, 'max_sentence_words')},
+    CASE WHEN multi_action_prompts > 0 THEN multi_action_prompts || ' consigna(s) encadenan múltiples acciones simultáneas.' END,
+    CASE WHEN low THEN printf('Índice de legibilidad Szigriszt-Pazos: %.1f.', readability) END)
+  ELSE 'No se detectaron oraciones de más de {cfg.LONG_SENTENCE_WORDS} palabras ni consignas complejas.' END AS comment FROM dimension_facts
+UNION ALL
+SELECT doc_id, 'estructura', {_status_sql('CASE WHEN str_any THEN CASE WHEN str_severe THEN 2 ELSE 1 END ELSE 0 END')},
+  CASE WHEN str_any THEN concat_ws(' ', {_too_long('long_paragraphs', 'párrafo(s)', cfg.LONG_PARAGRAPH_WORDS, 'max_paragraph_words')},
+    CASE WHEN missing_headings THEN 'El documento no contiene títulos ni subtítulos estructurados.' END,
+    CASE WHEN skips > 0 THEN 'Se detectaron ' || skips || ' salto(s) en la jerarquía de títulos.' END,
+    CASE WHEN long_section_count > 0 THEN long_section_count || ' sección(es) superan las {cfg.LONG_SECTION_WORDS} palabras sin subdivisiones.' END)
+  WHEN source_type <> 'text' AND heading_count > 0 THEN 'Estructura organizada con ' || heading_count || ' encabezados y ' || hierarchy_levels || ' nivel(es) de jerarquía.'
+  ELSE 'No se detectaron párrafos de más de {cfg.LONG_PARAGRAPH_WORDS} palabras sin división.' END FROM dimension_facts
+UNION ALL
+SELECT doc_id, 'accesibilidad_visual', {_status_sql('greatest(image_rank, ref_rank, coalesce(layout_rank, 0))')},
+  concat_ws(' ', CASE WHEN is_scanned THEN 'El PDF parece escaneado: el texto no es seleccionable ni legible por lectores de pantalla.'
+    WHEN image_count > 0 AND pending_images = 0 THEN 'Las ' || image_count || ' imagen(es) tienen texto alternativo o están marcadas como decorativas.'
+    WHEN image_count > 0 AND images_with_alt_text > 0 THEN 'Se detectaron ' || image_count || ' imagen(es); ' || pending_images || ' no tiene(n) texto alternativo.'
+    WHEN image_count > 0 THEN 'Se detectaron ' || image_count || ' imagen(es); su accesibilidad no puede verificarse automáticamente.'
+    ELSE 'No se detectaron imágenes en el material.' END,
+    CASE WHEN visual_only_references > 0 THEN 'Se detectaron ' || visual_only_references || ' referencia(s) que dependen de la posición o aspecto visual.' END, layout_comment) FROM dimension_facts""",
+    "dimension_merged": f"""
+SELECT r.doc_id, r.category, CASE WHEN a.status IS NULL THEN r.status WHEN r.status = 'correcta' THEN a.status
+    ELSE {_status_sql("greatest(list_position(['correcta', 'para_revisar', 'barrera_detectada'], a.status), list_position(['correcta', 'para_revisar', 'barrera_detectada'], r.status)) - 1")} END AS status,
+  CASE WHEN a.status IS NULL THEN r.comment WHEN r.status = 'correcta' THEN a.comment ELSE a.comment || ' Reglas automáticas: ' || r.comment END AS comment
+FROM dimension_rows r LEFT JOIN ai_dimensions a ON a.doc_id = r.doc_id AND a.category = r.category AND a.category <> 'accesibilidad_visual'""",
+    "picture_signals": """
+SELECT doc_id, count(*) FILTER (relies_on_color) + count(*) FILTER (has_untranscribed_text) AS signals FROM relevant_pictures GROUP BY doc_id""",
+    "relevant_pictures": """
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, image_id) AS INT) AS image_index,
+  CASE WHEN y_norm < 0.35 THEN 'sector superior' WHEN y_norm > 0.65 THEN 'sector inferior' ELSE 'sector central' END AS position FROM images
+WHERE width_pt >= 35 AND height_pt >= 35 AND width_px >= 60 AND height_px >= 60 AND width_px / greatest(height_px, 1) BETWEEN 0.125 AND 8
+  AND NOT ((bottom_norm < 0.07 OR top_norm > 1::DOUBLE - 0.07::DOUBLE) AND height_pt < 75) QUALIFY image_index <= 5""",
+})

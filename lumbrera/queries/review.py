@@ -82,10 +82,7 @@ def image_inventory(spark, sf):
     return M.image_inventory(entity(spark, sf, "images"))
 
 
-_RELEVANT = """(SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, image_id) AS INT) AS image_index,
-  CASE WHEN y_norm < 0.35 THEN 'sector superior' WHEN y_norm > 0.65 THEN 'sector inferior' ELSE 'sector central' END AS position FROM images
-  WHERE width_pt >= 35 AND height_pt >= 35 AND width_px >= 60 AND height_px >= 60 AND width_px / greatest(height_px, 1) BETWEEN 0.125 AND 8
-    AND NOT ((bottom_norm < 0.07 OR top_norm > 1::DOUBLE - 0.07::DOUBLE) AND height_pt < 75) QUALIFY image_index <= 5)"""
+_RELEVANT = "relevant_pictures"
 
 
 @query("s08_relevant_images", f"SELECT doc_id, image_id, page_number, image_index, position FROM {_RELEVANT}")

@@ -138,12 +138,16 @@ def apply_caps(spark, sf):
     return _scores(spark, sf).select("doc_id", "severe", "cap", "final_score")
 
 
-@query("c08_dimension_status")
+@query("c08_dimension_status", "SELECT doc_id, category, status, comment FROM dimension_rows")
 def dimension_status(spark, sf):
     return diagnosis.dimensions(inputs(spark, sf))
 
 
-@query("c09_merge_dimensions")
+@query("c09_merge_dimensions", """
+SELECT d.doc_id, d.category, CASE WHEN signals > 0 AND category = 'accesibilidad_visual' AND status = 'correcta' THEN 'para_revisar' ELSE status END AS status,
+  CASE WHEN signals > 0 AND category = 'accesibilidad_visual'
+    THEN trim(comment || ' La IA de visión detectó ' || signals || ' señal(es) de dependencia de color o texto incrustado en imágenes.') ELSE comment END AS comment
+FROM dimension_merged d LEFT JOIN picture_signals USING (doc_id)""")
 def merge_dimensions(spark, sf):
     vision = merge.vision_signal_findings(M.relevant_images(entity(spark, sf, "images")))
     return scoring.merge_dimensions(entity(spark, sf, "ai_dimensions"), diagnosis.dimensions(inputs(spark, sf)), vision)
