@@ -19,7 +19,7 @@ from collections.abc import Callable
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_CHUNKS, CACHED_PIECES = 250_000, 200_000
+CACHED_CHUNKS, CACHED_PIECES = 100_000, 50_000
 # --- fixed values: the piece rules of the two tokenizer files on the characters named here ---------
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile(rf"[ -~{_LETTERS}]*\Z")
