@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumbrera import config as cfg
 from lumbrera.bindings import entity, table
 from lumbrera.operators import evaluation, formats, segments
 from lumbrera.plans import diagnosis
@@ -28,14 +29,14 @@ def insert_image_blocks(spark, sf):
 
 _CLIP = f"CASE WHEN length({collapse('text')}) <= 80 THEN {collapse('text')} ELSE rtrim({collapse('text')}[1:79]) || '…' END"
 _CAPPED = f"""(SELECT doc_id, node_id, parent_id, depth, pos, {_CLIP} AS text, 0 AS dropped_siblings FROM nodes WHERE depth = 0
-UNION ALL SELECT doc_id, node_id, parent_id, depth, pos, text, greatest(n - 3, 0) FROM (
+UNION ALL SELECT doc_id, node_id, parent_id, depth, pos, text, greatest(n - {cfg.MAP_MAX_CHILDREN}, 0) FROM (
   SELECT doc_id, node_id, parent_id, depth, pos, {_CLIP} AS text, row_number() OVER (PARTITION BY parent_id ORDER BY pos, node_id) AS rk, count(*) OVER (PARTITION BY parent_id) AS n
-  FROM nodes WHERE depth = 1) WHERE rk <= 3)"""
+  FROM nodes WHERE depth = 1) WHERE rk <= {cfg.MAP_MAX_CHILDREN})"""
 
 
 @query("x02_cap_tree", f"SELECT * FROM {_CAPPED}")
 def cap_tree(spark, sf):
-    return formats.cap_tree(entity(spark, sf, "nodes"), 3).select("doc_id", "node_id", "parent_id", "depth", "pos", "text", "dropped_siblings")
+    return formats.cap_tree(entity(spark, sf, "nodes")).select("doc_id", "node_id", "parent_id", "depth", "pos", "text", "dropped_siblings")
 
 
 @query("x03_render_outline", f"""
@@ -44,7 +45,7 @@ SELECT doc_id, string_agg(repeat('  ', depth) || '- ' || regexp_replace(text, '(
   'mindmap' || chr(10) || string_agg(repeat('  ', depth + 1) || CASE WHEN depth = 0 THEN 'root(("' || text || '"))' ELSE 'n' || rk || '["' || text || '"]' END, chr(10) ORDER BY depth, pos) || chr(10) AS diagram
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth, pos) - 1 AS rk FROM {_CAPPED}) GROUP BY doc_id""")
 def render_outline(spark, sf):
-    return formats.render_outline(formats.cap_tree(entity(spark, sf, "nodes"), 3))
+    return formats.render_outline(formats.cap_tree(entity(spark, sf, "nodes")))
 
 
 def _sections(spark, sf):

@@ -161,9 +161,9 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, barrier_id ORDER BY
 
 # --- merge ----------------------------------------------------------------------------------------------
 
-@query("f01_cap_per_document", "SELECT doc_id, pos, category, severity, issue, original_text FROM ai_findings WHERE pos <= 2")
+@query("f01_cap_per_document", f"SELECT doc_id, pos, category, severity, issue, original_text FROM ai_findings WHERE pos <= {cfg.MODEL_FINDINGS_PER_DOCUMENT}")
 def cap_per_document(spark, sf):
-    return merge.cap_per_document(entity(spark, sf, "ai_findings"), 2)
+    return merge.cap_per_document(entity(spark, sf, "ai_findings"))
 
 
 @query("f02_verify_quotes")
