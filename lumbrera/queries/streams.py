@@ -21,7 +21,12 @@ def fresh(spark, name: str) -> str:
 
 
 def source(spark, sf, base: str) -> DataFrame:
-    return S.stream_events(spark, sf, table(spark, sf, base).schema, glob=f"{base}.parquet")
+    """The streamed base table, which is one file or a folder of files."""
+    schema, path = table(spark, sf, base).schema, f"{sf.rstrip('/')}/{base}.parquet"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return S.stream_events(spark, path, schema)
+    return S.stream_events(spark, sf, schema, glob=f"{base}.parquet")
 
 
 def projected(spark, sf, base: str, entity: str) -> DataFrame:

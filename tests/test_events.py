@@ -120,3 +120,11 @@ def test_kpis_on_a_fixed_clock(spark):
 def test_days_start_where_the_viewer_is():
     w = ReportWindow("7d", datetime(2024, 1, 10, 1, 0), 180)
     assert w.start == datetime(2024, 1, 3, 3, 0) and w.end == datetime(2024, 1, 10, 3, 0)
+
+
+def test_streamed_table_may_be_a_folder(spark, sf, tmp_path):
+    from lumbrera.queries.registry import QUERIES
+
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    routed = {r["doc_id"]: r["route"] for r in QUERIES["w05_stream_gate"](spark, str(tmp_path)).collect()}
+    assert routed == {r["doc_id"]: r["route"] for r in QUERIES["w05_stream_gate"](spark, sf).collect()} and set(routed.values()) == {"clear", "blocked"}
