@@ -72,11 +72,9 @@ def _clauses(sentences: Column, cut: str) -> Column:
     return F.filter(F.transform(pieces, lambda p: F.btrim(p, F.lit(" ."))), lambda p: p != "")
 
 
-def rewrite(fragment: Column, kind: Column) -> Column:
-    """Deterministic rewrite by adaptation type: steps, plain clauses, blocks of three, outline."""
-    split = T.split_sentences(fragment)
-    sentences = F.when(F.size(split) > 0, split).otherwise(F.array(fragment))
+def _rewritten(fragment: Column, split: Column, kind: Column) -> Column:
     ws, word = T.WHITESPACE, T.WORD_CHAR
+    sentences = F.when(F.size(split) > 0, split).otherwise(F.array(fragment))
     actions = _capitalised(_clauses(sentences, rf",{ws}*(?:[ye]{ws}+)?|;{ws}*|{ws}+y{ws}+(?={word}+[éáí](?!{word}))"))
     steps = F.array_join(F.transform(actions, lambda a, i: F.concat((i + 1).cast("string"), F.lit(". "), a, F.lit("."))), "\n")
     plain = F.array_join(F.transform(_capitalised(_clauses(sentences, f",{ws}+")), lambda c: F.concat(c, F.lit("."))), " ")
@@ -89,6 +87,21 @@ def rewrite(fragment: Column, kind: Column) -> Column:
     )
 
 
+def rewrite(fragment: Column, kind: Column) -> Column:
+    """Deterministic rewrite by adaptation type: steps, plain clauses, blocks of three, outline."""
+    return F.element_at(rewrite_each(fragment, F.array(kind)), 1)["text"]
+
+
+def rewrite_each(fragment: Column, kinds: Column) -> Column:
+    """(kind, text) of :func:`rewrite` for every adaptation type of an array.
+
+    The sentences are bound to a name, as the one element of an array: a text is split once, not once a type
+    and again for each of its blocks.
+    """
+    return F.element_at(F.transform(F.array(T.split_sentences(fragment)), lambda split: F.transform(
+        kinds, lambda kind: F.struct(kind.alias("kind"), _rewritten(fragment, split, kind).alias("text")))), 1)
+
+
 def proposal_spans(proposals: DataFrame, materials: DataFrame) -> DataFrame:
     """Where each accepted or edited proposal goes; start and end are NULL where its text is not found.
 

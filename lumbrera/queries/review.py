@@ -325,10 +325,8 @@ def resolve_fragment(spark, sf):
 
 @query("d02_rewrite")
 def rewrite(spark, sf):
-    kinds = F.explode(F.array(*[F.lit(k) for k in cfg.ADAPTATION_TYPES]))
-    return materials(spark, sf).select("doc_id", "raw_text", kinds.alias("kind")).select("doc_id", "kind", decisions.rewrite(F.col("raw_text"), F.col("kind")).alias("text"))
-
-
+    kinds = F.array(*[F.lit(k) for k in cfg.ADAPTATION_TYPES])
+    return materials(spark, sf).select("doc_id", F.inline(decisions.rewrite_each(F.col("raw_text"), kinds)))
 
 
 @query("d03_current_status", f"SELECT doc_id, proposal_id, barrier_id, adaptation_type, status FROM {_CURRENT}")

@@ -191,3 +191,12 @@ def test_fragment_behind_a_cut_quote(spark):
     got = {r["quote_id"]: (r["fragment"], r["not_found"]) for r in decisions.resolve_fragment(text, quotes).collect()}
     assert got == {1: ("Leé el capítulo y respondé las preguntas del final.", False),
                    2: ("Primera oración corta. Leé el capítulo y respondé las preguntas del final.", False), 3: ("no está...", True)}
+
+
+def test_a_text_is_split_once_for_all_its_blocks(spark):
+    text = "Leé el texto. " * 30_000
+    kinds = F.array(*[F.lit(k) for k in cfg.ADAPTATION_TYPES])
+    got = {r["kind"]: r["text"] for r in docs(spark, text).select(F.inline(decisions.rewrite_each(F.col("raw_text"), kinds))).collect()}
+    assert got["reorganizar"] == "\n\n".join(["Leé el texto. Leé el texto. Leé el texto."] * 10_000)
+    plan = docs(spark, text).select(F.inline(decisions.rewrite_each(F.col("raw_text"), kinds)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 3  # once for the sentences, once for each cut of clauses
