@@ -156,3 +156,14 @@ def test_after_score_equals_before_without_changes(spark, sf):
     summed = points.groupBy("doc_id").agg(F.sum("points").alias("all_points"))
     exact = with_pairs.join(again, "doc_id").join(summed, "doc_id")
     assert exact.filter("rules_after <> greatest(0, 100 - (all_points - lost))").count() == 0
+
+
+def test_a_query_reads_no_more_than_its_rule_needs(spark):
+    frags = spark.createDataFrame([frag(text_of(25), p, p, italic=True, color="#CCCCCC") for p in range(1, 4)], FRAGMENT)
+    formats = spark.createDataFrame([], "doc_id long, para_id int, justified boolean, line_spacing double")
+    found = rules_layout.passages_of(frags, formats, "cursiva")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan and "Generate" not in plan.split("Aggregate")[1]
+    assert [(r["para_id"], r["words"]) for r in found.orderBy("para_id").collect()] == [(p, 25) for p in range(1, 4)]
+    only = rules_layout.read_layout(frags, formats, (rules_layout.CONTRAST,))
+    assert {r["rule"] for r in only.marked.collect()} == {rules_layout.CONTRAST}
