@@ -15,6 +15,16 @@ def _mean(value: Column) -> Column:
     return F.bround(F.avg(value), 1)
 
 
+def _exact_mean(value: Column) -> Column:
+    """:func:`_mean` of doubles as the decimals they show (to 12 places), so that no order of adding decides a tie.
+
+    Values that no decimal holds (not a number, 1e18 and beyond) leave the mean of the doubles.
+    """
+    shown = value.try_cast("decimal(30,12)")
+    lost = F.count_if(value.isNotNull() & shown.isNull())
+    return F.when(lost == 0, F.bround(F.avg(shown), 1).cast("double")).otherwise(_mean(value))
+
+
 def _range(value: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("-", F.min(value), F.max(value)), F.lit("")), F.lit("-"))
 
@@ -37,7 +47,7 @@ def summarize_runs(runs: DataFrame) -> DataFrame:
     state = lambda c: F.when(ok, F.coalesce(F.col(c), F.lit("-")))
     return runs.groupBy("sample", "mode").agg(
         _listed(of("model"), ", ").alias("models"), F.min_by("words", "run").alias("words"), F.count_if(ok).alias("runs_ok"), F.count_if(~ok).alias("runs_error"),
-        _mean(of("latency_s")).alias("latency_mean"), F.bround(F.min(of("latency_s")), 1).alias("latency_min"), F.bround(F.max(of("latency_s")), 1).alias("latency_max"),
+        _exact_mean(of("latency_s")).alias("latency_mean"), F.bround(F.min(of("latency_s")), 1).alias("latency_min"), F.bround(F.max(of("latency_s")), 1).alias("latency_max"),
         *[_mean(counted(f"{kind}_tokens")).alias(f"{kind}_tokens_mean") for kind in ("prompt", "output", "thinking")],
         _mean(of("score")).alias("score_mean"), _range(of("score")).alias("score_range"), F.bround(F.stddev_samp(of("score")), 1).alias("score_stdev"),
         _mean(of("ai_score")).alias("ai_score_mean"), _listed(of("rules_score"), "/").alias("rules_score"),
