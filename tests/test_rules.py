@@ -167,3 +167,10 @@ def test_a_query_reads_no_more_than_its_rule_needs(spark):
     assert [(r["para_id"], r["words"]) for r in found.orderBy("para_id").collect()] == [(p, 25) for p in range(1, 4)]
     only = rules_layout.read_layout(frags, formats, (rules_layout.CONTRAST,))
     assert {r["rule"] for r in only.marked.collect()} == {rules_layout.CONTRAST}
+
+
+def test_penalties_are_not_worked_out_a_second_time_to_filter_them(spark):
+    materials = spark.createDataFrame([(1, "Uno. Dos.", "pdf", 1, 0, 0)], "doc_id int, raw_text string, source_type string, page_count int, image_count int, images_with_alt_text int")
+    facts = scoring.counted(rules_text.plain_profile(materials))
+    plan = scoring.explode_penalties(scoring.text_penalties(facts))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "oraciones_extensas" in line]
