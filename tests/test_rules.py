@@ -174,3 +174,34 @@ def test_penalties_are_not_worked_out_a_second_time_to_filter_them(spark):
     facts = scoring.counted(rules_text.plain_profile(materials))
     plan = scoring.explode_penalties(scoring.text_penalties(facts))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "oraciones_extensas" in line]
+
+
+def test_body_size_is_summed_by_hash_and_its_ties_are_told_by_the_whole_order(spark):
+    rows = []
+    for doc, frags in {1: [(2, 5, "b", 9.0, "uno dos"), (1, 9, "a", 11.0, "dos uno")], 2: [(1, 5, "b", 9.0, "uno"), (1, 5, "a", 11.0, "dos")],
+                       3: [(1, 2**40, "a", 8.0, "uno"), (1, 2**41, "a", 7.25, "dos"), (3, 1, "a", 12.0, " ")], 4: [(None, 7, "a", 6.0, "x"), (0, None, "a", 5.0, "y")],
+                       5: [(1, -3, "a", 6.0, "x"), (1, -4, "a", 5.0, "y")]}.items():
+        rows += [(doc, (a, b, c), size, text) for a, b, c, size, text in frags]
+    columns = ("cast(null as int) para_id", "1 page_number", "cast(null as string) color", "cast(null as string) background", "false bold", "false italic", "false underline",
+               "false caps", "cast(null as string) font", "false link", "true visible")
+    for kind in ("a int, b bigint, c string", "a bigint, b bigint, c string"):
+        fragments = spark.createDataFrame(rows, f"doc_id int, frag_id struct<{', '.join(f.replace(' ', ':', 1) for f in kind.split(', '))}>, size double, text string").selectExpr("*", *columns)
+        assert {r["doc_id"]: r["body_pt"] for r in rules_layout.body_font_size(fragments).collect()} == {1: 11.0, 2: 11.0, 3: 8.0, 4: 6.0, 5: 5.0}
+    by_text = fragments.withColumn("frag_id", F.col("frag_id.c"))
+    assert {r["doc_id"]: r["body_pt"] for r in rules_layout.body_font_size(by_text).where("doc_id in (1, 2)").collect()} == {1: 11.0, 2: 11.0}
+    steps = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rules_layout, "cut", lambda df: steps.append(df) or df)
+        rules_layout.body_font_size(fragments)
+    assert "SortAggregate" not in steps[0]._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_candidates_keep_every_fragment_that_a_rule_counts(spark):
+    fragments = entity(spark, "/root/testdata/sf0.001", "fragments")
+    tables = rules_layout.Tables(fragments)
+    joined = rules_layout._measured(fragments).join(tables.contrasts, ["color", "background"], "left").join(tables.fonts, "font", "left")
+    for rule, (condition, *_) in rules_layout._conditions().items():
+        assert rules_layout._looked_up((rule,), tables).count() == joined.filter(F.coalesce(condition, F.lit(False))).count() > 0
+    plan = rules_layout._looked_up((rules_layout.SMALL,), tables)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "Filter" in x and "trim" in x)
+    assert line.index("< 8.0") < line.index("trim")
