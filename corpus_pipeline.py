@@ -46,8 +46,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         F.min("head").alias("head"), F.count(F.lit(1)).alias("n")).where("name <> head OR n > 1"), "near-copies")
     key, of, n = unused(docs, "_key", "_of", "_n")
     keyed = docs.withColumn(key, F.concat_ws(":", F.hex(text_hash), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    single = keyed.join(members.select(F.col("name").alias(of)), F.col(key) == F.col(of), "left_anti").select(*docs.columns)
-    heads = keyed.join(members.where("name = head").select(F.col("name").alias(of)), F.col(key) == F.col(of)).select(key, F.struct(*[f"`{c}`" for c in docs.columns]).alias(n))
+    rest, some = None, keyed
+    if members.count() <= jaccard_join.BROADCAST_ROWS:  # 8 bytes a row; texts of rows that are no member stay where they are
+        few = F.broadcast(members.select(F.xxhash64("name").alias(of)).distinct())
+        rest, some = (keyed.join(few, F.xxhash64(key) == F.col(of), how) for how in ("left_anti", "left_semi"))
+    single = some.join(members.select(F.col("name").alias(of)), F.col(key) == F.col(of), "left_anti").select(*docs.columns)
+    if rest is not None:
+        single = single.unionByName(rest.select(*docs.columns))
+    heads = some.join(members.where("name = head").select(F.col("name").alias(of)), F.col(key) == F.col(of)).select(key, F.struct(*[f"`{c}`" for c in docs.columns]).alias(n))
     # Equal rows meet before the shuffle; other columns are those of the row with the least hash.
     one = heads.groupBy(key).agg(F.min_by(n, F.xxhash64(n)).alias(n)).select(f"{n}.*")
     return single.unionByName(one)

@@ -43,7 +43,8 @@ from lumbrera.llm.components import connected
 from lumbrera.llm.shared import written
 
 BLOCK = 1500  # nodes of one side of a verification block
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 3_000_000  # 8-byte keys
+DF_LIMIT = (1 << 15) - 1  # above a count that is written before 48 bits of a token
 EXTRA = 10  # the first order looks at n // EXTRA tokens beyond the prefix
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -142,16 +143,20 @@ def _survivors(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _indexed(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, n, own, first, second): tokens of its own, and shared prefix tokens under two orders."""
+    """(node, n, own, first, second): tokens of its own, and shared prefix tokens under two orders.
+
+    A token is one number from here on: its count, ``DF_LIMIT`` at most, and the token. Those numbers are the first order.
+    """
     rows = nodes.select("node", "n", F.explode("tokens").alias("t")).select("node", "n", F.shiftrightunsigned("t", 16).alias("t"))
     shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = rows.join(shared, "t").groupBy("node", "n").agg(F.collect_list(F.struct("df", "t")).alias("s"))
+    number = F.shiftleft(F.least("df", F.lit(DF_LIMIT).cast("long")), 48).bitwiseOR(F.col("t"))
+    listed = rows.join(shared, "t").groupBy("node", "n").agg(F.collect_list(number).alias("s"))
     listed = listed.withColumn("own", F.col("n") - F.size("s")).where(f"size(s) >= (n * {percent} + 99) div 100")
     # Tokens of its own come first under both orders and match nothing.
     left = F.expr(f"CAST({_prefix_length(percent)} - own AS INT)")
     first = F.slice(F.sort_array("s"), F.lit(1), left)
-    second = F.slice(F.sort_array(F.transform("s", lambda x: F.struct(F.xxhash64(x["t"]).alias("h"), x["t"].alias("t")))), F.lit(1), left)
-    return listed.select("node", "n", "own", first["t"].alias("first"), second["t"].alias("second"))
+    second = F.slice(F.sort_array(F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("t")))), F.lit(1), left)
+    return listed.select("node", "n", "own", first.alias("first"), second["t"].alias("second"))
 
 
 def _parts(indexed: DataFrame) -> DataFrame:
@@ -172,7 +177,7 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
 def _verified_block(percent: int):
     def run(key: tuple, some: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
         """Links that join components: nodes of ``some`` against nodes of ``every``."""
-        empty = pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str)})
+        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         if not len(some) or not len(every):
             return empty
         sizes = every["n"].to_numpy()
@@ -182,7 +187,7 @@ def _verified_block(percent: int):
         tokens, owner = tokens[order], owner[order]
         root = {}
 
-        def find(x: str) -> str:
+        def find(x: int) -> int:
             while root.setdefault(x, x) != x:
                 root[x] = root[root[x]]
                 x = root[x]
@@ -212,13 +217,14 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     hubs = parts.groupBy("part").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node")).alias("h"), F.count(F.lit(1)).alias("members"))
     hubs = hubs.where("members > 1").select("part", F.col("h.node").alias("hub"), "members")
     member = parts.join(hubs, "part").select("part", "members", "node", "n", "hub")
-    tokens = nodes.select("node", "tokens")
-    compared = member.join(tokens, "node").join(tokens.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
+    # All tokens meet the parts once; later steps read those of nodes in parts, a hub is a member of its part.
+    held = written(member.join(nodes.select("node", "tokens"), "node"), "members")
+    compared = held.join(held.where("node = hub").select("part", F.col("tokens").alias("hub_tokens")), "part")
     judged = written(compared.select("part", "members", "node", "n", "hub", _similar(F.col("tokens"), F.col("hub_tokens"), percent).alias("linked")), "judged")
 
     with_hub = judged.where(F.col("linked") & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     apart = judged.where(~F.col("linked")).groupBy("part").agg(F.count(F.lit(1)).alias("minors"))
-    side = written(judged.join(apart, "part").withColumn("comp", F.when(F.col("linked"), F.col("hub")).otherwise(F.col("node"))).join(tokens, "node"), "sides")
+    side = written(judged.join(apart, "part").withColumn("comp", F.when(F.col("linked"), F.col("hub")).otherwise(F.col("node"))).join(held.select("node", "tokens"), "node"), "sides")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     own = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
@@ -226,7 +232,7 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     some = side.where(~F.col("linked")).withColumn("i", own("minors")).withColumn("j", upto("members")).select(*columns)
     fresh = side.select(*[F.col(c).alias(c) for c in side.columns])  # columns of their own for the other side
     every = fresh.where(F.col("node") != F.col("hub")).withColumn("j", own("members")).withColumn("i", upto("minors")).select(*columns)
-    found = some.groupBy("part", "i", "j").cogroup(every.groupBy("part", "i", "j")).applyInPandas(_verified_block(percent), "a string, b string")
+    found = some.groupBy("part", "i", "j").cogroup(every.groupBy("part", "i", "j")).applyInPandas(_verified_block(percent), "a long, b long")
     return with_hub.unionByName(found)
 
 
@@ -243,9 +249,12 @@ def similar_groups(docs: DataFrame, percent: int = 85, width: int = 4, doc_id: s
     if read.count() <= BROADCAST_ROWS:
         read = F.broadcast(read)  # 8 bytes a row; more than that is joined by shuffling
     again = hashed.select("text_hash", "text").join(read, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    nodes = written(again.mapInArrow(_sets(width, percent, True), schema).drop("text_hash").dropDuplicates(["node"]), "nodes")
+    once = again.mapInArrow(_sets(width, percent, True), schema).drop("text_hash").dropDuplicates(["node"])
+    nodes = written(once.withColumn("number", F.monotonically_increasing_id()), "nodes")
 
-    roots = connected(links(nodes, percent))
+    numbered = nodes.select(F.col("number").alias("node"), "n", "tokens")  # 8 bytes for 32 letters; the written table keeps them
+    roots = connected(links(numbered, percent)).withColumnRenamed("node", "number").join(nodes.select("number", "node"), "number")
+    roots = roots.select("node", F.col("root").cast("string").alias("root"))  # at most 19 digits, never 32 letters
     member = sets.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     smallest = member.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_members"))
     return member.join(smallest, "group", "left").select(

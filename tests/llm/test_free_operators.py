@@ -81,6 +81,13 @@ def test_groups_match_brute_force(spark, monkeypatch, block):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == groups_by_hand(rows, 85, 4)
 
 
+def test_groups_with_counts_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "DF_LIMIT", 2)
+    rows = near_copies()
+    got = jaccard_join.similar_groups(spark.createDataFrame(rows, DOCS), 85, 4).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == groups_by_hand(rows, 85, 4)
+
+
 def test_groups_on_edge_cases(spark, docs):
     got = jaccard_join.similar_groups(with_clashes(docs), 80, 5)
     assert got.count() == docs.count()

@@ -83,3 +83,18 @@ def test_near_copies_tell_rows_with_one_id_apart(spark, sf):
     left = sorted(((r["doc_id"], r["text"]) for r in stage("near_copies")(spark, docs, sf).collect()), key=str)
     want = [(0, a), (1, b), (7, c + " more"), (None, rows[6][1]), (9, None), (9, None), (None, ""), (6, rows[11][1]), (6, rows[12][1])]
     assert left == sorted(want, key=str)
+
+
+def test_near_copies_leave_texts_of_other_rows_where_they_are(spark, sf, monkeypatch):
+    docs = spark.createDataFrame(documents() + near_copies(), DOCS)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where the members are many
+    try:
+        left = stage("near_copies")(spark, docs, sf)
+        plan = left._jdf.queryExecution().toString()
+        assert re.search(r"BroadcastHashJoin .*LeftAnti", plan)
+        rows = collections.Counter(map(tuple, left.collect()))
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)  # all is joined by shuffling
+        assert collections.Counter(map(tuple, stage("near_copies")(spark, docs, sf).collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
