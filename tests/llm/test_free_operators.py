@@ -107,6 +107,20 @@ def test_ids_are_those_of_the_tokenizer(path):
     assert ours(None) == ours("") == b""
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_known_word_is_not_merged_again_beside_other_marks(path):
+    words = ["".join("abcdefghijklmnopqr"[k // 18 ** i % 18] for i in range(4)) + "é" * (k % 2) for k in range(90_000)]
+    ours, theirs, merged = Encoder(path), Tokenizer.from_file(path), []
+    make, tokenize = ours._piece, ours.tokenize
+    ours.tokenize = lambda piece: merged.append(piece) or tokenize(piece)
+    assert make == ours._piece
+    for mark in (" ", ", ", ". ", "\n"):
+        text = "x " + mark.join(words) + " x"
+        text = text.replace("\n", " x\nx ") if mark == "\n" else text
+        assert np.frombuffer(ours(text), "<u2").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert len(merged) < len(words) + 20
+
+
 def ids_by_hand(path):
     t = Tokenizer.from_file(path)
     return [(i, t.encode(x or "", add_special_tokens=False).ids + [1]) for i, x, *_ in documents()]
