@@ -200,3 +200,17 @@ def test_a_text_is_split_once_for_all_its_blocks(spark):
     assert got["reorganizar"] == "\n\n".join(["Leé el texto. Leé el texto. Leé el texto."] * 10_000)
     plan = docs(spark, text).select(F.inline(decisions.rewrite_each(F.col("raw_text"), kinds)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 3  # once for the sentences, once for each cut of clauses
+
+
+def test_texts_are_not_read_again_to_number_the_merged_findings(spark):
+    materials = docs(spark, "El agua hierve a cien grados.\nOtra línea del material.", "Sin citas.")
+    model = spark.createDataFrame([(1, 1, "comprension", "para_revisar", "a", "agua hierve"), (1, 2, "comprension", "para_revisar", "b", "no está"), (1, 3, "comprension", "para_revisar", "b", "No  está")], AI)
+    rules = spark.createDataFrame([
+        (1, 1, "oraciones_extensas", 1, "comprension", "barrera_detectada", "x", "q", "El agua hierve a cien grados."),
+        (1, 13, "contraste_insuficiente", 1, "accesibilidad_visual", "barrera_detectada", "y", "línea del", None),
+        (2, 8, "imagenes_sin_verificar", 1, "accesibilidad_visual", "para_revisar", "z", "[1 imagen]", None)], RULE)
+    vision = spark.createDataFrame([], "doc_id long, origin int, rule_order int, pos long, category string, severity string, issue string, original_text string, fragment_found boolean, source string")
+    found = merge.merge_findings(model, vision, rules, materials)
+    assert sorted((r["doc_id"], r["barrier_id"], r["issue"], r["fragment_found"]) for r in found.collect()) == [
+        (1, "bar-1", "x", True), (1, "bar-2", "y", True), (1, "bar-3", "a", True), (1, "bar-4", "b", False), (2, "bar-1", "z", None)]
+    assert "raw_text" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: read eight times
