@@ -205,3 +205,28 @@ def test_candidates_keep_every_fragment_that_a_rule_counts(spark):
     plan = rules_layout._looked_up((rules_layout.SMALL,), tables)._jdf.queryExecution().optimizedPlan().toString()
     line = next(x for x in plan.splitlines() if "Filter" in x and "trim" in x)
     assert line.index("< 8.0") < line.index("trim")
+
+
+@pytest.mark.parametrize("limit", [rules_layout.BROADCAST_DOCUMENTS, 1])
+def test_fragments_of_other_documents_are_dropped_before_their_text_is_read(spark, monkeypatch, limit):
+    monkeypatch.setattr(rules_layout, "BROADCAST_DOCUMENTS", limit)
+    rows = [(d, *frag(text_of(25), p, p, italic=True, color="#CCCCCC", size=7.0)[1:]) for d in range(1, 9) for p in range(1, 4)]
+    fragments, formats = spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame([(d, 1, True, 1.0) for d in range(1, 9)], "doc_id long, para_id int, justified boolean, line_spacing double")
+    every = rules_layout.read_layout(fragments, formats)
+    layout = rules_layout.read_layout(fragments, formats, documents=spark.createDataFrame([(2,), (5,), (99,)], "doc_id long"))
+    if limit > 1:
+        assert {r["doc_id"] for r in layout.measured.select("doc_id").collect()} == {2, 5}  # before: all eight
+    found = rules_layout.layout_penalties(every).filter("doc_id IN (2, 5)")
+    assert sorted(rules_layout.layout_penalties(layout).collect(), key=repr) == sorted(found.collect(), key=repr)
+
+
+def test_scanned_files_are_told_by_their_first_words(spark):
+    texts = ["", " \n", "¿?", None, " ".join(["sol"] * 24), " ".join(["sol"] * 25), "¡" + ", ".join(["sol"] * 25) + "!", "sol " * 60_000]
+    rows = [material(t, "pdf", 2, images, doc=10 * i + images) for i, t in enumerate(texts) for images in (0, 2)] + [material("uno", "docx", 1, 1, doc=1000), material("uno", "text", doc=1001)]
+    materials = spark.createDataFrame(rows, MATERIAL)
+    scanned = rules_text.profile(materials).filter("is_scanned OR is_scanned IS NULL").select("doc_id")
+    kept = materials.join(scanned, "doc_id", "left_anti").filter("source_type <> 'text' AND raw_text RLIKE '[^ \\n]'").select("doc_id")
+    files = diagnosis.file_documents(diagnosis.Inputs(materials, None, None, None))
+    assert sorted(r[0] for r in files.select("doc_id").collect()) == sorted(r[0] for r in kept.collect())
+    condition = next(x for x in files._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x)
+    assert "regexp_extract" in condition  # before: all words were counted
