@@ -213,4 +213,4 @@ def test_texts_are_not_read_again_to_number_the_merged_findings(spark):
     found = merge.merge_findings(model, vision, rules, materials)
     assert sorted((r["doc_id"], r["barrier_id"], r["issue"], r["fragment_found"]) for r in found.collect()) == [
         (1, "bar-1", "x", True), (1, "bar-2", "y", True), (1, "bar-3", "a", True), (1, "bar-4", "b", False), (2, "bar-1", "z", None)]
-    assert "raw_text" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: read eight times
+    assert "raw_text" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: read again by every step
